@@ -59,7 +59,8 @@ RELATIONS = {
         FROM part""",
     "FactInventoryTransactions": f"""
         SELECT {ORDER_KEY} AS DateKey, l_partkey AS ProductKey, l_orderkey AS InvoiceID,
-               CAST(NULL AS BIGINT) AS PurchaseOrderID, l_returnflag AS TransactionTypeKey,
+               CASE WHEN l_returnflag = 'R' THEN l_orderkey END AS PurchaseOrderID,
+               l_returnflag AS TransactionTypeKey,
                CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INT) ELSE -CAST(l_quantity AS INT) END AS Quantity
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "FactFinancialTransactions": f"""

@@ -67,7 +67,7 @@ class Tables:
         price = _exact("l_extendedprice")
         quantity = F.col("l_quantity").cast("int")
         unit_cents = F.expr(
-            "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) div CAST(l_quantity AS BIGINT)"
+            "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) div NULLIF(CAST(l_quantity AS BIGINT), 0)"
         )
         unit_price = (unit_cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
         return self.read("lineitem").select(

@@ -19,8 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starcellar.functions.calendar import ATTRIBUTES
-from starcellar.layout import Tables
+from starcellar.functions.calendar import ATTRIBUTES, calendar_columns, date_key
 
 Day = dt.date | Column | None
 
@@ -388,132 +387,31 @@ class Warehouse:
             return since, until
         return dt.date(min(years), 1, 1), dt.date(max(years) + 1, 1, 1)
 
-    def latest_year(self) -> Column:
-        """The calendar's last year as a scalar subquery."""
-        return self.calendar_bounds().select(F.year("last_day")).scalar()
-
     def latest_year_start(self) -> Column:
+        """First day of the calendar's last year, as a scalar subquery."""
         return self.calendar_bounds().select(F.trunc("last_day", "YEAR")).scalar()
 
-
-# Columns of an order head; all other fact columns belong to its lines.
-HEAD_COLUMNS = {
-    "sales": {"InvoiceDate": "OrderDate", "CustomerKey": "CustomerKey", "EmployeeKey": "EmployeeKey"},
-    "purchases": {"PurchaseDate": "OrderDate"},
-    "movements": {"MovementDate": "OrderDate"},
-}
-# What the lines call the fact's remaining columns, where the names differ.
-LINE_COLUMNS = {
-    "sales": {"InvoiceID": "OrderKey"},
-    "purchases": {
-        "PurchaseOrderID": "OrderKey", "QuantityOrdered": "Quantity", "UnitCostPrice": "UnitPrice",
-        "LineCost": "ListAmount",
-    },
-    "movements": {"InvoiceID": "OrderKey"},
+    def tables_for_sql(self) -> dict[str, DataFrame]:
+        """The warehouse tables by name.  Building them is lazy: only what a query reads is computed."""
+        bounds = self.calendar_bounds()
+        days = bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("day"))
+        tables = {"DimDate": days.select(*calendar_columns(F.col("day"))), "FactInventory": self.stock()}
+        tables |= {f"Dim{dim.capitalize()}": self.dimension(dim) for dim in DIMENSIONS}
+        for name, (table, keys, extra) in SQL_TABLES.items():
+            fact = self.facts[name]
+            own = [c for c in fact.columns if c not in keys.values()]
+            rows = self.star(name, [*own, *extra, *keys.values()])
+            dates = {key: date_key(F.col(date)) for key, date in keys.items()}
+            tables[table] = rows.withColumns(dates).drop(*keys.values())
+        return tables
+
+
+# Table names of the facts, their date keys, and derived columns that belong to the table.
+SQL_TABLES: dict[str, tuple[str, dict[str, str], list[str]]] = {
+    "sales": ("FactSales", {"InvoiceDateKey": "InvoiceDate"}, ["ProfitAmount"]),
+    "purchases": (
+        "FactPurchases", {"PurchaseDateKey": "PurchaseDate", "ExpectedDeliveryDateKey": "ExpectedDate"}, [],
+    ),
+    "movements": ("FactInventoryTransactions", {"DateKey": "MovementDate"}, []),
+    "payments": ("FactFinancialTransactions", {"DateKey": "TransactionDate"}, []),
 }
-
-
-class LayoutWarehouse(Warehouse):
-    """The star over the given tables, joined when a query asks for it.
-
-    Orders, lines and products are joined only where a query uses columns of both sides: every line has
-    its order, product, customer and supplier, because the operational database enforces those references
-    (``constraint_report`` checks them).  With ``enforced_keys=False`` the joins a load would make are
-    always made, so lines without an order or product drop out even where nothing else is read from them.
-    """
-
-    def __init__(self, tables: Tables, enforced_keys: bool = True):
-        super().__init__(tables.spark)
-        self.tables, self.enforced_keys = tables, enforced_keys
-
-    def dimension(self, name: str) -> DataFrame:
-        return {
-            "product": self.tables.products,
-            "customer": self.tables.customers,
-            "supplier": self.tables.suppliers,
-            "location": self.tables.locations,
-        }[name]()
-
-    def stock(self) -> DataFrame:
-        return self.tables.stock()
-
-    def calendar_bounds(self) -> DataFrame:
-        return self.tables.calendar_bounds()
-
-    def _lines(self, name: str) -> DataFrame:
-        lines = self.tables.order_lines()
-        if name == "purchases":
-            bounds = self.calendar_bounds()
-            first = bounds.select(F.col("first_day").cast("timestamp_ntz")).scalar()
-            last = bounds.select(F.date_add("last_day", 1).cast("timestamp_ntz")).scalar()
-            # A load looks up the expected date in the calendar and drops lines outside it.
-            lines = lines.filter((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < last))
-        if not self.enforced_keys:
-            lines = lines.join(self.tables.products().select("ProductKey"), "ProductKey", "left_semi")
-        return lines
-
-    def _line_column(self, name: str, column: str) -> Column:
-        if column == "ExpectedDate":
-            return F.col("l_shipdate").cast("date").alias(column)
-        if name == "movements" and column == "Quantity":
-            signed = F.when(F.col("TransactionTypeKey") == "R", F.col("Quantity")).otherwise(-F.col("Quantity"))
-            return signed.alias(column)
-        if name == "movements" and column == "PurchaseOrderID":
-            return F.lit(None).cast("bigint").alias(column)
-        return F.col(LINE_COLUMNS[name].get(column, column)).alias(column)
-
-    def fact(self, name: str, columns: list[str], since: Day = None, until: Day = None) -> DataFrame:
-        if name == "payments":
-            return self._payments().select(*columns)
-        heads = HEAD_COLUMNS[name]
-        from_head = [c for c in columns if c in heads]
-        from_line = [c for c in columns if c not in heads]
-        lines = self._lines(name).select("OrderKey", *(self._line_column(name, c) for c in from_line))
-        if from_head or since is not None or until is not None or not self.enforced_keys:
-            head = self.tables.order_heads(since, until)
-            lines = lines.join(head.select("OrderKey", *(F.col(heads[c]).alias(c) for c in from_head)), "OrderKey")
-        return lines.select(*columns)
-
-    def _payments(self) -> DataFrame:
-        paid_in = self.tables.customer_payments().withColumnsRenamed(
-            {"CustomerID": "CustomerKey", "PaymentMethodID": "PaymentMethodKey",
-             "TransactionTypeID": "TransactionTypeKey"}
-        )
-        paid_out = self.tables.supplier_payments().withColumnsRenamed(
-            {"SupplierID": "SupplierKey", "PaymentMethodID": "PaymentMethodKey",
-             "TransactionTypeID": "TransactionTypeKey"}
-        )
-        return paid_in.withColumn("TransactionSource", F.lit("Customer")).unionByName(
-            paid_out.withColumn("TransactionSource", F.lit("Supplier")), allowMissingColumns=True
-        )
-
-    def _sums(self, name: str, keys: list[str], sums: dict[str, Derived], since: Day, until: Day) -> DataFrame:
-        """As in the base class, but lines are summed per order first if only the order's columns group them.
-
-        The shuffle that sums lines per order is the one the join with the orders needs anyway, and an
-        order with very many lines reaches that join as one row.
-        """
-        fact = self.facts[name]
-        key_columns, _ = self._reach(fact, keys)
-        inputs = unique(need for d in sums.values() for need in d.needs)
-        heads = HEAD_COLUMNS.get(name, {})
-        by_order = key_columns and all(c in heads for c in key_columns) and not any(c in heads for c in inputs)
-        if not by_order:
-            return super()._sums(name, keys, sums, since, until)
-        lines = self._lines(name).select("OrderKey", *(self._line_column(name, c) for c in inputs))
-        per_order = lines.groupBy("OrderKey").agg(*(F.sum(d.build()).alias(alias) for alias, d in sums.items()))
-        head = self.tables.order_heads(since, until)
-        head = head.select("OrderKey", *(F.col(heads[c]).alias(c) for c in key_columns))
-        df = self._derive(per_order.join(head, "OrderKey"), fact, keys)
-        return df.groupBy(*keys).agg(*(F.sum(alias).alias(alias) for alias in sums))
-
-    def order_counts(self, name: str, by: list[str], alias: str, since: Day = None, until: Day = None) -> DataFrame:
-        """Orders with at least one line, by attributes of the order: counted without a distinct count."""
-        fact = self.facts[name]
-        columns, _ = self._reach(fact, by)
-        heads = HEAD_COLUMNS[name]
-        head = self.tables.order_heads(since, until)
-        head = head.select("OrderKey", *(F.col(heads[c]).alias(c) for c in columns))
-        line_orders = self._lines(name).select("OrderKey").distinct()
-        with_lines = head.join(line_orders, "OrderKey", "left_semi")
-        return self._derive(with_lines, fact, by).groupBy(*by).agg(F.count(F.lit(1)).alias(alias))

@@ -143,7 +143,7 @@ STATEMENTS = {
     "forecast_summary": over(
         AHEAD + """,
         recent AS (
-            SELECT ProductKey, ROUND(CAST(SUM(amount) AS DOUBLE), 2) AS recent_actual
+            SELECT ProductKey, CAST(ROUND(SUM(amount), 2) AS DOUBLE) AS recent_actual
             FROM points JOIN (SELECT ProductKey, MAX(ds) AS last_day FROM points GROUP BY ProductKey) USING (ProductKey)
             WHERE ds > last_day - 91 GROUP BY ProductKey),
         totals AS (

@@ -41,9 +41,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._open: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return table_source(self.spark, self.folder, name)
+        """The table as given; its files are listed once per instance."""
+        if name not in self._open:
+            self._open[name] = table_source(self.spark, self.folder, name)
+        return self._open[name]
 
     # Sales and purchases -------------------------------------------------------------------------
 
@@ -145,9 +149,9 @@ class Tables:
             _exact("p_retailprice").alias("LastCostPrice"),
         )
 
-    def customer_payments(self) -> DataFrame:
+    def customer_payments(self, since=None, until=None) -> DataFrame:
         amount = _exact("o_totalprice")
-        return self.read("orders").select(
+        return self.read("orders").filter(within("o_orderdate", since, until)).select(
             F.col("o_orderdate").cast("date").alias("TransactionDate"),
             F.col("o_custkey").alias("CustomerID"),
             F.col("o_orderkey").alias("InvoiceID"),
@@ -159,10 +163,10 @@ class Tables:
             F.when(F.col("o_orderstatus") == "O", amount).otherwise(F.lit(0).cast(MONEY)).alias("RemainingBalance"),
         )
 
-    def supplier_payments(self) -> DataFrame:
+    def supplier_payments(self, since=None, until=None) -> DataFrame:
         amount = _exact("l_extendedprice")
         tax = (amount * _exact("l_tax", "decimal(5,2)")).cast("decimal(22,4)")
-        return self.read("lineitem").select(
+        return self.read("lineitem").filter(within("l_shipdate", since, until)).select(
             F.col("l_shipdate").cast("date").alias("TransactionDate"),
             F.col("l_suppkey").alias("SupplierID"),
             F.col("l_orderkey").alias("PurchaseOrderID"),

@@ -34,12 +34,8 @@ def best_customers(w: Warehouse, n: int, since=None) -> DataFrame:
 
 
 def sales_of(w: Warehouse, customers: DataFrame, columns: list[str], since=None) -> DataFrame:
-    """Sales rows of a handful of customers.  ``customers`` must be cut to n rows before, as ``best_customers`` is.
-
-    The semi join moves below the join of orders and lines, so only their orders meet the lines.
-    """
-    keys = F.broadcast(customers.select("CustomerKey"))
-    return w.star("sales", ["CustomerKey", *columns], since).join(keys, "CustomerKey", "left_semi")
+    """Sales rows of a handful of customers; ``customers`` is cut to n rows before, as ``best_customers`` is."""
+    return w.star("sales", ["CustomerKey", *columns], since, only=customers.select("CustomerKey"))
 
 
 def customers_this_year_cte(w: Warehouse, n: int = 5) -> DataFrame:

@@ -217,7 +217,7 @@ def summarize(history: DataFrame, predicted: DataFrame, months: int) -> DataFram
     }
     ahead = predicted.groupBy("ProductKey").agg(*clipped.values())
     totals = recent.join(ahead, recent.ProductKey.eqNullSafe(ahead.ProductKey)).drop(ahead.ProductKey)
-    actual = F.round(as_double(F.col("recent")), 2)
+    actual = as_double(F.round("recent", 2))
     totals = totals.withColumn("recent_actual", actual).withColumn(
         "pct_change",
         F.when(

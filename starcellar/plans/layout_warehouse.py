@@ -74,24 +74,30 @@ class LayoutWarehouse(Warehouse):
             return F.when(F.col("TransactionTypeKey") == "R", F.col("OrderKey")).alias(column)
         return F.col(LINE_COLUMNS[name].get(column, column)).alias(column)
 
-    def fact(self, name: str, columns: list[str], since: Day = None, until: Day = None) -> DataFrame:
+    def fact(
+        self, name: str, columns: list[str], since: Day = None, until: Day = None, only: DataFrame | None = None
+    ) -> DataFrame:
         if name == "payments":
-            return self._payments().select(*columns)
+            return self._payments(since, until).select(*columns)
         heads = HEAD_COLUMNS[name]
         from_head = [c for c in columns if c in heads]
         from_line = [c for c in columns if c not in heads]
         lines = self._lines(name).select("OrderKey", *(self._line_column(name, c) for c in from_line))
-        if from_head or since is not None or until is not None or not self.enforced_keys:
+        restricted = since is not None or until is not None or only is not None
+        if from_head or restricted or not self.enforced_keys:
             head = self.tables.order_heads(since, until)
+            if only is not None:
+                # Before the join, so that the lines meet the chosen orders only.
+                head = head.join(F.broadcast(only), only.columns, "left_semi")
             lines = lines.join(head.select("OrderKey", *(F.col(heads[c]).alias(c) for c in from_head)), "OrderKey")
         return lines.select(*columns)
 
-    def _payments(self) -> DataFrame:
-        paid_in = self.tables.customer_payments().withColumnsRenamed(
+    def _payments(self, since: Day, until: Day) -> DataFrame:
+        paid_in = self.tables.customer_payments(since, until).withColumnsRenamed(
             {"CustomerID": "CustomerKey", "PaymentMethodID": "PaymentMethodKey",
              "TransactionTypeID": "TransactionTypeKey"}
         )
-        paid_out = self.tables.supplier_payments().withColumnsRenamed(
+        paid_out = self.tables.supplier_payments(since, until).withColumnsRenamed(
             {"SupplierID": "SupplierKey", "PaymentMethodID": "PaymentMethodKey",
              "TransactionTypeID": "TransactionTypeKey"}
         )

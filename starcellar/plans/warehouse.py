@@ -217,8 +217,13 @@ class Warehouse:
 
     # To be provided ------------------------------------------------------------------------------
 
-    def fact(self, name: str, columns: list[str], since: Day = None, until: Day = None) -> DataFrame:
-        """The named columns of a fact, of rows dated ``since <= date < until``."""
+    def fact(
+        self, name: str, columns: list[str], since: Day = None, until: Day = None, only: DataFrame | None = None
+    ) -> DataFrame:
+        """The named columns of a fact, of rows dated ``since <= date < until``.
+
+        ``only`` restricts the rows to the keys in its one column; callers cut it to a few rows before.
+        """
         raise NotImplementedError
 
     def dimension(self, name: str) -> DataFrame:
@@ -294,14 +299,14 @@ class Warehouse:
 
     def star(
         self, name: str, columns: list[str], since: Day = None, until: Day = None, where: Column | None = None,
-        where_needs: tuple[str, ...] = (), unknown: bool = False,
+        where_needs: tuple[str, ...] = (), unknown: bool = False, only: DataFrame | None = None,
     ) -> DataFrame:
         """One row per fact row with any columns of the fact, its calendar and its dimensions."""
         fact = self.facts[name]
         wanted = unique([*columns, *where_needs])
         own, dims = self._reach(fact, wanted)
         attributes = unique([*wanted, *(n for w in wanted if w in fact.derived for n in fact.derived[w].needs)])
-        df = self.fact(name, own, since, until)
+        df = self.fact(name, own, since, until, only)
         df = self._derive(self._attach(df, fact, dims, attributes, unknown), fact, wanted)
         return (df.filter(where) if where is not None else df).select(*columns)
 

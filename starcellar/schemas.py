@@ -1,22 +1,16 @@
 """Declared schemas of the operational and the warehouse tables.
 
-Readers always use these, nothing is inferred.  Every column is nullable in the Spark type; what must
-not be null is part of the constraint lists below, which ``constraint_report`` checks.
+Schemas are DDL strings, as ``spark.read.schema`` takes them; nothing is inferred.  What must not be null
+is part of the constraint lists below, which ``constraint_report`` checks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
 
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-def _name_list(table_key: str, name: str) -> T.StructType:
-    return _schema(f"{table_key} INT, {name} STRING")
+def _name_list(table_key: str, name: str) -> str:
+    return f"{table_key} INT, {name} STRING"
 
 
 _LINE_AMOUNTS = "UnitPrice DECIMAL(18,2), TaxRate DECIMAL(5,2), LineTotal DECIMAL(18,2), ProfitAmount DECIMAL(18,2)"
@@ -25,11 +19,11 @@ _TRANSACTION = (
     "TaxAmount DECIMAL(18,2), TransactionAmount DECIMAL(18,2), RemainingBalance DECIMAL(18,2)"
 )
 
-OPERATIONAL: dict[str, T.StructType] = {
-    "Countries": _schema("CountryID INT, CountryName STRING, Continent STRING, Region STRING"),
-    "StateProvinces": _schema("StateProvinceID INT, StateProvinceName STRING, CountryID INT"),
-    "Cities": _schema("CityID INT, CityName STRING, StateProvinceID INT, Population BIGINT"),
-    "Employees": _schema("EmployeeID INT, FullName STRING, IsSalesperson BOOLEAN"),
+OPERATIONAL: dict[str, str] = {
+    "Countries": "CountryID INT, CountryName STRING, Continent STRING, Region STRING",
+    "StateProvinces": "StateProvinceID INT, StateProvinceName STRING, CountryID INT",
+    "Cities": "CityID INT, CityName STRING, StateProvinceID INT, Population BIGINT",
+    "Employees": "EmployeeID INT, FullName STRING, IsSalesperson BOOLEAN",
     "CustomerCategories": _name_list("CustomerCategoryID", "CustomerCategoryName"),
     "BuyingGroups": _name_list("BuyingGroupID", "BuyingGroupName"),
     "SupplierCategories": _name_list("SupplierCategoryID", "SupplierCategoryName"),
@@ -38,67 +32,67 @@ OPERATIONAL: dict[str, T.StructType] = {
     "PaymentMethods": _name_list("PaymentMethodID", "PaymentMethodName"),
     "DeliveryMethods": _name_list("DeliveryMethodID", "DeliveryMethodName"),
     "TransactionTypes": _name_list("TransactionTypeID", "TransactionTypeName"),
-    "Customers": _schema(
+    "Customers": (
         "CustomerID INT, CustomerName STRING, CustomerCategoryID INT, BuyingGroupID INT, CityID INT, "
         "DeliveryMethodID INT, PhoneNumber STRING, WebsiteURL STRING, CreditLimit DECIMAL(18,2), "
         "AccountOpenedDate DATE"
     ),
-    "Suppliers": _schema(
+    "Suppliers": (
         "SupplierID INT, SupplierName STRING, SupplierCategoryID INT, CityID INT, DeliveryMethodID INT, "
         "PhoneNumber STRING, WebsiteURL STRING"
     ),
-    "Products": _schema(
+    "Products": (
         "ProductID INT, ProductName STRING, SupplierID INT, CategoryID INT, ColorID INT, Brand STRING, "
         "UnitPrice DECIMAL(18,2), TaxRate DECIMAL(5,2), UnitsPerPackage INT, RetailPrice DECIMAL(18,2)"
     ),
-    "Inventory": _schema(
+    "Inventory": (
         "ProductID INT, CurrentStock INT, ReorderLevel INT, TargetStockLevel INT, LastCostPrice DECIMAL(18,2)"
     ),
-    "Orders": _schema("OrderID INT, CustomerID INT, EmployeeID INT, OrderDate DATE, ExpectedDeliveryDate DATE"),
-    "OrderDetails": _schema(f"OrderDetailID INT, OrderID INT, ProductID INT, Quantity INT, {_LINE_AMOUNTS}"),
-    "Invoices": _schema(
+    "Orders": "OrderID INT, CustomerID INT, EmployeeID INT, OrderDate DATE, ExpectedDeliveryDate DATE",
+    "OrderDetails": f"OrderDetailID INT, OrderID INT, ProductID INT, Quantity INT, {_LINE_AMOUNTS}",
+    "Invoices": (
         "InvoiceID INT, OrderID INT, CustomerID INT, EmployeeID INT, DeliveryMethodID INT, InvoiceDate DATE"
     ),
-    "InvoiceDetails": _schema(f"InvoiceDetailID INT, InvoiceID INT, ProductID INT, Quantity INT, {_LINE_AMOUNTS}"),
-    "PurchaseOrders": _schema(
+    "InvoiceDetails": f"InvoiceDetailID INT, InvoiceID INT, ProductID INT, Quantity INT, {_LINE_AMOUNTS}",
+    "PurchaseOrders": (
         "PurchaseOrderID INT, SupplierID INT, DeliveryMethodID INT, PurchaseOrderDate DATE, ExpectedDeliveryDate DATE"
     ),
-    "PurchaseOrderDetails": _schema(
+    "PurchaseOrderDetails": (
         "PurchaseOrderDetailID INT, PurchaseOrderID INT, ProductID INT, QuantityOrdered INT, "
         "UnitCostPrice DECIMAL(18,2)"
     ),
-    "CustomerTransactions": _schema(
+    "CustomerTransactions": (
         f"CustomerTransactionID INT, CustomerID INT, InvoiceID INT, {_TRANSACTION}"
     ),
-    "SupplierTransactions": _schema(
+    "SupplierTransactions": (
         f"SupplierTransactionID INT, SupplierID INT, PurchaseOrderID INT, {_TRANSACTION}"
     ),
-    "InventoryTransactions": _schema(
+    "InventoryTransactions": (
         "TransactionID INT, ProductID INT, TransactionTypeID INT, CustomerID INT, SupplierID INT, InvoiceID INT, "
         "PurchaseOrderID INT, Quantity INT, TransactionDate TIMESTAMP_NTZ"
     ),
 }
 
-WAREHOUSE: dict[str, T.StructType] = {
-    "DimDate": _schema(
+WAREHOUSE: dict[str, str] = {
+    "DimDate": (
         "DateKey INT, FullDate DATE, DayNumber INT, DayName STRING, MonthNumber INT, MonthName STRING, "
         "QuarterNumber INT, QuarterName STRING, YearNumber INT, MonthYear STRING, WeekNumber INT, IsWeekend BOOLEAN"
     ),
-    "DimProduct": _schema(
+    "DimProduct": (
         "ProductKey BIGINT, ProductID BIGINT, Product STRING, Category STRING, Color STRING, Brand STRING, "
         "LastCostPrice DECIMAL(18,2)"
     ),
-    "DimCustomer": _schema(
+    "DimCustomer": (
         "CustomerKey BIGINT, CustomerID BIGINT, CustomerName STRING, CustomerCategory STRING, BuyingGroup STRING, "
         "LocationKey INT"
     ),
-    "DimSupplier": _schema(
+    "DimSupplier": (
         "SupplierKey BIGINT, SupplierID BIGINT, SupplierName STRING, SupplierCategory STRING, LocationKey INT"
     ),
-    "DimLocation": _schema(
+    "DimLocation": (
         "LocationKey INT, CityID INT, City STRING, State STRING, Country STRING, Continent STRING"
     ),
-    "LoadLog": _schema("TableName STRING, LastLoadDate DATE"),
+    "LoadLog": "TableName STRING, LastLoadDate DATE",
 }
 
 
@@ -106,7 +100,7 @@ WAREHOUSE: dict[str, T.StructType] = {
 class Rules:
     """Constraints of one table: key, mandatory columns, references, value checks, text lengths."""
 
-    key: str
+    key: str | tuple[str, ...]
     required: tuple[str, ...] = ()
     references: dict[str, tuple[str, str]] = field(default_factory=dict)
     checks: dict[str, str] = field(default_factory=dict)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def csv_source(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def csv_source(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Read ``;``-separated files with a header line.
 
     The schema is given, never inferred (inference would read every byte twice).  Columns are matched

@@ -40,7 +40,7 @@ versions AS (
            NOT (has IS NOT NULL AND (s0 <> s1 OR r0 <> r1)) AS isCurrent
     FROM sides WHERE had IS NOT NULL
     UNION ALL
-    SELECT ProductKey, s1, r1, DATE '2000-02-01', NULL, TRUE FROM both
+    SELECT ProductKey, s1, r1, DATE '2000-02-01', NULL, TRUE FROM sides
     WHERE has IS NOT NULL AND (had IS NULL OR s0 <> s1 OR r0 <> r1))"""
 
 LABEL = """CASE WHEN {0} >= 1000000 THEN printf('$%.1fM', {0} / 1000000) WHEN {0} >= 1000

@@ -34,11 +34,15 @@ def margin_label(profit: Column, sales: Column) -> Column:
 
 
 def money_label(amount: Column, prefix: str = "$") -> Column:
-    """``$1.2M``, ``$3.4K``, ``$12.00`` or ``N/A``; only amounts from 1,000 up are shortened."""
+    """``$1.2M``, ``$3.4K``, ``$12.00`` or ``N/A``; only amounts from 1,000 up are shortened, ties go to even."""
     number = as_double(amount)
+
+    def shown(form: str, value: Column, digits: int) -> Column:
+        return F.format_string(prefix + form, F.bround(value, digits))
+
     return (
         F.when(number.isNull(), "N/A")
-        .when(number >= 1_000_000, F.format_string(f"{prefix}%.1fM", number / 1_000_000))
-        .when(number >= 1_000, F.format_string(f"{prefix}%.1fK", number / 1_000))
-        .otherwise(F.format_string(f"{prefix}%,.2f", number))
+        .when(number >= 1_000_000, shown("%.1fM", number / 1_000_000, 1))
+        .when(number >= 1_000, shown("%.1fK", number / 1_000, 1))
+        .otherwise(shown("%,.2f", number, 2))
     )

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 from starcellar.sources.files import table_source
 
-MONEY = "decimal(18,2)"
 
+def cents(column: str) -> str:
+    """An amount or rate with two decimals, given as a double, in whole hundredths: exact, and cheap to multiply."""
+    return f"CAST(rint({column} * 100) AS BIGINT)"
 
-def _exact(column: str, kind: str = MONEY) -> Column:
-    """A double with two decimals as the exact decimal it stands for."""
-    return F.col(column).cast(kind)
+
+def hundredths(whole: str, precision: int = 18) -> str:
+    """Whole hundredths as a decimal with two decimals."""
+    return f"CAST(CAST({whole} AS DECIMAL(18,0)) * 0.01BD AS DECIMAL({precision},2))"
+
+
+def amount(column: str) -> str:
+    return hundredths(cents(column))
 
 
 def _timestamp(day: dt.date | Column) -> Column:
@@ -53,39 +60,34 @@ class Tables:
 
     def order_heads(self, since=None, until=None) -> DataFrame:
         """One row per order: the head of an invoice and of a purchase order."""
-        return (
-            self.read("orders")
-            .filter(within("o_orderdate", since, until))
-            .select(
-                F.col("o_orderkey").alias("OrderKey"),
-                F.col("o_custkey").alias("CustomerKey"),
-                F.col("o_orderpriority").alias("EmployeeKey"),
-                F.col("o_orderstatus").alias("OrderStatus"),
-                F.col("o_orderdate").cast("date").alias("OrderDate"),
-                _exact("o_totalprice").alias("OrderAmount"),
-            )
+        return self.read("orders").filter(within("o_orderdate", since, until)).selectExpr(
+            "o_orderkey AS OrderKey",
+            "o_custkey AS CustomerKey",
+            "o_orderpriority AS EmployeeKey",
+            "o_orderstatus AS OrderStatus",
+            "CAST(o_orderdate AS DATE) AS OrderDate",
+            f"{amount('o_totalprice')} AS OrderAmount",
         )
 
     def order_lines(self) -> DataFrame:
-        """One row per line item with exact amounts; what a line earns is known once its cost is joined."""
-        price = _exact("l_extendedprice")
-        quantity = F.col("l_quantity").cast("int")
-        unit_cents = F.expr(
-            "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) div NULLIF(CAST(l_quantity AS BIGINT), 0)"
-        )
-        unit_price = (unit_cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
-        return self.read("lineitem").select(
-            F.col("l_orderkey").alias("OrderKey"),
-            F.col("l_partkey").alias("ProductKey"),
-            F.col("l_suppkey").alias("SupplierKey"),
-            F.col("l_linestatus").alias("DeliveryMethodKey"),
-            F.col("l_returnflag").alias("TransactionTypeKey"),
-            quantity.alias("Quantity"),
-            unit_price.alias("UnitPrice"),
-            price.alias("ListAmount"),
-            (_exact("l_tax", "decimal(5,2)") * 100).cast("decimal(8,2)").alias("TaxRate"),
-            (price * (1 - _exact("l_discount", "decimal(5,2)"))).cast("decimal(25,4)").alias("LineTotal"),
-            F.col("l_shipdate"),
+        """One row per line item with exact amounts; what a line earns is known once its cost is joined.
+
+        A line's total is a product of hundredths, so it has four decimals.
+        """
+        total = f"{cents('l_extendedprice')} * (100 - {cents('l_discount')})"
+        unit_price = f"{cents('l_extendedprice')} div NULLIF(CAST(l_quantity AS BIGINT), 0)"
+        return self.read("lineitem").selectExpr(
+            "l_orderkey AS OrderKey",
+            "l_partkey AS ProductKey",
+            "l_suppkey AS SupplierKey",
+            "l_linestatus AS DeliveryMethodKey",
+            "l_returnflag AS TransactionTypeKey",
+            "CAST(l_quantity AS INT) AS Quantity",
+            f"{hundredths(unit_price)} AS UnitPrice",
+            f"{amount('l_extendedprice')} AS ListAmount",
+            f"CAST({cents('l_tax')} AS DECIMAL(5,2)) AS TaxRate",
+            f"CAST(CAST({total} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS LineTotal",
+            "l_shipdate",
         )
 
     def calendar_bounds(self) -> DataFrame:
@@ -97,83 +99,84 @@ class Tables:
     # Dimensions ----------------------------------------------------------------------------------
 
     def products(self) -> DataFrame:
-        name = F.col("p_name")
-        return self.read("part").select(
-            F.col("p_partkey").alias("ProductKey"),
-            F.col("p_partkey").alias("ProductID"),
-            name.alias("Product"),
-            F.col("p_type").alias("Category"),
-            F.when(name.contains(" "), F.substring_index(name, " ", 1)).alias("Color"),
-            F.col("p_brand").alias("Brand"),
-            _exact("p_retailprice").alias("LastCostPrice"),
+        return self.read("part").selectExpr(
+            "p_partkey AS ProductKey",
+            "p_partkey AS ProductID",
+            "p_name AS Product",
+            "p_type AS Category",
+            "CASE WHEN p_name LIKE '% %' THEN substring_index(p_name, ' ', 1) END AS Color",
+            "p_brand AS Brand",
+            f"{amount('p_retailprice')} AS LastCostPrice",
         )
 
     def customers(self) -> DataFrame:
-        return self.read("customer").select(
-            F.col("c_custkey").alias("CustomerKey"),
-            F.col("c_custkey").alias("CustomerID"),
-            F.col("c_name").alias("CustomerName"),
-            F.col("c_mktsegment").alias("CustomerCategory"),
-            F.lit(None).cast("string").alias("BuyingGroup"),
-            F.col("c_nationkey").alias("LocationKey"),
+        return self.read("customer").selectExpr(
+            "c_custkey AS CustomerKey",
+            "c_custkey AS CustomerID",
+            "c_name AS CustomerName",
+            "c_mktsegment AS CustomerCategory",
+            "CAST(NULL AS STRING) AS BuyingGroup",
+            "c_nationkey AS LocationKey",
         )
 
     def suppliers(self) -> DataFrame:
-        return self.read("supplier").select(
-            F.col("s_suppkey").alias("SupplierKey"),
-            F.col("s_suppkey").alias("SupplierID"),
-            F.col("s_name").alias("SupplierName"),
-            F.when(F.col("s_acctbal") < 5000, "Standard").otherwise("Preferred").alias("SupplierCategory"),
-            F.col("s_nationkey").alias("LocationKey"),
+        return self.read("supplier").selectExpr(
+            "s_suppkey AS SupplierKey",
+            "s_suppkey AS SupplierID",
+            "s_name AS SupplierName",
+            "CASE WHEN s_acctbal < 5000 THEN 'Standard' ELSE 'Preferred' END AS SupplierCategory",
+            "s_nationkey AS LocationKey",
         )
 
     def locations(self) -> DataFrame:
         nation, region = self.read("nation"), self.read("region")
-        return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
-            F.col("n_nationkey").alias("LocationKey"),
-            F.col("n_nationkey").alias("CityID"),
-            F.col("n_name").alias("City"),
-            F.col("r_name").alias("State"),
-            F.col("r_name").alias("Country"),
-            F.col("r_name").alias("Continent"),
+        return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+            "n_nationkey AS LocationKey",
+            "n_nationkey AS CityID",
+            "n_name AS City",
+            "r_name AS State",
+            "r_name AS Country",
+            "r_name AS Continent",
         )
 
     # Stock and payments --------------------------------------------------------------------------
 
     def stock(self) -> DataFrame:
-        return self.read("part").select(
-            F.col("p_partkey").alias("ProductKey"),
-            (F.col("p_partkey") * 7 % 100).cast("int").alias("CurrentStock"),
-            F.col("p_size").alias("ReorderLevel"),
-            (F.col("p_size") * 2).alias("TargetStockLevel"),
-            _exact("p_retailprice").alias("LastCostPrice"),
+        return self.read("part").selectExpr(
+            "p_partkey AS ProductKey",
+            "CAST(p_partkey * 7 % 100 AS INT) AS CurrentStock",
+            "p_size AS ReorderLevel",
+            "p_size * 2 AS TargetStockLevel",
+            f"{amount('p_retailprice')} AS LastCostPrice",
         )
 
     def customer_payments(self, since=None, until=None) -> DataFrame:
-        amount = _exact("o_totalprice")
-        return self.read("orders").filter(within("o_orderdate", since, until)).select(
-            F.col("o_orderdate").cast("date").alias("TransactionDate"),
-            F.col("o_custkey").alias("CustomerID"),
-            F.col("o_orderkey").alias("InvoiceID"),
-            F.col("o_orderpriority").alias("PaymentMethodID"),
-            F.col("o_orderstatus").alias("TransactionTypeID"),
-            amount.alias("NetAmount"),
-            F.lit(0).cast(MONEY).alias("TaxAmount"),
-            amount.alias("TransactionAmount"),
-            F.when(F.col("o_orderstatus") == "O", amount).otherwise(F.lit(0).cast(MONEY)).alias("RemainingBalance"),
+        paid = amount("o_totalprice")
+        return self.read("orders").filter(within("o_orderdate", since, until)).selectExpr(
+            "CAST(o_orderdate AS DATE) AS TransactionDate",
+            "o_custkey AS CustomerID",
+            "o_orderkey AS InvoiceID",
+            "o_orderpriority AS PaymentMethodID",
+            "o_orderstatus AS TransactionTypeID",
+            f"{paid} AS NetAmount",
+            "CAST(0 AS DECIMAL(18,2)) AS TaxAmount",
+            f"{paid} AS TransactionAmount",
+            f"CASE WHEN o_orderstatus = 'O' THEN {paid} ELSE CAST(0 AS DECIMAL(18,2)) END AS RemainingBalance",
         )
 
     def supplier_payments(self, since=None, until=None) -> DataFrame:
-        amount = _exact("l_extendedprice")
-        tax = (amount * _exact("l_tax", "decimal(5,2)")).cast("decimal(22,4)")
-        return self.read("lineitem").filter(within("l_shipdate", since, until)).select(
-            F.col("l_shipdate").cast("date").alias("TransactionDate"),
-            F.col("l_suppkey").alias("SupplierID"),
-            F.col("l_orderkey").alias("PurchaseOrderID"),
-            F.lit(None).cast("string").alias("PaymentMethodID"),
-            F.col("l_returnflag").alias("TransactionTypeID"),
-            (amount - tax).cast("decimal(23,4)").alias("NetAmount"),
-            tax.alias("TaxAmount"),
-            amount.alias("TransactionAmount"),
-            F.when(F.col("l_linestatus") == "O", amount).otherwise(F.lit(0).cast(MONEY)).alias("RemainingBalance"),
+        """Payments of lines; tax is a product of hundredths, so tax and net have four decimals."""
+        paid = amount("l_extendedprice")
+        tax = f"CAST({cents('l_extendedprice')} * {cents('l_tax')} AS DECIMAL(18,0)) * 0.0001BD"
+        net = f"CAST({cents('l_extendedprice')} * (100 - {cents('l_tax')}) AS DECIMAL(18,0)) * 0.0001BD"
+        return self.read("lineitem").filter(within("l_shipdate", since, until)).selectExpr(
+            "CAST(l_shipdate AS DATE) AS TransactionDate",
+            "l_suppkey AS SupplierID",
+            "l_orderkey AS PurchaseOrderID",
+            "CAST(NULL AS STRING) AS PaymentMethodID",
+            "l_returnflag AS TransactionTypeID",
+            f"CAST({net} AS DECIMAL(18,4)) AS NetAmount",
+            f"CAST({tax} AS DECIMAL(18,4)) AS TaxAmount",
+            f"{paid} AS TransactionAmount",
+            f"CASE WHEN l_linestatus = 'O' THEN {paid} ELSE CAST(0 AS DECIMAL(18,2)) END AS RemainingBalance",
         )

@@ -131,7 +131,7 @@ class Operational:
         return self.tables.stock().select(F.col("ProductKey").alias("StockItemID"), "LastCostPrice")
 
     def invoice_details(self) -> DataFrame:
-        """Invoice lines with their delivery method, given per line here, and profit; the cost is a left join, as in the extract's own computation."""
+        """Invoice lines with their profit, NULL without a known cost; the delivery method is given per line here."""
         costs = self.tables.products().select("ProductKey", "LastCostPrice")
         lines = self.tables.order_lines().join(costs, "ProductKey", "left")
         return lines.select(

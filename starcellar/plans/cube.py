@@ -102,12 +102,14 @@ def stock_changes(w: Warehouse, by: Sequence[str], per: str = "product", **optio
 
 def receivables(w: Warehouse, by: Sequence[str] = ("TransactionType",), **options) -> DataFrame:
     """Amounts of transactions with customers."""
-    return w.slice("payments", list(by), {"receivables": "receivables"}, **options).select(*by, *doubles(["receivables"]))
+    cells = w.slice("payments", list(by), {"receivables": "receivables"}, **options)
+    return cells.select(*by, *doubles(["receivables"]))
 
 
 def payables(w: Warehouse, by: Sequence[str] = ("TransactionType",), **options) -> DataFrame:
     """Amounts of transactions with suppliers."""
-    return w.slice("payments", list(by), {"payables": "payables"}, **options).select(*by, *doubles(["payables"]))
+    cells = w.slice("payments", list(by), {"payables": "payables"}, **options)
+    return cells.select(*by, *doubles(["payables"]))
 
 
 def cube_slice(

@@ -68,7 +68,7 @@ def _raw_orders(t: Tables) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
         .when(F.col("o_orderstatus") == "F", F.date_format(day, "M/d/yyyy"))
         .otherwise("not a date").alias("OrderDate"),
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("Amount"),
+        F.when(F.col("o_orderpriority") == "5-LOW", float("nan")).otherwise(F.col("o_totalprice")).alias("Amount"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "NULL").otherwise(F.col("o_orderpriority")).alias("Priority"),
     )
 

@@ -78,22 +78,22 @@ def monthly_report(w: Warehouse) -> DataFrame:
     are summed per month; Spark cuts each month to five names before the ranking shuffle.
     """
 
-    def section(name: str, df: DataFrame, label: str | Column, value: str) -> DataFrame:
-        text = F.col(label) if isinstance(label, str) else label
+    def section(name: Column, df: DataFrame, label: str, value: str) -> DataFrame:
         return df.select(
-            F.col("YearNumber").alias("yr"), F.col("MonthNumber").alias("mo"), F.lit(name).alias("section"),
-            F.col("position"), text.alias("label"), as_double(F.col(value)).alias("amount"),
+            F.col("YearNumber").alias("yr"), F.col("MonthNumber").alias("mo"), name.alias("section"),
+            F.col("position"), F.col(label).alias("label"), as_double(F.col(value)).alias("amount"),
         )
 
     def best(name: str, fact: str, attribute: str, measure: str) -> DataFrame:
         totals = w.totals(fact, [*MONTH, attribute], {"amount": measure})
-        return section(name, top_n_per_group(totals, MONTH, 5, "amount", attribute), attribute, "amount")
+        return section(F.lit(name), top_n_per_group(totals, MONTH, 5, "amount", attribute), attribute, "amount")
 
-    totals = w.totals("sales", MONTH, {"sales": "revenue", "profit": "profit"}).withColumn("position", F.lit(1))
-    margin = margin_label(F.col("profit"), F.col("sales"))
+    totals = w.totals("sales", MONTH, {"sales": "revenue", "profit": "profit"})
+    figures = F.explode(F.create_map(F.lit("sales"), F.col("sales"), F.lit("profit"), F.col("profit")))
+    margin = margin_label(F.col("profit"), F.col("sales")).alias("label")
+    totals = totals.select(*MONTH, margin, figures.alias("section", "amount"))
     parts = [
-        section("sales", totals, margin, "sales"),
-        section("profit", totals, margin, "profit"),
+        section(F.col("section"), totals.withColumn("position", F.lit(1)), "label", "amount"),
         best("top_products", "sales", "Product", "revenue"),
         best("top_customers", "sales", "CustomerName", "revenue"),
         best("top_suppliers", "purchases", "SupplierName", "cost_at_last"),

@@ -55,7 +55,7 @@ def customer_growth(w: Warehouse) -> DataFrame:
 def supplier_performance(w: Warehouse) -> DataFrame:
     """Spend, share of all spend, and order lines by supplier; the total is a scalar, not a window over all rows."""
     spend = w.totals("purchases", ["SupplierKey", "SupplierName"], {"spend": "cost_at_last", "line_count": "lines"})
-    total = w.totals("purchases", [], {"spend": "cost_at_last"}).scalar()
+    total = spend.agg(F.sum("spend")).scalar()
     return spend.select(
         "SupplierKey", "SupplierName", as_double(F.col("spend")).alias("spend"), "line_count",
         ratio(F.col("spend"), total).alias("spend_share"),

@@ -96,25 +96,23 @@ def counted_rows() -> Measure:
 
 ID = "decimal(20,0)"
 
-PROFIT = Derived(
-    ("LineTotal", "Quantity", "LastCostPrice"), lambda: F.col("LineTotal") - F.col("Quantity") * F.col("LastCostPrice")
-)
+PROFIT = Derived(("LineTotal", "Quantity", "LastCostPrice"), lambda: F.expr("LineTotal - Quantity * LastCostPrice"))
 # Profit is linear in the cost of the product, so summing lines per product first is exact.
 PROFIT_TOTAL = Measure(
     {"sum_LineTotal": copied("LineTotal"), "sum_Quantity": copied("Quantity")},
-    lambda: F.col("sum_LineTotal") - F.col("sum_Quantity") * F.col("LastCostPrice"),
+    lambda: F.expr("sum_LineTotal - sum_Quantity * LastCostPrice"),
     ("LastCostPrice",),
 )
 
 
 def _taxed_quantity() -> Column:
-    taxed = (1 + F.col("TaxRate") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(9,4)")
-    return (F.col("QuantityOrdered").cast("decimal(10,0)") * taxed).cast("decimal(20,4)")
+    """Quantity times the price with tax in percent."""
+    return F.expr("QuantityOrdered * (100 + TaxRate)")
 
 
 COST_AT_LAST = Measure(
     {"sum_taxed": Derived(("QuantityOrdered", "TaxRate"), _taxed_quantity)},
-    lambda: F.col("sum_taxed") * F.col("LastCostPrice"),
+    lambda: F.expr("sum_taxed * LastCostPrice * 0.01BD"),
     ("LastCostPrice",),
 )
 
@@ -316,7 +314,9 @@ class Warehouse:
     ) -> DataFrame:
         """Additive measures by attributes; ``measures`` maps the output name to the measure.
 
-        Sums by key first, then joins the dimensions, then sums by attribute.
+        Sums by key first, then joins the dimensions, then sums by attribute.  Two large dimensions at once
+        have about as many pairs of keys as there are rows, so then products are joined to the rows and the
+        sums are made by the other key.
         """
         fact = self.facts[name]
         specs = {alias: fact.measures[measure] for alias, measure in measures.items()}
@@ -328,7 +328,12 @@ class Warehouse:
         sums: dict[str, Derived] = {}
         for spec in specs.values():
             sums.update(spec.sums)
-        df = self._sums(name, keys, sums, since, until)
+        if "product" in dims and len(dims) > 1:
+            shown = [a for a in attributes if a in DIMENSIONS["product"].attributes]
+            df, specs = self._sums_with_products(name, own, other, shown, specs, sums, since, until, unknown)
+            dims = [d for d in dims if d != "product"]
+        else:
+            df = self._sums(name, keys, sums, since, until)
         df = self._attach(df, fact, dims, other, unknown)
         if where is not None:
             df = df.filter(where)
@@ -336,6 +341,22 @@ class Warehouse:
             return df.select(*by, *(spec.total().alias(alias) for alias, spec in specs.items()))
         return df.groupBy(*by).agg(*(F.sum(spec.total()).alias(alias) for alias, spec in specs.items()))
 
+    def _sums_with_products(
+        self, name: str, own: list[str], other: list[str], shown: list[str], specs: dict[str, Measure],
+        sums: dict[str, Derived], since: Day, until: Day, unknown: bool,
+    ) -> tuple[DataFrame, dict[str, Measure]]:
+        """Measures by the keys of all dimensions but products, which are joined to the rows."""
+        fact = self.facts[name]
+        product = [a for a in DIMENSIONS["product"].attributes if a in other]
+        keys = unique([*own, *self._reach(fact, [a for a in other if a not in product])[0]])
+        inputs = unique([*keys, "ProductKey", *(need for d in sums.values() for need in d.needs)])
+        columns, _ = self._reach(fact, inputs)
+        rows = self._attach(self.fact(name, columns, since, until), fact, ["product"], product, unknown)
+        rows = self._derive(rows, fact, keys).withColumns({alias: d.build() for alias, d in sums.items()})
+        df = rows.groupBy(*keys, *shown).agg(*(F.sum(spec.total()).alias(alias) for alias, spec in specs.items()))
+        totals = {alias: Measure({}, lambda alias=alias: F.col(alias)) for alias in specs}
+        return df, totals
+
     def _sums(self, name: str, keys: list[str], sums: dict[str, Derived], since: Day, until: Day) -> DataFrame:
         """Partial sums by columns the fact has itself."""
         fact = self.facts[name]

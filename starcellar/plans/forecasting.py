@@ -7,7 +7,7 @@ before anything is grouped by product, so a group handed to Python is bounded by
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,15 +157,15 @@ def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.n
 
 
 def _forecast_one(periods: int):
-    def run(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("ds")
-        dates = pd.to_datetime(series["ds"]).to_numpy().astype("datetime64[D]")
-        days = dates.astype("int64")
-        every, fitted, width = fit_series(days, series["y"].to_numpy(dtype="float64"), periods)
-        return pd.DataFrame(
+    def run(series: pa.Table) -> pa.Table:
+        series = series.sort_by("ds")
+        days = series["ds"].cast(pa.int32()).to_numpy().astype("int64")
+        every, fitted, width = fit_series(days, series["y"].to_numpy(), periods)
+        key = series["ProductKey"][0].as_py()
+        return pa.table(
             {
-                "ProductKey": pd.array([series["ProductKey"].iloc[0]] * len(every), dtype="Int64"),
-                "ds": every.astype("datetime64[D]").astype(object),
+                "ProductKey": pa.array([key] * len(every), pa.int64()),
+                "ds": pa.array(every.astype("int32")).cast(pa.date32()),
                 "yhat": fitted,
                 "yhat_lower": fitted - width,
                 "yhat_upper": fitted + width,
@@ -186,7 +186,7 @@ def seasonal_forecast(history: DataFrame, months: int = 3) -> DataFrame:
     # which would merge them by bytes.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     spread = history.repartition(tasks, "ProductKey")
-    return spread.groupBy("ProductKey").applyInPandas(_forecast_one(horizon_days(months)), FORECAST_SCHEMA)
+    return spread.groupBy("ProductKey").applyInArrow(_forecast_one(horizon_days(months)), FORECAST_SCHEMA)
 
 
 def forecast(w: Warehouse, months: int = 3) -> DataFrame:

@@ -133,6 +133,29 @@ def test_skewed_keys_without_broadcast(spark, skewed, name):
     assert not line.startswith("FAIL"), line
 
 
+def test_skewed_partitions_are_split(spark, skewed):
+    """The lines of the one large order and product are spread over several tasks."""
+    strict = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    before = {key: spark.conf.get(key, None) for key in strict}
+    try:
+        for key, value in strict.items():
+            spark.conf.set(key, value)
+        lines = spark.read.parquet(f"{skewed}/lineitem.parquet").repartition(8)
+        tables = Tables(spark, skewed)
+        tables._open["lineitem"] = lines
+        df = LayoutWarehouse(tables).star("sales", ["InvoiceID", "InvoiceDate", "ProfitAmount"])
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @pytest.fixture(scope="module")
 def orphaned(spark, folder, tmp_path_factory):
     """Lines whose order or product is gone."""
@@ -337,11 +360,21 @@ def test_stream_equals_batch_and_picks_up_new_files(spark, tables, tmp_path):
     assert run() == as_sets(to_fact(lines))
 
 
-def test_shared_dir_follows_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
-    assert os.path.isabs(shared_dir(spark).removeprefix("file:"))
+class Session:
+    """Just enough of a session to ask for its settings."""
+
+    def __init__(self, master, **settings):
+        self.conf, self.settings = self, settings
+        self.sparkContext = type("Context", (), {"master": master})
+
+    def get(self, key, default):
+        return self.settings.get(key, default)
+
+
+def test_shared_dir_follows_the_session():
+    named = Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared/checkpoints/"})
+    assert shared_dir(named) == "hdfs://shared/checkpoints"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("yarn"))
+    local = Session("local[4]")
+    assert os.path.isdir(shared_dir(local)) and shared_dir(local) == shared_dir(local)

@@ -145,11 +145,9 @@ def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.n
     weekly = min(WEEKLY_ORDER, room) if span >= 14 else 0
     yearly = min(YEARLY_ORDER, max(room - weekly, 0)) if span >= 365 else 0
     known = _terms(days, days[0], span, yearly, weekly)
-    ridge = np.full(known.shape[1], 1e-3 * len(days) / 100)
-    ridge[:2] = 0.0
-    weights = np.linalg.lstsq(
-        np.vstack([known, np.diag(np.sqrt(ridge))]), np.concatenate([values, np.zeros(known.shape[1])]), rcond=None
-    )[0]
+    ridge = np.full(known.shape[1], 1e-5 * len(days))
+    ridge[:2] = 1e-9
+    weights = np.linalg.solve(known.T @ known + np.diag(ridge), known.T @ values)
     freedom = max(len(days) - known.shape[1], 1)
     deviation = float(np.sqrt(np.sum((values - known @ weights) ** 2) / freedom))
     every = np.concatenate([days, days[-1] + 1 + np.arange(periods)])

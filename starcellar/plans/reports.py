@@ -13,9 +13,10 @@ from starcellar.plans.warehouse import DIMENSIONS, Warehouse
 
 SALES_DETAIL = ("CustomerName", "MonthNumber", "DeliveryMethod", "FullName", "City", "Product", "Category")
 PURCHASE_DETAIL = ("SupplierName", "Category", "Product", "DeliveryMethod", "City")
+# Cells of the sales report; its month name, quarter and month label follow from year and month.
 SALES_CELLS = (
-    "Brand", "Category", "City", "Country", "MonthName", "QuarterName", "YearNumber", "MonthYear",
-    "CustomerCategory", "CustomerName", "FullName", "Product",
+    "Brand", "Category", "City", "Country", "YearNumber", "MonthNumber", "CustomerCategory", "CustomerName", "FullName",
+    "Product",
 )
 
 
@@ -72,7 +73,7 @@ def filter_values(w: Warehouse, attribute: str, with_all: bool = False) -> DataF
     text = F.col(attribute).cast("string")
     if not with_all:
         return source.distinct().select(text.alias("member"))
-    members = source.rollup(attribute).agg(F.grouping_id().alias("summary"))
+    members = source.distinct().rollup(attribute).agg(F.grouping_id().alias("summary"))
     return members.select(F.when(F.col("summary") == 1, "All").otherwise(text).alias("member"))
 
 
@@ -102,8 +103,12 @@ def sales_over_time(w: Warehouse, text_order: bool = False) -> DataFrame:
 
 
 def margin_by_category(w: Warehouse) -> DataFrame:
-    """Margin of each category, and the report's figure, which adds up the margins of its detail cells."""
-    cells = w.totals("sales", list(SALES_CELLS), {"revenue": "revenue", "profit": "profit"})
+    """Margin of each category, and the report's figure, which adds up the margins of its detail cells.
+
+    There are nearly as many cells as rows, so summing by key first would only add a shuffle.
+    """
+    rows = w.star("sales", [*SALES_CELLS, "LineTotal", "ProfitAmount"])
+    cells = rows.groupBy(*SALES_CELLS).agg(F.sum("LineTotal").alias("revenue"), F.sum("ProfitAmount").alias("profit"))
     margin = ratio(F.col("profit"), F.col("revenue"))
     by_category = cells.groupBy("Category").agg(
         F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"), F.sum(margin).alias("margin_sum")

@@ -160,8 +160,7 @@ STATEMENTS = {
     "actual_vs_forecast": over(
         AHEAD + """
         SELECT COALESCE(p.ProductKey, f.ProductKey) AS ProductKey, COALESCE(p.ds, f.ds) AS ds,
-               CAST(amount AS DOUBLE) AS actual, ROUND(yhat, 6) AS yhat, ROUND(yhat_lower, 6) AS yhat_lower,
-               ROUND(yhat_upper, 6) AS yhat_upper
+               CAST(amount AS DOUBLE) AS actual, yhat, yhat_lower, yhat_upper
         FROM points p FULL JOIN forecast f ON p.ProductKey = f.ProductKey AND p.ds = f.ds""", *SALES_TABLES),
     "average_order_value": over(
         f"""SELECT d.YearNumber, d.MonthNumber, {ORDERS} AS orders,

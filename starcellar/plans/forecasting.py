@@ -255,8 +255,5 @@ def join_actuals(history: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def actual_vs_forecast(w: Warehouse, months: int = 3) -> DataFrame:
     """History and straight-line forecast of every product by day."""
-    joined = join_actuals(daily_histories(w), linear_forecast(w, months))
-    return joined.select(
-        "ProductKey", "ds", "actual", *(F.round(c, 6).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper"))
-    )
+    return join_actuals(daily_histories(w), linear_forecast(w, months))
 

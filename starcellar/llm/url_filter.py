@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starcellar.llm.tables import ascii_lower
 
 PREFIX_DIGITS = 8  # hex digits of the digest that the join compares: 32 bits
+SENT_RULES = 100_000  # rule tables up to this size are sent to every task; larger ones are shuffled by the prefix
 RULE_SCHEMA = "host string, path string, verdict string"
 
 
@@ -53,21 +54,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url
         F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"),
     ).where("rule_host IS NOT NULL AND rule_path IS NOT NULL").distinct()
     lengths = rules.agg(
+        F.count("*").alias("rules"),
         F.collect_set(F.length("rule_host")).alias("hosts"), F.collect_set(F.length("rule_path")).alias("paths"),
         F.collect_set(F.when(~F.endswith("rule_path", F.lit("/")), F.length("rule_path"))).alias("open_paths"),
     ).first()
     listed = rules.withColumn("digest", F.sha2(F.concat("rule_host", "rule_path"), 256)).withColumn(
         "short", F.left("digest", F.lit(PREFIX_DIGITS)))
+    listed = F.broadcast(listed) if lengths["rules"] <= SENT_RULES else listed
 
     pages = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     urls = pages.where("url IS NOT NULL").select("url").distinct()
-    labels = F.split(host_of(F.col("url")), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
     expressions = (
-        urls.withColumn("url_path", path_of(F.col("url")))
-        .withColumn("suffix", F.explode(F.array_distinct(suffixes)))
+        urls.withColumns({"url_path": path_of(F.col("url")), "labels": F.split(host_of(F.col("url")), r"\.")})
+        .withColumn("label", F.explode(F.sequence(F.lit(1), F.size("labels"))))
+        .withColumn("suffix", F.array_join(F.slice("labels", F.col("label"), F.size("labels")), "."))
         .where(F.length("suffix").isin(lengths["hosts"]))
         .withColumn("cut", F.explode(F.filter(_numbers(lengths["paths"]), lambda n: n <= F.length("url_path"))))
         .withColumn("prefix", F.substr("url_path", F.lit(1), F.col("cut")))

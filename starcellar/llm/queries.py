@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starcellar.llm.bpe import decode, digests, encode
 from starcellar.llm.quality import quality
+from starcellar.llm.secret_scan import BASE_RULES, count_of, scan_secrets, span_text
 from starcellar.llm.sharding import shard_documents
+from starcellar.llm.simhash import simhash_groups
 from starcellar.llm.tables import table
 from starcellar.llm.topk import top_k
 from starcellar.llm.toxicity import toxicity
@@ -26,6 +29,19 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), rule_frame(spark, URL_RULES))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_groups(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(table(spark, folder, "documents"))
+    kinds = [rule.kind for rule in BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select(
+        "doc_id", *(count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in kinds),
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -49,5 +65,7 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_url_filter, op5_toxicity, op6_sharding, op7_byte_bpe, op8_quality, op9_top_k)
+    for query in (
+        op1_url_filter, op2_simhash, op4_secret_scan, op5_toxicity, op6_sharding, op7_byte_bpe, op8_quality, op9_top_k,
+    )
 }

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcellar.llm.bpe import decode, digests, encode
+from starcellar.llm.decontaminate import contamination
 from starcellar.llm.quality import quality
 from starcellar.llm.secret_scan import BASE_RULES, count_of, scan_secrets, span_text
 from starcellar.llm.sharding import shard_documents
 from starcellar.llm.simhash import simhash_groups
+from starcellar.llm.substring import remove_repeats
 from starcellar.llm.tables import table
 from starcellar.llm.topk import top_k
 from starcellar.llm.toxicity import toxicity
@@ -33,6 +35,11 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = remove_repeats(table(spark, folder, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_secrets(table(spark, folder, "documents"))
     kinds = [rule.kind for rule in BASE_RULES]
@@ -63,9 +70,14 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op1_url_filter, op2_simhash, op4_secret_scan, op5_toxicity, op6_sharding, op7_byte_bpe, op8_quality, op9_top_k,
+        op1_url_filter, op2_simhash, op3_substring_dedup, op4_secret_scan, op5_toxicity, op6_sharding, op7_byte_bpe,
+        op8_quality, op9_top_k, op10_decontamination,
     )
 }

@@ -170,30 +170,52 @@ def _spans_of(rule: Rule, body: Column) -> Column:
     return F.aggregate(parts, start, add, lambda state: state["spans"])
 
 
-def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text",
-                 keep: Sequence[str] = ()) -> DataFrame:
-    """One row (doc_id, spans, *keep) for each document: spans (start, rank, kind, end) by start, then rule order.
+def with_spans(docs: DataFrame, rules: Sequence[Rule], doc_id: str, text: str, spans: str) -> DataFrame:
+    """The documents with a further column ``spans``: (start, rank, kind, end) by start, then rule order."""
+    listed = stored(candidates(trigram_index(docs, rules, doc_id, text), rules), "secret-candidates").select(
+        F.col("doc_id").alias("listed id"), F.col("kinds").alias("listed kinds"))
+    rows = docs.join(listed, F.col(doc_id).eqNullSafe(F.col("listed id")), "left")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    found = []
+    for n, rule in enumerate(rules):
+        wanted = F.rlike(body, F.lit(rule.pattern))
+        if trigram_query(rule.pattern) is not None:
+            wanted = F.array_contains("listed kinds", rule.kind) & wanted
+        found.append(_ranked(F.when(wanted, _spans_of(rule, body)).otherwise(none), n, rule))
+    return rows.select(*docs.columns, F.array_sort(F.concat(*found)).alias(spans))
+
+
+def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """One row (doc_id, spans) for each document: spans (start, rank, kind, end) by start, then rule order.
 
     Rules whose expression has mandatory trigrams look at those documents alone that the index names; a rule without
     any, like runs of hexadecimal digits, scans every text.  Candidates are found by id, so the texts of a repeated id
     are all looked at; the expression decides in the end, and the result does not depend on the index.
 
     A missing text counts as empty and has no spans.  Repeated rows are scanned each.  An id that is NULL is an id
-    like others.  Columns named in ``keep`` are handed through; other columns are not looked at.
+    like others.  Other columns are not looked at.
     """
-    listed = candidates(trigram_index(docs, rules, doc_id, text), rules)
-    listed = stored(listed, "secret-candidates")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"),
-                       *(F.col(c).alias(f"kept {c}") for c in keep))
-    listed = listed.withColumnRenamed("doc_id", "listed_id")
-    rows = rows.join(listed, rows["doc_id"].eqNullSafe(listed["listed_id"]), "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    for rule in rules:
-        wanted = F.lit(True) if trigram_query(rule.pattern) is None else F.array_contains("kinds", rule.kind)
-        rows = rows.withColumn(f"in {rule.kind}", F.when(
-            wanted & F.rlike("body", F.lit(rule.pattern)), _spans_of(rule, F.col("body"))).otherwise(none))
-    every = F.concat(*(_ranked(F.col(f"in {rule.kind}"), n, rule) for n, rule in enumerate(rules)))
-    return rows.select("doc_id", F.array_sort(every).alias("spans"), *(F.col(f"kept {c}").alias(c) for c in keep))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_spans(rows, rules, "doc_id", "text", "spans").select("doc_id", "spans")
+
+
+def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[secret]", doc_id: str = "doc_id",
+                 text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """The documents, with all their columns, in which each stretch that spans cover is replaced by ``mask``.
+
+    The column ``length``, where there is one, is set to the new length of a text that was changed.  A missing text
+    stays missing.
+    """
+    names = docs.columns
+    rows = with_spans(docs, rules, doc_id, text, "found spans")
+    hit = F.size("found spans") > 0
+    rows = rows.withColumn(text, F.when(hit, masked(F.col(text), F.col("found spans"), mask)).otherwise(F.col(text)))
+    if length in names:
+        kind = docs.schema[length].dataType
+        rows = rows.withColumn(length, F.when(hit, F.length(text).cast(kind)).otherwise(F.col(length)))
+    return rows.select(*names)
 
 
 def _ranked(spans: Column, rank: int, rule: Rule) -> Column:

@@ -238,13 +238,14 @@ def _groups(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                    radius: int = RADIUS) -> DataFrame:
-    """One row (doc_id, digest, fingerprint, component_id) for each document.
+    """One row (doc_id, digest, fingerprint, component_id, root) for each document.
 
     Words are runs of other than ASCII white space with A-Z lower-cased; the fingerprint has a bit where over half of
     the hashes of all runs of ``shingle`` words have it.  A text of fewer words is one run; a missing text or one
     without words has fingerprint 0 and is linked like any other.  Documents are linked when their fingerprints
     differ in at most ``radius`` bits; ``component_id`` is the smallest id reachable, the document's own included,
-    and NULL only where no document reachable has an id.
+    and NULL only where no document reachable has an id.  ``root`` names the component by one of its fingerprints,
+    ``digest`` is the text's MD5, NULL for a missing text.
 
     Equal fingerprints are compared once, however many documents have them.  Repeated rows come back as often as
     given; other columns are not looked at.  Texts are read once: ids and fingerprints go to the shared folder.
@@ -255,6 +256,28 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rooted = nodes.join(roots, nodes["bits"] == roots["node"], "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(groups, "root").select("bits", "component_id")
+    members = rooted.join(groups, "root").select("bits", "component_id", "root")
     return prints.join(members, "bits").select(
-        "doc_id", "digest", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "digest", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                radius: int = RADIUS) -> DataFrame:
+    """The documents, with all their columns, reduced to one of each component.
+
+    The document with the smallest id stays; ids that are NULL come last, ties go by the text's digest.  Of rows equal
+    in id and text one stays.  The chosen ids and digests are joined to the documents, so texts are shuffled once.
+    """
+    chosen = (
+        simhash_groups(docs, doc_id, text, shingle, radius).groupBy("root", "doc_id", "digest")
+        .agg(F.count("*").alias("copies")).groupBy("root")
+        .agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", F.isnull("digest").alias("untold"), "digest",
+                            "copies")).alias("first"))
+        .select(F.col("first.doc_id").alias("chosen id"), F.col("first.digest").alias("chosen digest"),
+                F.col("first.copies").alias("chosen copies"))
+    )
+    chosen = stored(chosen, "simhash-chosen")
+    kept = docs.withColumn("own digest", F.md5(F.col(text).cast("binary"))).join(
+        chosen, F.col(doc_id).eqNullSafe(F.col("chosen id")) & F.col("own digest").eqNullSafe(F.col("chosen digest")))
+    once = kept.where(F.col("chosen copies") == 1).select(*docs.columns)
+    return once.union(kept.where(F.col("chosen copies") > 1).dropDuplicates([doc_id, "own digest"]).select(*docs.columns))

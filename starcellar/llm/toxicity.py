@@ -7,7 +7,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -22,7 +22,8 @@ from starcellar.llm.tables import crc_remainder
 FIT_ROWS = 20_000  # labelled documents the lexicon and the curve are fitted on at most
 LEXICON = 5_000  # entries at most
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that may become entries, beside whole words
-SEEN = 5  # toxic documents an entry must occur in
+SEEN = 5  # toxic documents an entry must occur in; fewer where the sample has less than twenty times as many
+SHARE = 0.005  # and which share of them
 RATIO = 20.0  # how much more often an entry must occur in toxic documents than in others
 
 # Characters drawn like a Latin letter, and digits and signs written for one.  l, i, 1, | and ! are one
@@ -103,9 +104,8 @@ def feature(total: float, words: int) -> float:
     return math.log1p(1000 * total / (words + 20))
 
 
-def learn(labelled: DataFrame, doc_id: str, text: str, label: str, fit_rows: int = FIT_ROWS,
-          exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from a frame of labelled texts, already bounded to ``fit_rows`` rows by the caller.
+def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon from labelled texts, of which the caller gives a bounded number.
 
     Whole words and word beginnings are counted once a document, in Spark; the ``LEXICON`` entries with the highest
     log ratio come to the driver, and one weight and length per row for the curve.
@@ -136,7 +136,7 @@ def learn(labelled: DataFrame, doc_id: str, text: str, label: str, fit_rows: int
     ranked = (
         sample.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") >= min(SEEN, max(1, toxic // 20))).withColumn("weight", ratio)
+        .where(F.col("toxic") >= max(SEEN, SHARE * toxic) if toxic >= 20 * SEEN else F.col("toxic") >= 1 + toxic // 20).withColumn("weight", ratio)
         .where(F.col("weight") > math.log(RATIO)).orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "term")
         .limit(LEXICON)
     )
@@ -192,21 +192,36 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", te
     return rows.mapInArrow(score, f"doc_id {kind}, score double, weight double, words long")
 
 
+def lexicon_from(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS,
+                 doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
+    """A lexicon from at most ``fit_rows`` labelled documents whose crc32 of the id modulo ``folds`` isn't ``held_out``."""
+    sample = bounded_sample(
+        labels, docs, label, lambda i: crc_remainder(i, folds) != held_out, fit_rows, doc_id, text)
+    return learn(sample, "text", "label")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS,
              doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted) for all documents by a lexicon learnt from the labels.
+    """Rows (doc_id, held_out, score, predicted, weight, words) for all documents by a lexicon learnt from the labels.
 
     Labels of rows whose crc32 of the id modulo ``folds`` is ``held_out`` are never learnt from.  At most
     ``fit_rows`` labelled rows are used, chosen by the hash of the id.  Without labels of both kinds every score is
     the share of toxic rows.  ``predicted`` is 1 from a score of 0.5.
     """
-    sample = bounded_sample(
-        labels, docs, label, lambda i: crc_remainder(i, folds) != held_out, fit_rows, doc_id, text)
-    lexicon = learn(sample, "sample_id", "text", "label", fit_rows)
+    lexicon = lexicon_from(docs, labels, folds, held_out, fit_rows, doc_id, text, label)
     return score_toxicity(docs, lexicon, doc_id, text).select(
         "doc_id", (crc_remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "words")
 
 
-def entries_of(lexicon: Lexicon) -> Iterable[str]:
-    return [entry for entry, _ in lexicon.weights]
+def without_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+    """The documents with a score below 0.5, with all their columns.  A missing text stays."""
+    offset, slope = lexicon.curve
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([feature(*weight_of(body or "", lexicon)) for body in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(sigmoid(offset + slope * x) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)

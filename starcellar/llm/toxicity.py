@@ -82,10 +82,10 @@ def automaton(lexicon: Lexicon) -> ahocorasick.Automaton | None:
 def weight_of(text: str, lexicon: Lexicon) -> tuple[float, int]:
     """Weight of the matched words outside exception phrases, each word by its heaviest entry; number of words."""
     folded = fold(text)
-    words = folded.count(" ") - 1
+    words = folded.count(" ") - 1 if folded != "  " else 0
     machine = automaton(lexicon)
-    if machine is None or words <= 0:
-        return 0.0, max(words, 0)
+    if machine is None or not words:
+        return 0.0, words
     best: dict[int, float] = {}
     excused: list[tuple[int, int]] = []
     for end, (size, weight) in machine.iter(folded):

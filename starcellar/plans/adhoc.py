@@ -211,8 +211,8 @@ def adhoc_sql(w: Warehouse, query: str, rows: int = QUESTION_ROWS) -> DataFrame:
     """The first rows of one read-only query over the warehouse tables.
 
     The text is used as a subquery, which is what keeps it read-only: anything but a query does not parse
-    there.
+    there.  It stands on lines of its own, so it may end in a comment.
     """
     for name, table in w.tables_for_sql().items():
         table.createOrReplaceTempView(name)
-    return limited_fetch(w.spark.sql(f"SELECT * FROM ({query.rstrip().rstrip(';')})"), rows)
+    return limited_fetch(w.spark.sql(f"SELECT * FROM (\n{query.rstrip().rstrip(';')}\n)"), rows)

@@ -11,16 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starcellar.functions.money import as_double
+from starcellar.functions.money import as_double, rounded
 from starcellar.plans.warehouse import Warehouse
 
-# Fewest points for a forecast, average days of a month, and the normal quantile of an 80 % band.
+# Fewest points for a forecast (products with fewer days of sales have none), average days of a month, and the normal quantile of an 80 % band.
 MIN_POINTS = 10
 DAYS_PER_MONTH = 30.44
 BAND = 1.2816
-# Orders of the yearly and weekly Fourier terms.
+# Orders of the yearly and weekly Fourier terms, and the weight that holds their coefficients near 0.
 YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
+RIDGE = 1.0
 
 FORECAST_SCHEMA = "ProductKey BIGINT, ds DATE, yhat DOUBLE, yhat_lower DOUBLE, yhat_upper DOUBLE, is_future BOOLEAN"
 
@@ -124,10 +125,10 @@ def linear_forecast(w: Warehouse, months: int = 3) -> DataFrame:
 # Trend with seasons ----------------------------------------------------------------------------------
 
 
-def _terms(days: np.ndarray, origin: int, span: int, yearly: int, weekly: int) -> np.ndarray:
-    """Intercept, line over the history, and yearly and weekly waves for day numbers."""
+def _terms(days: np.ndarray, origin: int, span: int) -> np.ndarray:
+    """Intercept, line over the history, and all yearly and weekly waves for day numbers."""
     columns = [np.ones(len(days)), (days - origin) / max(span, 1)]
-    for period, order in ((365.25, yearly), (7.0, weekly)):
+    for period, order in ((365.25, YEARLY_ORDER), (7.0, WEEKLY_ORDER)):
         for k in range(1, order + 1):
             angle = 2.0 * np.pi * k * days / period
             columns += [np.sin(angle), np.cos(angle)]
@@ -137,21 +138,22 @@ def _terms(days: np.ndarray, origin: int, span: int, yearly: int, weekly: int) -
 def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Days of the history and of the following ``periods``, their fitted values, and the band's half-width.
 
-    Yearly waves need a year of history and weekly ones two weeks; a short series keeps as many waves as its
-    points can carry.  A slight ridge keeps the solution stable where days are sparse.
+    Every series has the same model, however many points it has: a line and both seasons in full.  A fixed ridge on
+    the waves keeps the solution stable where days are sparse; the line is not held back, so residuals sum to 0 and
+    are uncorrelated with time.  The band is as wide as the residuals ask for, freedom counted by the ridge's
+    effective number of terms.
     """
     span = int(days[-1] - days[0])
-    room = max(len(days) - 4, 0) // 4
-    weekly = min(WEEKLY_ORDER, room) if span >= 14 else 0
-    yearly = min(YEARLY_ORDER, max(room - weekly, 0)) if span >= 365 else 0
-    known = _terms(days, days[0], span, yearly, weekly)
-    ridge = np.full(known.shape[1], 1e-5 * len(days))
-    ridge[:2] = 1e-9
-    weights = np.linalg.solve(known.T @ known + np.diag(ridge), known.T @ values)
-    freedom = max(len(days) - known.shape[1], 1)
-    deviation = float(np.sqrt(np.sum((values - known @ weights) ** 2) / freedom))
+    known = _terms(days, days[0], span)
+    scale = max(float(np.abs(values).max()), 1e-9)
+    ridge = np.full(known.shape[1], RIDGE)
+    ridge[:2] = 0.0 if span else 1e-9
+    system = known.T @ known + np.diag(ridge)
+    weights = np.linalg.solve(system, known.T @ (values / scale)) * scale
+    used = float(np.trace(np.linalg.solve(system, known.T @ known)))
+    deviation = float(np.sqrt(np.sum((values - known @ weights) ** 2) / max(len(days) - used, 1.0)))
     every = np.concatenate([days, days[-1] + 1 + np.arange(periods)])
-    return every, _terms(every, days[0], span, yearly, weekly) @ weights, BAND * deviation
+    return every, _terms(every, days[0], span) @ weights, BAND * deviation
 
 
 def _forecast_one(periods: int):
@@ -191,6 +193,24 @@ def forecast(w: Warehouse, months: int = 3) -> DataFrame:
     return seasonal_forecast(daily_histories(w), months)
 
 
+def forecast_fit(w: Warehouse) -> DataFrame:
+    """What holds for the least-squares fit of each product: days covered, and residuals without level or trend.
+
+    The residuals' sum and their sum weighted by the day are given relative to the sales.
+    """
+    history = daily_histories(w)
+    fitted = seasonal_forecast(history).filter("NOT is_future").select("ProductKey", "ds", "yhat")
+    rows = history.join(fitted, ["ProductKey", "ds"], "full_outer")
+    day = F.date_diff("ds", F.lit("1995-01-01").cast("date"))
+    left = F.col("y") - F.col("yhat")
+    return rows.groupBy("ProductKey").agg(
+        F.count("y").alias("points"), F.count("yhat").alias("fitted"), F.min("ds").alias("first_day"),
+        F.max("ds").alias("last_day"),
+        (F.abs(F.sum(left)) < 1e-6 * F.sum(F.abs("y"))).alias("no_level_left"),
+        (F.abs(F.sum(left * day)) < 1e-6 * F.sum(F.abs(F.col("y")) * day)).alias("no_trend_left"),
+    )
+
+
 def forecast_all(w: Warehouse, months: int = 3) -> DataFrame:
     """The forecast over all products together."""
     return seasonal_forecast(_total_history(w), months).drop("ProductKey")
@@ -210,22 +230,22 @@ def summarize(history: DataFrame, predicted: DataFrame, months: int) -> DataFram
         F.col("ds") > F.date_sub("last_day", days)
     ).groupBy("ProductKey").agg(F.sum("y").alias("recent"))
     clipped = {
-        alias: F.round(F.sum(F.greatest(F.col(column), F.lit(0.0))), 2).alias(alias)
+        alias: F.sum(F.greatest(F.col(column), F.lit(0.0))).alias(alias)
         for alias, column in (("forecast_total", "yhat"), ("low_total", "yhat_lower"), ("high_total", "yhat_upper"))
     }
     ahead = predicted.groupBy("ProductKey").agg(*clipped.values())
     totals = recent.join(ahead, recent.ProductKey.eqNullSafe(ahead.ProductKey)).drop(ahead.ProductKey)
-    actual = as_double(F.round("recent", 2))
-    totals = totals.withColumn("recent_actual", actual).withColumn(
+    # Everything is rounded once, at the end: the change is that of the unrounded totals.
+    recent_total = as_double(F.col("recent"))
+    totals = totals.withColumn(
         "pct_change",
-        F.when(
-            F.col("recent_actual") > 0,
-            F.bround((F.col("forecast_total") - F.col("recent_actual")) / F.col("recent_actual") * 100, 1),
-        ),
+        F.when(recent_total > 0, rounded((F.col("forecast_total") - recent_total) / recent_total * 100, 1)),
     )
     change = F.coalesce(F.col("pct_change"), F.lit(0.0))
     return totals.select(
-        "ProductKey", "recent_actual", "forecast_total", "low_total", "high_total", "pct_change",
+        "ProductKey", rounded(recent_total, 2).alias("recent_actual"),
+        *(rounded(F.col(c), 2).alias(c) for c in ("forecast_total", "low_total", "high_total")), "pct_change",
+        # A change of more than 5 % is a trend, one of more than 100 % is implausible.
         F.when(change > 5, "up").when(change < -5, "down").otherwise("flat").alias("trend"),
         F.coalesce(F.abs("pct_change") > 100, F.lit(False)).alias("implausible_growth"),
     )

@@ -127,7 +127,7 @@ STATEMENTS = {
         FROM part GROUP BY p_name""",
     "dim_date": over("SELECT * FROM DimDate", "DimDate"),
     "fixed_calendar": """SELECT CAST(year(o_orderdate) AS INT) AS YearNumber, COUNT(DISTINCT CAST(o_orderdate AS DATE)) AS days,
-        COUNT(*) AS orders FROM orders WHERE year(o_orderdate) NOT BETWEEN 2013 AND 2016 GROUP BY year(o_orderdate)""",
+        COUNT(*) AS orders FROM orders WHERE CAST(o_orderdate AS DATE) NOT BETWEEN DATE '1996-03-01' AND DATE '1998-12-31' GROUP BY year(o_orderdate)""",
     "dim_location": over("SELECT CityID, City, State, Country, Continent FROM DimLocation", "DimLocation"),
     "dim_customer": over("SELECT * EXCLUDE (CustomerKey) FROM DimCustomer", "DimCustomer"),
     "dim_supplier": over("SELECT * EXCLUDE (SupplierKey) FROM DimSupplier", "DimSupplier"),
@@ -141,8 +141,11 @@ STATEMENTS = {
         UNION SELECT o_orderstatus, o_orderstatus FROM orders""",
     "dim_payment_method": """SELECT DISTINCT o_orderpriority AS PaymentMethodID, o_orderpriority AS PaymentMethod
         FROM orders""",
-    "surrogate_key": """SELECT COUNT(*) AS members, COUNT(*) AS distinct_keys, CAST(1 AS BIGINT) AS first_key,
-        COUNT(*) AS last_key FROM customer""",
+    "surrogate_key": """SELECT c_mktsegment, COUNT(*) AS members, COUNT(*) AS distinct_keys,
+            CAST(SUM(CASE WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS stayed,
+            CAST(SUM(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS added
+        FROM customer GROUP BY c_mktsegment""",
+    "loaded_sales": over(SALES_ROWS, "FactSales"),
     "lookup": over(
         """SELECT SupplierKey AS SupplierID, COUNT(*) AS lines, MAX(ExpectedDeliveryDateKey) AS last_key
            FROM FactPurchases GROUP BY SupplierKey""", "FactPurchases"),

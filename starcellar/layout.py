@@ -56,6 +56,12 @@ class Tables:
             self._open[name] = table_source(self.spark, self.folder, name)
         return self._open[name]
 
+    def replaced(self, **tables: DataFrame) -> Tables:
+        """The same tables with some of them given as frames."""
+        other = Tables(self.spark, self.folder)
+        other._open = {**self._open, **tables}
+        return other
+
     # Sales and purchases -------------------------------------------------------------------------
 
     def order_heads(self, since=None, until=None) -> DataFrame:

@@ -5,11 +5,14 @@ Lists of names (categories, methods, types) are the distinct values of a column;
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starcellar.layout import Tables
 from starcellar.operators import dimensions
+from starcellar.operators.lookup import short_list
 from starcellar.schemas import Rules
 
 
@@ -130,10 +133,16 @@ class Operational:
     def costs(self) -> DataFrame:
         return self.tables.stock().select(F.col("ProductKey").alias("StockItemID"), "LastCostPrice")
 
-    def invoice_details(self) -> DataFrame:
-        """Invoice lines with their profit, NULL without a known cost; the delivery method is given per line here."""
+    def invoice_details(self, invoices: DataFrame | None = None) -> DataFrame:
+        """Invoice lines with their profit, NULL without a known cost; the delivery method is given per line here.
+
+        With ``invoices`` only their lines, before anything else is joined to them.
+        """
         costs = self.tables.products().select("ProductKey", "LastCostPrice")
-        lines = self.tables.order_lines().join(costs, "ProductKey", "left")
+        lines = self.tables.order_lines()
+        if invoices is not None:
+            lines = lines.join(invoices.select(F.col("InvoiceID").alias("OrderKey")), "OrderKey", "left_semi")
+        lines = lines.join(costs, "ProductKey", "left")
         return lines.select(
             F.col("OrderKey").alias("InvoiceID"), F.col("ProductKey").alias("ProductID"),
             F.col("DeliveryMethodKey").alias("DeliveryMethodID"), "Quantity", "UnitPrice", "TaxRate", "LineTotal",
@@ -181,38 +190,60 @@ class Operational:
 
     def dim_customer(self) -> DataFrame:
         return dimensions.dim_customer(
-            self.customers(), self.customer_categories(), self.buying_groups(), self.keyed_locations()
+            self.customers(), short_list(self.customer_categories()), short_list(self.buying_groups()),
+            self.keyed_locations(),
         )
 
     def dim_supplier(self) -> DataFrame:
-        return dimensions.dim_supplier(self.suppliers(), self.supplier_categories(), self.keyed_locations())
+        return dimensions.dim_supplier(
+            self.suppliers(), short_list(self.supplier_categories()), self.keyed_locations()
+        )
 
     def dim_product(self) -> DataFrame:
-        return dimensions.dim_product(self.products(), self.categories(), self.colors(), self.inventory())
+        return dimensions.dim_product(
+            self.products(), short_list(self.categories()), short_list(self.colors()), self.inventory()
+        )
 
-    def dims(self) -> dict[str, DataFrame]:
+    def employees(self) -> DataFrame:
+        return self._names("orders", "o_orderpriority", "Employee")
+
+    def dims(self) -> Dims:
         """The dimensions a load looks keys up in, natural keys in place of surrogate keys."""
 
-        def keyed(dimension: DataFrame, natural: str, key: str) -> DataFrame:
-            return dimensions.with_natural_key(dimension, natural, key)
-
-        employees = self._names("orders", "o_orderpriority", "Employee")
-        return {
-            "DimDate": self.dim_date().select("DateKey", "FullDate"),
-            "DimProduct": keyed(self.products().select("ProductID"), "ProductID", "ProductKey"),
-            "DimCustomer": keyed(self.customers().select("CustomerID"), "CustomerID", "CustomerKey"),
-            "DimSupplier": keyed(self.suppliers().select("SupplierID"), "SupplierID", "SupplierKey"),
-            "DimEmployee": keyed(employees.select("EmployeeID"), "EmployeeID", "EmployeeKey"),
-            "DimDeliveryMethod": keyed(
-                self.delivery_methods().select("DeliveryMethodID"), "DeliveryMethodID", "DeliveryMethodKey"
-            ),
-            "DimTransactionType": keyed(
-                self.transaction_types().select("TransactionTypeID"), "TransactionTypeID", "TransactionTypeKey"
-            ),
-            "DimPaymentMethod": keyed(
-                self.payment_methods().select("PaymentMethodID"), "PaymentMethodID", "PaymentMethodKey"
-            ),
-        }
+        def keyed(rows: DataFrame, natural: str, key: str) -> DataFrame:
+            return dimensions.with_natural_key(rows.select(natural), natural, key)
+
+        def listed(rows: DataFrame, entity: str) -> DataFrame:
+            return short_list(keyed(rows, f"{entity}ID", f"{entity}Key"))
+
+        return Dims({
+            "DimDate": lambda: self.dim_date().select("DateKey", "FullDate"),
+            "DimProduct": lambda: keyed(self.products(), "ProductID", "ProductKey"),
+            "DimCustomer": lambda: keyed(self.customers(), "CustomerID", "CustomerKey"),
+            "DimSupplier": lambda: keyed(self.suppliers(), "SupplierID", "SupplierKey"),
+            "DimEmployee": lambda: listed(self.employees(), "Employee"),
+            "DimDeliveryMethod": lambda: listed(self.delivery_methods(), "DeliveryMethod"),
+            "DimTransactionType": lambda: listed(self.transaction_types(), "TransactionType"),
+            "DimPaymentMethod": lambda: listed(self.payment_methods(), "PaymentMethod"),
+        })
+
+
+class Dims(Mapping):
+    """Dimensions by name, each made when a load first asks for it."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
 
 
 # Rules the given tables are checked against.  The data breaks some of them: its lines have no unique

@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DROP, FAIL, KEEP = "drop", "fail", "keep"
+LIST_ROWS = 10_000  # a list of names, such as delivery methods, has at most so many
+
+
+def short_list(df: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+    """A list of names that is sent to every task, so that the few keys of a fact's rows are never shuffled by.
+
+    The list is fetched, which checks its size: a longer one is no list, and the load fails instead of broadcasting it.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a list of {', '.join(df.columns)} has more than {rows} rows")
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 def lookup(

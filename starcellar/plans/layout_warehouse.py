@@ -30,13 +30,13 @@ class LayoutWarehouse(Warehouse):
 
     Orders, lines and products are joined only where a query uses columns of both sides: every line has
     its order, product, customer and supplier, because the operational database enforces those references
-    (``constraint_report`` checks them).  With ``enforced_keys=False`` the joins a load would make are
-    always made, so lines without an order or product drop out even where nothing else is read from them.
+    (``constraint_report`` checks them).  Tables whose references do not hold are resolved once before
+    (``operators.resolve``), so that all queries see the same rows.
     """
 
-    def __init__(self, tables: Tables, enforced_keys: bool = True):
+    def __init__(self, tables: Tables):
         super().__init__(tables.spark)
-        self.tables, self.enforced_keys = tables, enforced_keys
+        self.tables = tables
 
     def dimension(self, name: str) -> DataFrame:
         return {
@@ -60,8 +60,6 @@ class LayoutWarehouse(Warehouse):
             last = bounds.select(F.date_add("last_day", 1).cast("timestamp_ntz")).scalar()
             # A load looks up the expected date in the calendar and drops lines outside it.
             lines = lines.filter((F.col("l_shipdate") >= first) & (F.col("l_shipdate") < last))
-        if not self.enforced_keys:
-            lines = lines.join(self.tables.products().select("ProductKey"), "ProductKey", "left_semi")
         return lines
 
     def _line_column(self, name: str, column: str) -> Column:
@@ -84,7 +82,7 @@ class LayoutWarehouse(Warehouse):
         from_line = [c for c in columns if c not in heads]
         lines = self._lines(name).select("OrderKey", *(self._line_column(name, c) for c in from_line))
         restricted = since is not None or until is not None or only is not None
-        if from_head or restricted or not self.enforced_keys:
+        if from_head or restricted:
             head = self.tables.order_heads(since, until)
             if only is not None:
                 # Before the join, so that the lines meet the chosen orders only.

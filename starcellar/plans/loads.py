@@ -17,6 +17,7 @@ from starcellar.operators.lookup import DROP, KEEP, lookup
 from starcellar.session import scratch_path
 from starcellar.sources.files import csv_source, limited_fetch
 from starcellar.sources.sinks import WatermarkStore, append_sink, read_versioned, reload_sink, write_versioned
+from starcellar.plans.star_load import StarLoad
 from starcellar.streaming.sales import stream_fact_sales as run_stream
 
 MARK = dt.date(1998, 6, 30)
@@ -130,8 +131,8 @@ def dim_date(t: Tables) -> DataFrame:
 
 
 def fixed_calendar(t: Tables) -> DataFrame:
-    """The orders' days that the early fixed calendar of 2013 to 2016 would not have covered, by year."""
-    covered = dimensions.fixed_calendar("2013-01-01", "2016-12-31", t.spark).select("FullDate")
+    """The orders' days that a fixed calendar of some years does not cover, by year."""
+    covered = dimensions.fixed_calendar("1996-03-01", "1998-12-31", t.spark).select("FullDate")
     days = t.order_heads().groupBy(F.col("OrderDate").alias("FullDate")).agg(F.count(F.lit(1)).alias("orders"))
     missing = days.join(covered, "FullDate", "left_anti")
     return missing.groupBy(F.year("FullDate").alias("YearNumber")).agg(
@@ -159,6 +160,17 @@ def dim_employee(t: Tables) -> DataFrame:
     return dimensions.dim_employee(employee_filter(t))
 
 
+def loaded_sales(t: Tables) -> DataFrame:
+    """Sales by natural keys after a first load up to the mark, a load of the rest, and a repeated run of that."""
+    load = StarLoad(Operational(t), scratch_path(t.spark, "star"))
+    load.load_dimensions()
+    load.load_sales(until=MARK)
+    load.load_dimensions()
+    load.load_sales()
+    load.load_sales()
+    return with_doubles(load.sales_by_natural_keys())
+
+
 def dim_delivery_method(t: Tables) -> DataFrame:
     return dimensions.dim_delivery_method(Operational(t).delivery_methods())
 
@@ -172,13 +184,17 @@ def dim_payment_method(t: Tables) -> DataFrame:
 
 
 def surrogate_key(t: Tables) -> DataFrame:
-    """Keys of all customers after two loads, the second with the customers of one more segment."""
+    """Keys after two loads, the second with one more segment: by segment, whether a key was given before and stayed."""
     customers = t.read("customer")
-    first = keys.surrogate_key(customers.filter("c_mktsegment <> 'BUILDING'"), "c_custkey", "CustomerKey")
-    both = keys.surrogate_key(customers, "c_custkey", "CustomerKey", assigned=first)
-    return both.agg(
+    first = keys.surrogate_key(customers.filter("c_mktsegment <> 'BUILDING'"), "c_custkey", "FirstKey")
+    both = keys.surrogate_key(
+        customers, "c_custkey", "CustomerKey", assigned=first.withColumnRenamed("FirstKey", "CustomerKey"))
+    known = customers.select("c_custkey", "c_mktsegment").join(both, "c_custkey").join(first, "c_custkey", "left")
+    before = first.agg(F.max("FirstKey")).scalar()
+    return known.groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("members"), F.count_distinct("CustomerKey").alias("distinct_keys"),
-        F.min("CustomerKey").alias("first_key"), F.max("CustomerKey").alias("last_key"),
+        F.count_if(F.col("FirstKey") == F.col("CustomerKey")).alias("stayed"),
+        F.count_if(F.col("CustomerKey") > before).alias("added"),
     )
 
 
@@ -237,7 +253,8 @@ def fact_financial(t: Tables) -> DataFrame:
 def incremental_fact(t: Tables, mark: dt.date = MARK) -> DataFrame:
     """Sales after the mark."""
     op = Operational(t)
-    return with_doubles(_fact_sales(op, facts.newer_rows(op.invoices(), "InvoiceDate", mark)))
+    newer = facts.newer_rows(op.invoices(), "InvoiceDate", mark)
+    return with_doubles(facts.fact_sales(newer, op.invoice_details(newer), op.dims()))
 
 
 def incremental_purchases(t: Tables, mark: dt.date = MARK) -> DataFrame:
@@ -356,20 +373,16 @@ def stream_fact_sales(t: Tables) -> DataFrame:
     """The sales fact loaded as a stream of line files, by month."""
     op, output = Operational(t), scratch_path(t.spark, "stream-sales")
 
-    class Batch(Tables):
-        """The given tables with the lines of one batch in place of all lines."""
-
-        def __init__(self, lines: DataFrame):
-            super().__init__(t.spark, t.folder)
-            self._open["lineitem"] = lines
-
-    invoices, dims = op.invoices(), op.dims()
+    load = StarLoad(op, scratch_path(t.spark, "star"))
+    load.load_dimensions()
 
     def to_fact(lines: DataFrame) -> DataFrame:
-        return facts.fact_sales(invoices, Operational(Batch(lines)).invoice_details(), dims)
+        # Dimensions come from storage; of the invoices only those of the batch meet its lines.
+        own = op.invoices().join(lines.select(F.col("l_orderkey").alias("InvoiceID")), "InvoiceID", "left_semi")
+        return facts.fact_sales(own, Operational(t.replaced(lineitem=lines)).invoice_details(), load.dims())
 
     run_stream(
-        t.spark, t.folder, "lineitem*.parquet", t.read("lineitem").schema, to_fact, output,
+        t.spark, f"{t.folder}/lineitem.parquet", t.read("lineitem").schema, to_fact, output,
         scratch_path(t.spark, "stream-checkpoint"),
     )
     return _by_month(t.spark.read.parquet(output))

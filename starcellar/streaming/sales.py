@@ -1,4 +1,4 @@
-"""Sales load as a stream over the folder of line files.
+"""Sales load as a stream over the files of a table.
 
 The checkpoint takes the place of the load log: a file is loaded once, whenever it arrives, so lines that
 arrive late on a day already loaded are not missed.
@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 
 
 def stream_fact_sales(
-    spark: SparkSession, folder: str, pattern: str, schema, to_fact, output: str, checkpoint: str,
-    files_per_batch: int | None = None,
+    spark: SparkSession, table: str, schema, to_fact, output: str, checkpoint: str, files_per_batch: int | None = None,
 ) -> None:
     """Append the facts of every line file not loaded yet, then stop.
 
-    ``to_fact`` turns a batch of lines into fact rows with the joins of the batch load.  Each batch writes its
+    ``table`` is the table's own path: a folder of files, at any depth, or a single file.  ``to_fact`` turns a batch of lines into fact rows with the joins of the batch load.  Each batch writes its
     own partition, so a batch that is repeated after a failure replaces its rows instead of doubling them.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
@@ -30,7 +29,7 @@ def stream_fact_sales(
         )
 
     query = (
-        reader.parquet(folder).writeStream.foreachBatch(write)
+        reader.parquet(table).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

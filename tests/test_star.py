@@ -1,6 +1,7 @@
 """Calendar, dimensions, lookups, facts and keys on hand-written rows."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_sets, day
 from starcellar.functions import calendar
-from starcellar.functions.money import margin_label, margin_percent, money_label, ratio, ratio_or_zero
+from starcellar.functions.money import margin_label, margin_percent, money_label, ratio, ratio_or_zero, rounded
 from starcellar.operators import dimensions, facts
 from starcellar.operators.keys import fact_key, surrogate_key
 from starcellar.operators.lookup import DROP, FAIL, KEEP, lookup
@@ -226,15 +227,26 @@ def test_rankings(spark):
 
 
 def test_money(spark):
-    rows = [(1250000.0, "$1.2M"), (-5.0, "$-5.00"), (999.994, "$999.99"), (3400.0, "$3.4K"), (None, "N/A"), (0.0, "$0.00")]
+    rows = [(2450000.0, "$2.5M"), (1150.0, "$1.1K"), (1250.0, "$1.2K"), (2.675, "$2.67"), (0.125, "$0.12"), (0.375, "$0.38"),
+            (1250000.0, "$1.2M"), (-5.0, "$-5.00"), (999.994, "$999.99"), (3400.0, "$3.4K"), (None, "N/A"), (0.0, "$0.00")]
     df = spark.createDataFrame(rows, "v DOUBLE, want STRING")
     assert all(r[0] == r[1] for r in df.select(money_label(F.col("v")), "want").collect())
     pairs = spark.createDataFrame(
-        [(Decimal(1), Decimal(8)), (Decimal(0), Decimal(8)), (Decimal(1), Decimal(0)), (None, None)],
+        [(Decimal(245), Decimal(10000)), (Decimal(1), Decimal(8)), (Decimal(0), Decimal(8)), (Decimal(1), Decimal(0)), (None, None)],
         "p DECIMAL(18,2), s DECIMAL(18,2)",
     )
     p, s = F.col("p"), F.col("s")
-    assert [r[0] for r in pairs.select(margin_percent(p, s)).collect()] == [12.5, None, None, None]
-    assert [r[0] for r in pairs.select(margin_label(p, s)).collect()] == ["12.5%", "N/A", "N/A", "N/A"]
-    assert [r[0] for r in pairs.select(ratio(p, s)).collect()] == [0.125, 0.0, None, None]
-    assert [r[0] for r in pairs.select(ratio_or_zero(p, s)).collect()] == [0.125, 0.0, 0.0, None]
+    assert [r[0] for r in pairs.select(margin_percent(p, s)).collect()] == [2.5, 12.5, None, None, None]
+    assert [r[0] for r in pairs.select(margin_label(p, s)).collect()] == ["2.5%", "12.5%", "N/A", "N/A", "N/A"]
+    assert [r[0] for r in pairs.select(ratio(p, s)).collect()] == [0.0245, 0.125, 0.0, None, None]
+    assert [r[0] for r in pairs.select(ratio_or_zero(p, s)).collect()] == [0.0245, 0.125, 0.0, 0.0, None]
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    draw = random.Random(4)
+    values = [draw.choice([1, 10, 1e3, 1e6, 1e9]) * draw.random() for _ in range(500)]
+    values += [k / 8 for k in range(-40, 40)] + [k + 0.05 for k in range(300)] + [k + 0.005 for k in range(300)] + [0.0, 1e17, 123456789012.345]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    for digits in (1, 2):
+        got = [r[0] for r in df.select(rounded(F.col("v"), digits)).collect()]
+        assert got == [round(v, digits) for v in values]

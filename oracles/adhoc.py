@@ -23,6 +23,14 @@ JOIN DimDate AS dd ON fs.InvoiceDateKey = dd.DateKey
 WHERE dd.YearNumber = (SELECT MAX(YearNumber) FROM DimDate)
 GROUP BY dc.CustomerName ORDER BY TotalSales DESC, dc.CustomerName LIMIT 5"""
 
+SELLERS = """SELECT de.IsSalesperson, dm.DeliveryMethod, CAST(SUM(fs.LineTotal) AS DOUBLE) AS TotalSales
+FROM FactSales AS fs JOIN DimEmployee AS de ON fs.EmployeeKey = de.EmployeeKey
+JOIN DimDeliveryMethod AS dm ON fs.DeliveryMethodKey = dm.DeliveryMethodKey
+GROUP BY de.IsSalesperson, dm.DeliveryMethod -- by who sold it"""
+LISTS = """DimEmployee AS (SELECT DISTINCT o_orderpriority AS EmployeeKey, o_orderpriority <> '4-NOT SPECIFIED' AS IsSalesperson
+    FROM orders),
+DimDeliveryMethod AS (SELECT DISTINCT l_linestatus AS DeliveryMethodKey, l_linestatus AS DeliveryMethod FROM lineitem)"""
+
 BY_YEAR = f"SELECT d.YearNumber, {TOTAL} AS Revenue FROM FactSales f {ON_DATE} GROUP BY d.YearNumber"
 
 # Daily sales by product, with at least ten days; x counts days from the calendar's first day.
@@ -130,6 +138,7 @@ STATEMENTS = {
     "example_category_sales": over(
         f"SELECT dp.Category, {TOTAL} AS revenue FROM FactSales f {ON_PRODUCT} GROUP BY dp.Category", *SALES_TABLES),
     "adhoc_sql": over(QUESTION, *SALES_TABLES),
+    "adhoc_sql_lists": over(f"WITH {LISTS} {SELLERS}", "FactSales"),
     "daily_history": over(
         f"SELECT d.FullDate AS ds, {TOTAL} AS y FROM FactSales f {ON_DATE} GROUP BY d.FullDate", *SALES_TABLES),
     "daily_history_product": over(

@@ -140,6 +140,13 @@ STATEMENTS = {
         f"""SELECT COALESCE(cl.Country, 'Unknown') AS CustomerCountry, COALESCE(sl.Country, 'Unknown') AS SupplierCountry,
                    {money('SUM(f.TransactionAmount)')} AS amount, COUNT(*) AS transaction_count
             FROM {PAYS} GROUP BY cl.Country, sl.Country""", *PAYS_TABLES),
+    "sales_by_salesperson": over(
+        f"""SELECT f.EmployeeKey <> '4-NOT SPECIFIED' AS IsSalesperson, f.DeliveryMethodKey AS DeliveryMethod,
+                   {REVENUE} AS revenue, COUNT(*) AS line_count FROM FactSales f GROUP BY ALL""", "FactSales"),
+    "payments_by_method": over(
+        f"""SELECT COALESCE(f.PaymentMethodKey, 'Unknown') AS PaymentMethod, f.TransactionTypeKey AS TransactionType,
+                   COALESCE(cl.Country, 'Unknown') AS CustomerCountry, {money('SUM(f.TransactionAmount)')} AS amount,
+                   {money('SUM(f.RemainingBalance)')} AS balance FROM {PAYS} GROUP BY ALL""", *PAYS_TABLES),
     "degenerate_dim": grouped(
         "f.TransactionSource", f"{money('SUM(f.TransactionAmount)')} AS amount, COUNT(*) AS transaction_count",
         "FactFinancialTransactions f", PAYS_TABLES),

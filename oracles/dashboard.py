@@ -141,8 +141,12 @@ STATEMENTS = {
             report_part("top_products", "dp.Product", "f.LineTotal", f"FactSales f {ON_PRODUCT} {ON_DATE}"),
             report_part("top_customers", "dc.CustomerName", "f.LineTotal", f"FactSales f {ON_CUSTOMER} {ON_DATE}"),
             report_part("top_suppliers", "ds.SupplierName", COST_AT_LAST, PURCHASES),
+            *(f"""SELECT CAST(NULL AS INT), CAST(NULL AS INT), '{name}', ROW_NUMBER() OVER (ORDER BY {order}, dp.Product),
+                         dp.Product, CAST(fi.CurrentStock AS DOUBLE) FROM {STOCK} WHERE {where}
+                  QUALIFY ROW_NUMBER() OVER (ORDER BY {order}, dp.Product, fi.ProductKey) <= 10"""
+              for name, where, order in (("low_stock", LOW, "fi.CurrentStock"), ("overstock", OVER, f"{EXCESS} DESC"))),
         ]),
-        "FactSales", "FactPurchases", "DimProduct", "DimCustomer", "DimSupplier", "DimDate"),
+        "FactInventory", "FactSales", "FactPurchases", "DimProduct", "DimCustomer", "DimSupplier", "DimDate"),
     "recent_trend": over(
         f"""SELECT d.MonthName || ' ' || d.YearNumber AS period, {BOTH} FROM FactSales f {ON_DATE}
             GROUP BY d.YearNumber, d.MonthNumber, d.MonthName ORDER BY d.YearNumber DESC, d.MonthNumber DESC

@@ -207,6 +207,13 @@ class Operational:
     def employees(self) -> DataFrame:
         return self._names("orders", "o_orderpriority", "Employee")
 
+    def salespeople(self) -> DataFrame:
+        """Employees with whether they sell."""
+        return self.employees().select(
+            "EmployeeID", F.col("EmployeeName").alias("FullName"),
+            (F.col("EmployeeName") != "4-NOT SPECIFIED").alias("IsSalesperson"),
+        )
+
     def dims(self) -> Dims:
         """The dimensions a load looks keys up in, natural keys in place of surrogate keys."""
 

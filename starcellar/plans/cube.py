@@ -165,21 +165,23 @@ def role_dates(w: Warehouse) -> DataFrame:
 
 
 def reference_dims(w: Warehouse) -> DataFrame:
-    """Amounts by country of the customer and of the supplier: one location dimension reached two ways.
+    """Amounts by country of the customer and of the supplier: one location dimension in two roles.
 
     Summed by customer and supplier first; a transaction has one of the two, the other is unknown.
     """
-    cells = w.totals("payments", ["CustomerKey", "SupplierKey"], {"amount": "amount", "transaction_count": "lines"})
-    for dim, label in (("customer", "CustomerCountry"), ("supplier", "SupplierCountry")):
-        key = DIMENSIONS[dim].key
-        countries = w.dimension("location").select("LocationKey", F.col("Country").alias(label))
-        members = w.dimension(dim).select(key, "LocationKey").join(countries, "LocationKey").drop("LocationKey")
-        cells = cells.join(members, key, "left").withColumn(label, F.coalesce(F.col(label), F.lit(UNKNOWN)))
-    by = ("CustomerCountry", "SupplierCountry")
-    summed = cells.groupBy(*by).agg(
-        F.sum("amount").alias("amount"), F.sum("transaction_count").alias("transaction_count")
-    )
-    return summed.select(*by, *doubles(["amount", "transaction_count"]))
+    return cube_slice(w, "payments", ("CustomerCountry", "SupplierCountry"),
+                      {"amount": "amount", "transaction_count": "lines"}, unknown=True)
+
+
+def sales_by_salesperson(w: Warehouse) -> DataFrame:
+    """Revenue and invoices by whether the employee sells, and by delivery method."""
+    return cube_slice(w, "sales", ("IsSalesperson", "DeliveryMethod"), {"revenue": "revenue", "line_count": "lines"})
+
+
+def payments_by_method(w: Warehouse) -> DataFrame:
+    """Amounts by payment method, transaction type and the customer's country, unknown where there is none."""
+    return cube_slice(w, "payments", ("PaymentMethod", "TransactionType", "CustomerCountry"),
+                      {"amount": "amount", "balance": "balance"}, unknown=True)
 
 
 def degenerate_dim(w: Warehouse) -> DataFrame:

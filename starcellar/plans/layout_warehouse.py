@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcellar.layout import Tables
+from starcellar.operational import Operational
+from starcellar.operators import dimensions
 from starcellar.plans.warehouse import Day, Derived, Warehouse, unique
 
 # Columns of an order head; all other fact columns belong to its lines.
@@ -25,6 +27,10 @@ LINE_COLUMNS = {
 }
 
 
+def _listed(rows: DataFrame, natural: str, key: str) -> DataFrame:
+    return dimensions.with_natural_key(rows, natural, key)
+
+
 class LayoutWarehouse(Warehouse):
     """The star over the given tables, joined when a query asks for it.
 
@@ -39,11 +45,21 @@ class LayoutWarehouse(Warehouse):
         self.tables = tables
 
     def dimension(self, name: str) -> DataFrame:
+        source = Operational(self.tables)
         return {
             "product": self.tables.products,
             "customer": self.tables.customers,
             "supplier": self.tables.suppliers,
             "location": self.tables.locations,
+            "employee": lambda: _listed(dimensions.dim_employee(source.salespeople()), "EmployeeID", "EmployeeKey"),
+            "delivery": lambda: _listed(
+                dimensions.dim_delivery_method(source.delivery_methods()), "DeliveryMethodID", "DeliveryMethodKey"),
+            "type": lambda: _listed(
+                dimensions.dim_transaction_type(source.transaction_types()), "TransactionTypeID", "TransactionTypeKey"),
+            "payment": lambda: _listed(
+                dimensions.dim_payment_method(source.payment_methods()), "PaymentMethodID", "PaymentMethodKey"),
+            "customer_place": lambda: self.place("customer", "Customer"),
+            "supplier_place": lambda: self.place("supplier", "Supplier"),
         }[name]()
 
     def stock(self) -> DataFrame:

@@ -1,14 +1,14 @@
 """Figures of the monthly executive report and of the advice snapshot.
 
-Each figure exists for one month, as the report asks for it, and ``monthly_report`` has all figures for
-every month at once, which costs one pass over each fact instead of one query per month.
+Each figure exists for one month, as the report asks for it, and ``monthly_report`` has the figures of every month
+at once, and the present stock's, instead of one query per month.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starcellar.functions.calendar import month_range, previous_month
@@ -72,9 +72,9 @@ def advice_overstock(w: Warehouse) -> DataFrame:
 
 
 def monthly_report(w: Warehouse) -> DataFrame:
-    """Every figure of the report for every month, one row per figure.
+    """The figures of the report for every month and its two stock lists, one row per figure.
 
-    ``section`` names the figure, ``position`` ranks it within the month.  Names are ranked after they
+    Stock is what it is now, so its rows have no month; their amount is the stock.  ``section`` names the figure, ``position`` ranks it within the month.  Names are ranked after they
     are summed per month; Spark cuts each month to five names before the ranking shuffle.
     """
 
@@ -98,6 +98,13 @@ def monthly_report(w: Warehouse) -> DataFrame:
         best("top_customers", "sales", "CustomerName", "revenue"),
         best("top_suppliers", "purchases", "SupplierName", "cost_at_last"),
     ]
+    for name, rows in (("low_stock", month_low_stock(w)), ("overstock", month_overstock(w))):
+        level = [c for c in rows.columns if c not in ("Product", "CurrentStock")][0]
+        gap = F.asc("CurrentStock") if name == "low_stock" else F.desc(F.col("CurrentStock") - F.col(level))
+        place = F.row_number().over(Window.orderBy(gap, "Product"))  # ten rows
+        none = F.lit(None).cast("int")
+        parts.append(section(F.lit(name), rows.withColumns({
+            "position": place, "YearNumber": none, "MonthNumber": none}), "Product", "CurrentStock"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

@@ -52,9 +52,7 @@ class StarLoad:
         op = self.source
         return {
             "DimProduct": op.dim_product(), "DimCustomer": op.dim_customer(), "DimSupplier": op.dim_supplier(),
-            "DimEmployee": dimensions.dim_employee(op.employees().select(
-                "EmployeeID", F.col("EmployeeName").alias("FullName"),
-                (F.col("EmployeeName") != "4-NOT SPECIFIED").alias("IsSalesperson"))),
+            "DimEmployee": dimensions.dim_employee(op.salespeople()),
             "DimDeliveryMethod": dimensions.dim_delivery_method(op.delivery_methods()),
             "DimTransactionType": dimensions.dim_transaction_type(op.transaction_types()),
             "DimPaymentMethod": dimensions.dim_payment_method(op.payment_methods()),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcellar.plans.warehouse import DIMENSIONS, FACTS, Day, Fact, Warehouse, summed
-from starcellar.sources.sinks import reload_sink
+from starcellar.sources.sinks import current_version, next_version, reload_sink, switch_version
 
 YEAR = "LoadYear"
 DATES = {"sales": "InvoiceDate", "purchases": "PurchaseDate", "movements": "MovementDate",
@@ -33,17 +33,20 @@ def _stored_facts() -> dict[str, Fact]:
 
 
 def store_warehouse(source: Warehouse, root: str) -> None:
-    """Write all dimensions and facts below ``root``.
+    """Write all dimensions and facts as a new version below ``root``; readers see it when it is complete.
 
     ``rebalance`` groups rows by year into files of even size, splitting a year that holds most of the rows.
     """
+    version = next_version(source.spark, root)
+    target = f"{root}/{version}"
     for name in DIMENSIONS:
-        reload_sink(source.dimension(name), f"{root}/dimension/{name}")
-    reload_sink(source.stock(), f"{root}/stock")
-    reload_sink(source.calendar_bounds(), f"{root}/calendar")
+        reload_sink(source.dimension(name), f"{target}/dimension/{name}")
+    reload_sink(source.stock(), f"{target}/stock")
+    reload_sink(source.calendar_bounds(), f"{target}/calendar")
     for name, fact in _stored_facts().items():
         rows = source.star(name, list(fact.columns)).withColumn(YEAR, F.year(DATES[name]))
-        reload_sink(rows.hint("rebalance", YEAR), f"{root}/fact/{name}", (YEAR,))
+        reload_sink(rows.hint("rebalance", YEAR), f"{target}/fact/{name}", (YEAR,))
+    switch_version(source.spark, root, version)
 
 
 class StoredWarehouse(Warehouse):
@@ -51,7 +54,10 @@ class StoredWarehouse(Warehouse):
 
     def __init__(self, spark: SparkSession, root: str):
         super().__init__(spark)
-        self.root = root
+        version = current_version(spark, root)
+        if version is None:
+            raise FileNotFoundError(f"no warehouse stored below {root}")
+        self.root = f"{root}/{version}"
         self._open: dict[str, DataFrame] = {}
 
     def _read(self, path: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcellar.functions.calendar import ATTRIBUTES, calendar_columns, date_key
+from starcellar.operators.lookup import short_list
 
 Day = dt.date | Column | None
 
@@ -47,8 +48,12 @@ class Measure:
 
 @dataclass(frozen=True)
 class Dimension:
+    """``listed``: a short list, which is sent to every task; ``table``: its name in questions, if it has one."""
+
     key: str
     attributes: tuple[str, ...]
+    table: str | None = None
+    listed: bool = False
 
 
 @dataclass(frozen=True)
@@ -63,13 +68,27 @@ class Fact:
     """Distinct counts: measure name to the column whose values are counted."""
 
 
+PLACE = ("City", "State", "Country", "Continent")
 DIMENSIONS = {
-    "product": Dimension("ProductKey", ("ProductID", "Product", "Category", "Color", "Brand", "LastCostPrice")),
+    "product": Dimension(
+        "ProductKey", ("ProductID", "Product", "Category", "Color", "Brand", "LastCostPrice"), "DimProduct"
+    ),
     "customer": Dimension(
-        "CustomerKey", ("CustomerID", "CustomerName", "CustomerCategory", "BuyingGroup", "LocationKey")
+        "CustomerKey", ("CustomerID", "CustomerName", "CustomerCategory", "BuyingGroup", "LocationKey"), "DimCustomer"
+    ),
+    "supplier": Dimension(
+        "SupplierKey", ("SupplierID", "SupplierName", "SupplierCategory", "LocationKey"), "DimSupplier"
     ),
-    "supplier": Dimension("SupplierKey", ("SupplierID", "SupplierName", "SupplierCategory", "LocationKey")),
-    "location": Dimension("LocationKey", ("CityID", "City", "State", "Country", "Continent")),
+    "location": Dimension("LocationKey", ("CityID", "City", "State", "Country", "Continent"), "DimLocation"),
+    "employee": Dimension("EmployeeKey", ("EmployeeID", "FullName", "IsSalesperson"), "DimEmployee", True),
+    "delivery": Dimension("DeliveryMethodKey", ("DeliveryMethodID", "DeliveryMethod"), "DimDeliveryMethod", True),
+    "type": Dimension(
+        "TransactionTypeKey", ("TransactionTypeID", "TransactionType"), "DimInventoryTransactionType", True
+    ),
+    "payment": Dimension("PaymentMethodKey", ("PaymentMethodID", "PaymentMethod"), "DimPaymentMethod", True),
+    # One location in two roles, for facts that name both a customer and a supplier.
+    "customer_place": Dimension("CustomerKey", tuple(f"Customer{a}" for a in PLACE)),
+    "supplier_place": Dimension("SupplierKey", tuple(f"Supplier{a}" for a in PLACE)),
 }
 
 
@@ -130,7 +149,7 @@ FACTS: dict[str, Fact] = {
     "sales": Fact(
         ("InvoiceID", "InvoiceDate", "ProductKey", "CustomerKey", "EmployeeKey", "DeliveryMethodKey", "Quantity",
          "UnitPrice", "TaxRate", "LineTotal"),
-        ("product", "customer", "location"),
+        ("product", "customer", "location", "employee", "delivery"),
         {
             **calendar_of("InvoiceDate"),
             "FullName": copied("EmployeeKey"),
@@ -151,7 +170,7 @@ FACTS: dict[str, Fact] = {
     "purchases": Fact(
         ("PurchaseOrderID", "PurchaseDate", "ExpectedDate", "ProductKey", "SupplierKey", "DeliveryMethodKey",
          "QuantityOrdered", "UnitCostPrice", "TaxRate", "LineCost"),
-        ("product", "supplier", "location"),
+        ("product", "supplier", "location", "delivery"),
         {
             **calendar_of("PurchaseDate"),
             **calendar_of("ExpectedDate", "Expected"),
@@ -169,7 +188,7 @@ FACTS: dict[str, Fact] = {
     ),
     "movements": Fact(
         ("MovementDate", "ProductKey", "InvoiceID", "PurchaseOrderID", "TransactionTypeKey", "Quantity"),
-        ("product",),
+        ("product", "type"),
         {**calendar_of("MovementDate"), "TransactionType": copied("TransactionTypeKey")},
         {
             "quantity": summed("Quantity"),
@@ -183,7 +202,7 @@ FACTS: dict[str, Fact] = {
         ("TransactionDate", "CustomerKey", "SupplierKey", "InvoiceID", "PurchaseOrderID", "PaymentMethodKey",
          "TransactionTypeKey", "TransactionSource", "NetAmount", "TaxAmount", "TransactionAmount",
          "RemainingBalance"),
-        ("customer", "supplier"),
+        ("customer", "supplier", "customer_place", "supplier_place", "payment", "type"),
         {**calendar_of("TransactionDate"), "TransactionType": copied("TransactionTypeKey")},
         {
             "net": summed("NetAmount"),
@@ -227,6 +246,11 @@ class Warehouse:
     def dimension(self, name: str) -> DataFrame:
         raise NotImplementedError
 
+    def place(self, dim: str, prefix: str) -> DataFrame:
+        """The members of a dimension with their location's columns under a prefix."""
+        places = self.dimension("location").select("LocationKey", *(F.col(a).alias(f"{prefix}{a}") for a in PLACE))
+        return self.dimension(dim).select(DIMENSIONS[dim].key, "LocationKey").join(places, "LocationKey").drop("LocationKey")
+
     def stock(self) -> DataFrame:
         raise NotImplementedError
 
@@ -283,6 +307,7 @@ class Warehouse:
             spec = DIMENSIONS[dim]
             attributes = [a for a in spec.attributes if a in wanted and a not in df.columns]
             members = self.dimension(dim).select(spec.key, *attributes)
+            members = short_list(members) if spec.listed else members
             df = df.join(members, spec.key, "left" if unknown else "inner")
             if unknown:
                 texts = {f.name for f in members.schema.fields if f.dataType.simpleString() == "string"}
@@ -422,7 +447,7 @@ class Warehouse:
         bounds = self.calendar_bounds()
         days = bounds.select(F.explode(F.sequence("first_day", "last_day")).alias("day"))
         tables = {"DimDate": days.select(*calendar_columns(F.col("day"))), "FactInventory": self.stock()}
-        tables |= {f"Dim{dim.capitalize()}": self.dimension(dim) for dim in DIMENSIONS}
+        tables |= {spec.table: self.dimension(dim) for dim, spec in DIMENSIONS.items() if spec.table}
         for name, (table, keys, extra) in SQL_TABLES.items():
             fact = self.facts[name]
             own = [c for c in fact.columns if c not in keys.values()]

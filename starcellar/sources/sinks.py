@@ -32,7 +32,7 @@ def reload_sink(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), on
 def _latest(spark: SparkSession, root: str) -> DataFrame | None:
     """The pointer rows of a versioned table, or None before the first version."""
     try:
-        return spark.read.schema("version STRING, written TIMESTAMP").json(f"{root}/pointer")
+        return spark.read.schema("version STRING").json(f"{root}/pointer")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -40,10 +40,9 @@ def _latest(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """Name of the version the pointer names: one row is fetched, whatever the table's size."""
+    """Name of the version the pointer names, the one with the highest number."""
     pointer = _latest(spark, root)
-    row = pointer.orderBy(F.desc("written"), F.desc("version")).first() if pointer is not None else None
-    return row["version"] if row else None
+    return pointer.agg(F.max("version")).first()[0] if pointer is not None else None
 
 
 def read_versioned(spark: SparkSession, root: str) -> DataFrame:
@@ -53,17 +52,27 @@ def read_versioned(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{version}")
 
 
+def next_version(spark: SparkSession, root: str) -> str:
+    """A name that stands after the current version's, whatever the clocks say."""
+    current = current_version(spark, root)
+    number = int(current.split("-")[1]) + 1 if current else 1
+    return f"v-{number:012d}-{uuid.uuid4().hex}"
+
+
+def switch_version(spark: SparkSession, root: str, version: str) -> None:
+    """Make a version that is written in full the one that readers see."""
+    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{root}/pointer")
+
+
 def write_versioned(df: DataFrame, root: str) -> str:
     """Write a whole new version beside the old one, then switch the pointer.
 
     Readers see the old version until the new one is complete, and a job that dies half-way leaves a
     folder nobody points to.  This is what makes it safe to write a table derived from itself.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = next_version(df.sparkSession, root)
     df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written"))
-    pointer.write.mode("append").json(f"{root}/pointer")
+    switch_version(df.sparkSession, root, version)
     return version
 
 

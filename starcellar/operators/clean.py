@@ -6,6 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from starcellar.schemas import OPERATIONAL
 
 # The columns that hold dates.
 DATE_COLUMNS = (
@@ -52,6 +55,18 @@ def project_rename(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) ->
 
 # Extract columns and the operational columns they become.
 CONFORMED: dict[str, dict[str, str]] = {
+    "Countries": {"CountryID": "CountryID", "CountryName": "CountryName", "Continent": "Continent", "Region": "Region"},
+    "StateProvinces": {
+        "StateProvinceID": "StateProvinceID", "StateProvinceName": "StateProvinceName", "CountryID": "CountryID",
+    },
+    **{
+        table: {f"{entity}{part}": f"{entity}{part}" for part in ("ID", "Name")}
+        for table, entity in (
+            ("CustomerCategories", "CustomerCategory"), ("BuyingGroups", "BuyingGroup"),
+            ("SupplierCategories", "SupplierCategory"), ("Colors", "Color"), ("PaymentMethods", "PaymentMethod"),
+            ("DeliveryMethods", "DeliveryMethod"), ("TransactionTypes", "TransactionType"),
+        )
+    },
     "Cities": {
         "CityID": "CityID", "CityName": "CityName", "StateProvinceID": "StateProvinceID",
         "LatestRecordedPopulation": "Population",
@@ -171,3 +186,17 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
     return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(*df.columns)
+
+
+# Extract columns that are used before a table is conformed, and columns that are computed and in no extract.
+BEFORE_CONFORMING = {"Employees": "IsEmployee INT"}
+COMPUTED = {"OrderDetails": {"LineTotal", "ProfitAmount"}, "InvoiceDetails": set(), "Products": {"StockGroupID"}}
+
+
+def extract_schema(table: str) -> T.StructType:
+    """The columns an extract is read for, under the extract's names and with the operational table's types."""
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(OPERATIONAL[table])}
+    fields = [
+        T.StructField(old, kinds[new]) for old, new in CONFORMED[table].items() if old not in COMPUTED.get(table, set())
+    ]
+    return T.StructType([*fields, *T.StructType.fromDDL(BEFORE_CONFORMING.get(table, "")).fields])

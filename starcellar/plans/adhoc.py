@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starcellar.functions.money import as_double, ratio, ratio_or_zero
-from starcellar.operators.ranking import top_n, top_n_per_group
+from starcellar.operators.ranking import top_n
 from starcellar.plans.dashboard import LOW, monthly, ranked, stock_with_names
 from starcellar.plans.warehouse import Warehouse
 from starcellar.sources.files import QUESTION_ROWS, limited_fetch
@@ -89,21 +89,24 @@ def customer_metrics(w: Warehouse, n: int = 5) -> DataFrame:
 def customer_retention(w: Warehouse, n: int = 5) -> DataFrame:
     """Top customers with their last purchase and the category they spend most on."""
     best = best_customers(w, n)
-    rows = sales_of(w, best, ["InvoiceID", "InvoiceDate", "LineTotal", "ProfitAmount"])
-    figures = rows.groupBy("CustomerKey").agg(
-        F.sum("ProfitAmount").alias("TotalProfit"),
-        F.count_distinct("InvoiceID").alias("OrderCount"),
-        F.sum("LineTotal").alias("spent"),
-        F.count("LineTotal").alias("lines"),
-        F.max("InvoiceDate").alias("LastPurchaseDate"),
+    rows = sales_of(w, best, ["InvoiceID", "InvoiceDate", "LineTotal", "ProfitAmount", "Category"])
+    # One pass: the chosen customers' lines by category and by order, then both sides folded by customer.
+    cells = rows.groupingSets(
+        [["CustomerKey", "Category"], ["CustomerKey", "InvoiceID"]], "CustomerKey", "Category", "InvoiceID"
+    ).agg(
+        F.sum("ProfitAmount").alias("profit"), F.sum("LineTotal").alias("spent"), F.count("LineTotal").alias("lines"),
+        F.max("InvoiceDate").alias("latest"), (F.grouping("Category") == 1).alias("by_order"),
     )
-    by_category = sales_of(w, best, ["Category", "LineTotal"]).groupBy("CustomerKey", "Category").agg(
-        F.sum("LineTotal").alias("CategoryRevenue")
-    )
-    favourite = top_n_per_group(by_category, ["CustomerKey"], 1, "CategoryRevenue", "Category").select(
-        "CustomerKey", F.col("Category").alias("TopCategory"), F.col("CategoryRevenue").alias("TopCategoryRevenue")
-    )
-    return best.join(figures, "CustomerKey").join(favourite, "CustomerKey", "left").select(
+    order, category = F.col("by_order"), ~F.col("by_order")
+    figures = cells.groupBy("CustomerKey").agg(
+        F.sum(F.when(order, F.col("profit"))).alias("TotalProfit"),
+        F.count_if(order).alias("OrderCount"),
+        F.sum(F.when(order, F.col("spent"))).alias("spent"),
+        F.sum(F.when(order, F.col("lines"))).alias("lines"),
+        F.max("latest").alias("LastPurchaseDate"),
+        F.min_by(F.struct("Category", "spent"), F.when(category, F.struct(-F.col("spent"), "Category"))).alias("favourite"),
+    ).withColumns({"TopCategory": F.col("favourite.Category"), "TopCategoryRevenue": F.col("favourite.spent")})
+    return best.join(figures, "CustomerKey").select(
         "CustomerID", "CustomerName", *_doubles("TotalRevenue", "TotalProfit"), "OrderCount",
         ratio(F.col("spent"), F.col("lines")).alias("AvgOrderValue"),
         "LastPurchaseDate", "TopCategory", *_doubles("TopCategoryRevenue"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of the score an item has against itself
 OVERLAP = 0.6  # share of the question's and of the answer's words that must be found
-SHINGLE = 3
+SHINGLE = 2
 MIN_WORDS = 8  # shorter items occur by chance and are not looked for
 PASSAGE = 128  # words, more if an item is longer than half of them
 BLOCK = 64  # postings of a block

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import math
 import re
 import unicodedata
@@ -20,10 +21,11 @@ from starcellar.llm.logistic import fit, sigmoid
 from starcellar.llm.tables import crc_remainder
 
 FIT_ROWS = 20_000  # labelled documents the lexicon and the curve are fitted on at most
-LEXICON = 5_000  # entries at most
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that may become entries, beside whole words
-SEEN = 5  # toxic documents an entry must occur in; fewer where the sample has less than twenty times as many
-SHARE = 0.005  # and which share of them
+CANDIDATES = 20_000  # terms that entries are chosen from at most
+SEEN = 3  # toxic documents that an entry must explain
+SHARE = 0.002  # and which share of them
+COVER = 4  # entries that a toxic document is explained by; more of its words are not looked for
 RATIO = 20.0  # how much more often an entry must occur in toxic documents than in others
 
 # Characters drawn like a Latin letter, and digits and signs written for one.  l, i, 1, | and ! are one
@@ -104,22 +106,58 @@ def feature(total: float, words: int) -> float:
     return math.log1p(1000 * total / (words + 20))
 
 
+def _terms(text: str | None) -> set[str]:
+    """Whole words and word beginnings of a text, folded."""
+    words = set(fold(text or "").split())
+    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) >= n}
+
+
+def explaining(documents: list[list[int]], terms: list[str], clean: list[int], least: float) -> list[int]:
+    """Numbers of the terms chosen, in order; ``documents`` has the terms of each toxic document, ``clean`` the number of
+    clean documents of each term.
+
+    A term that continues a chosen one, or that a chosen one continues, stands for the same words and is passed over.
+    """
+    inside: dict[int, list[int]] = {}
+    for at, found in enumerate(documents):
+        for n in found:
+            inside.setdefault(n, []).append(at)
+    needs, chosen, passed = [COVER] * len(documents), [], set()
+    # the gain of a term only falls, so a stale one at the top is counted again and put back
+    heap = [(2 * clean[n] - len(rows), terms[n], n) for n, rows in inside.items()]
+    heapq.heapify(heap)
+    while heap:
+        negative, term, n = heapq.heappop(heap)
+        if -negative < least:
+            break
+        if any(term.startswith(t) or t.startswith(term) for t in passed):
+            continue
+        gain = sum(needs[at] > 0 for at in inside[n]) - 2 * clean[n]
+        if gain < -negative:
+            if gain >= least:
+                heapq.heappush(heap, (-gain, term, n))
+            continue
+        chosen.append(n)
+        passed.add(term)
+        for at in inside[n]:
+            needs[at] -= 1
+    return chosen
+
+
 def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from labelled texts, of which the caller gives a bounded number.
 
-    Whole words and word beginnings are counted once a document, in Spark; the ``LEXICON`` entries with the highest
-    log ratio come to the driver, and one weight and length per row for the curve.
+    Whole words and word beginnings are counted once a document, in Spark, and those much more frequent in toxic
+    documents are candidates.  Entries are chosen one by one: each time the candidate that explains the most toxic
+    documents not yet explained by ``COVER`` entries, less twice the clean ones it occurs in.  Chance words of a toxic
+    document are left out that way, as its words of abuse explain it already.
     """
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for body, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(fold(body or "").split())
-                found = {f" {w} " for w in words}
-                found.update(f" {w[:n]}" for w in words for n in STEMS if len(w) >= n)
-                counts[toxic == 1].update(found)
-            entries = list(counts[True])  # a term of clean documents alone cannot become an entry
-            entries += [t for t in counts[False] if t not in counts[True]]
+                counts[toxic == 1].update(_terms(body))
+            entries = list(counts[True].keys() | counts[False].keys())
             yield pa.RecordBatch.from_pydict({
                 "term": pa.array(entries, pa.string()),
                 "toxic": pa.array([counts[True][t] for t in entries], pa.int64()),
@@ -133,14 +171,23 @@ def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...
         share = (toxic + 0.5) / (toxic + clean + 1)
         return Lexicon((), exceptions, (math.log(share / (1 - share)), 0.0))
     ratio = F.log(((F.col("toxic") + 0.1) / toxic) / ((F.col("clean") + 0.1) / clean))
+    least = max(SEEN, SHARE * toxic)
     ranked = (
         sample.mapInArrow(terms, "term string, toxic long, clean long").groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") >= max(SEEN, SHARE * toxic) if toxic >= 20 * SEEN else F.col("toxic") >= 1 + toxic // 20).withColumn("weight", ratio)
-        .where(F.col("weight") > math.log(RATIO)).orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "term")
-        .limit(LEXICON)
+        .where(F.col("toxic") >= least).withColumn("weight", ratio).where(F.col("weight") > math.log(RATIO))
+        .orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "term").limit(CANDIDATES).collect()
     )
-    plain = Lexicon(tuple((r["term"], float(r["weight"])) for r in ranked.collect()), exceptions)
+    number = {r["term"]: n for n, r in enumerate(ranked)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(number[t] for t in _terms(body) if t in number) for body in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["terms"])
+
+    documents = [r["terms"] for r in sample.where("label = 1").select("text").mapInArrow(held, "terms array<int>").collect()]
+    chosen = explaining(documents, [r["term"] for r in ranked], [r["clean"] for r in ranked], least)
+    plain = Lexicon(tuple((ranked[n]["term"], float(ranked[n]["weight"])) for n in chosen), exceptions)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,6 +16,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcellar.llm.tables import portions
+
 CHUNK = 32_768  # characters a chunk adds
 OVERLAP = 512  # characters two neighbouring chunks share
 LOOKAHEAD = 3  # characters before a chunk's end whose splits may depend on what follows
@@ -155,7 +157,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load()
-        for batch in batches:
+        for batch in portions(batches):
             found = [vocab.whole(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(found)], ["doc_id", "ids"])
 
@@ -173,7 +175,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load()
-        for batch in batches:
+        for batch in portions(batches):
             n, of, body = (batch.column(i).to_pylist() for i in (2, 3, 4))
             found = [b"" if o == 1 else boundaries(t, vocab, i + 1 == o).tobytes() for i, o, t in zip(n, of, body)]
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +227,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load()
-        for batch in batches:
+        for batch in portions(batches):
             column = batch.column(1)
             found = [vocab.bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])

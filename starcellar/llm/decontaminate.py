@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcellar.llm.tables import portions
+
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of the score an item has against itself
 OVERLAP = 0.6  # share of the question's and of the answer's words that must be found
@@ -192,7 +194,7 @@ def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_byt
     )
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string())),
             ], ["item_id", "text", "words"])
@@ -266,7 +268,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def query(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches):
                 columns = list(zip(*leaks(batch.column(1).to_pylist(), sent.value))) or [()] * 6
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(columns[0], pa.int64())),
@@ -286,7 +288,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[row[0] for row in leaks(batch.column(at).to_pylist(), sent.value)]] = False
                 yield batch.filter(pa.array(clean))

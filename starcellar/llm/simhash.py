@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starcellar.llm.components import components
-from starcellar.llm.tables import binaries, slices, stored
+from starcellar.llm.tables import binaries, portions, slices, stored
 
 BITS = 64
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts = binaries(batch.column(2))
             found = []
             for begin, end in slices(np.array([len(t) for t in texts]), 1 << 22):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from starcellar.session import scratch_path
 
+PORTION = 2 << 20  # bytes of rows that Python functions work on at a time
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,6 +41,14 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def portions(batches: Iterator[pa.RecordBatch], size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batches cut to rows of about ``size`` bytes, so that a task holds few texts at once in Python."""
+    for batch in batches:
+        rows = max(1, size * batch.num_rows // max(batch.nbytes, 1))
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows of at most ``limit`` together; a larger row stands alone."""
     start = total = 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starcellar.llm.logistic import fit, sigmoid
-from starcellar.llm.tables import crc_remainder
+from starcellar.llm.tables import crc_remainder, portions
 
 FIT_ROWS = 20_000  # labelled documents the lexicon and the curve are fitted on at most
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that may become entries, beside whole words
@@ -153,7 +153,7 @@ def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...
     document are left out that way, as its words of abuse explain it already.
     """
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for body, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[toxic == 1].update(_terms(body))
@@ -181,7 +181,7 @@ def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...
     number = {r["term"]: n for n, r in enumerate(ranked)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [sorted(number[t] for t in _terms(body) if t in number) for body in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["terms"])
 
@@ -190,7 +190,7 @@ def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...
     plain = Lexicon(tuple((ranked[n]["term"], float(ranked[n]["weight"])) for n in chosen), exceptions)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [feature(*weight_of(body or "", plain)) for body in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
@@ -226,7 +226,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", te
     offset, slope = lexicon.curve
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [weight_of(body or "", lexicon) for body in batch.column(1).to_pylist()]
             x = np.array([feature(*f) for f in found])
             yield pa.RecordBatch.from_arrays([
@@ -267,7 +267,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Data
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             x = np.array([feature(*weight_of(body or "", lexicon)) for body in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(sigmoid(offset + slope * x) < 0.5))
 

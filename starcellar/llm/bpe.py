@@ -7,12 +7,13 @@ import functools
 import hashlib
 import itertools
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +22,25 @@ from starcellar.llm.tables import portions
 CHUNK = 32_768  # characters a chunk adds
 OVERLAP = 512  # characters two neighbouring chunks share
 LOOKAHEAD = 3  # characters before a chunk's end whose splits may depend on what follows
-CACHE = 200_000  # pieces a worker keeps the tokens of
+CACHE = 100_000  # pieces a worker keeps the tokens of
 SHORT = 64  # longer pieces are not kept
 
 ENCODED = "doc_id {kind}, ids array<int>"
 
 
+@functools.lru_cache(maxsize=4)
+def token_bytes(ranks: bytes) -> dict[int, bytes]:
+    """The bytes of each token of a rank file."""
+    return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, ranks.splitlines())}
+
+
 class Vocabulary:
     """Ranks of byte strings and the pattern that splits text before any merge."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        table = {token: rank for rank, token in token_bytes(ranks).items()}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.token_bytes = dict(zip(table.values(), table.keys()))
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -56,10 +62,6 @@ class Vocabulary:
         """Ids of a whole text."""
         return np.array(self.library.encode_ordinary(text), dtype=np.int32) if _newer(text) else self.ids(self.pieces(text))
 
-    def bytes_of(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
-
-
 @functools.lru_cache(maxsize=4)
 def vocabulary(ranks: bytes, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
@@ -152,7 +154,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
         raise ValueError("a chunk must be at least as long as the overlap, and the overlap longer than the lookahead")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    load = _loader(docs, ranks_path, pattern)
+    ranks = _sent(docs, ranks_path)
+    load = lambda: vocabulary(ranks.value, pattern)
     size = F.char_length("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,26 +222,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     return short.unionByName(long)
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """The rows (doc_id, ids) with ``decoded``: the bytes of all ids one after the other.  No ids: no bytes."""
     rows = encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    load = _loader(encoded, ranks_path, pattern)
+    ranks = _sent(encoded, ranks_path)
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load()
+        table = token_bytes(ranks.value)  # all that decoding needs
         for batch in portions(batches):
             column = batch.column(1)
-            found = [vocab.bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in column]
+            found = [b"".join(map(table.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(found, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return rows.mapInArrow(bytes_of, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def _loader(df: DataFrame, ranks_path: str, pattern: str) -> Callable[[], Vocabulary]:
+def _sent(df: DataFrame, ranks_path: str) -> Broadcast:
+    """The rank file, read by the driver and sent to the tasks."""
     with open(ranks_path, "rb") as file:
-        ranks = df.sparkSession.sparkContext.broadcast(file.read())
-    return lambda: vocabulary(ranks.value, pattern)
+        return df.sparkSession.sparkContext.broadcast(file.read())
 
 
 def digests(decoded: DataFrame) -> DataFrame:

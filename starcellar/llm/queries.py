@@ -59,7 +59,7 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode(table(spark, folder, "documents"), RANKS, PATTERN)
-    return digests(decode(encoded, RANKS, PATTERN))
+    return digests(decode(encoded, RANKS))
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -47,6 +47,7 @@ def portions(batches: Iterator[pa.RecordBatch], size: int = PORTION) -> Iterator
         rows = max(1, size * batch.num_rows // max(batch.nbytes, 1))
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

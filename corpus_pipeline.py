@@ -39,7 +39,7 @@ def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded texts."""
-    return digests(decode(encode(docs, RANKS, PATTERN), RANKS, PATTERN))
+    return digests(decode(encode(docs, RANKS, PATTERN), RANKS))
 
 
 STAGES: list[tuple[str, Stage]] = [

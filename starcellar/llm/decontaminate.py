@@ -22,7 +22,7 @@ THRESHOLD = 0.6  # of the score an item has against itself
 OVERLAP = 0.6  # share of the question's and of the answer's words that must be found
 SHINGLE = 2
 MIN_WORDS = 8  # shorter items occur by chance and are not looked for
-PASSAGE = 128  # words, more if an item is longer than half of them
+PASSAGE = 128  # words, doubled until an item is no longer than half of them
 BLOCK = 64  # postings of a block
 PART_BYTES = 8 << 20  # item text that one index holds; more items make more indexes
 
@@ -48,6 +48,14 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:(len(words) + 1) // 2], words[(len(words) + 1) // 2:]
 
 
+def passage_for(words: int) -> int:
+    """Words of the passages in which an item of so many words is looked for, whatever other items there are."""
+    size = PASSAGE
+    while size < 2 * words:
+        size *= 2
+    return size
+
+
 def overlap(part: list[str], passage: list[str]) -> float:
     """Share of the part's words that stand in a run of ``SHINGLE`` words (or of all its words) of the passage too."""
     n = min(SHINGLE, len(part))
@@ -93,7 +101,7 @@ class Index:
         self.light = np.zeros(len(items))
         for at, (_, text) in enumerate(items):
             words = words_of(text)
-            self.passage = max(self.passage, 2 * len(words))
+            self.passage = max(self.passage, passage_for(len(words)))
             norm = K1 * (1 - B + B * len(words) / mean)
             impact = {
                 w: math.log1p((total - found_in[w] + 0.5) / (found_in[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)
@@ -186,8 +194,8 @@ class Index:
 
 
 def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_bytes: int,
-             threshold: float) -> Iterator[Index]:
-    """One index for each part of the items; the numbers in BM25 are those of all items."""
+             threshold: float) -> Iterator[list[Index]]:
+    """For each part of the items one index for each length of passage; the numbers in BM25 are those of all items."""
     rows = (
         items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
         .where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -210,7 +218,11 @@ def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_byt
         own = rows.where(F.col("part") == part)
         held = sorted((r["item_id"], r["text"]) for r in own.select("item_id", "text").collect())
         terms = own.select(F.explode("words").alias("word")).distinct().join(found_in, "word")
-        yield Index(held, {r["word"]: r["n"] for r in terms.collect()}, total, mean, threshold)
+        counts = {r["word"]: r["n"] for r in terms.collect()}
+        alike: dict[int, list[tuple[int, str]]] = {}
+        for item in held:
+            alike.setdefault(passage_for(len(words_of(item[1]))), []).append(item)
+        yield [Index(x, counts, total, mean, threshold) for _, x in sorted(alike.items())]
 
 
 HITS = "doc_id {kind}, item_id long, word long, score double, question_overlap double, answer_overlap double"
@@ -247,8 +259,8 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
     """Rows (doc_id, item_id, word, score, question_overlap, answer_overlap) of passages that hold a test item.
 
     Words are runs of letters, digits and underscores in lower case.  Every document is read in passages of
-    ``PASSAGE`` words (twice the longest item if that is more), each beginning half a passage after the last, so an
-    item stands whole in at least one of them.  A passage retrieves all items whose BM25 score is at least
+    ``PASSAGE`` words, each beginning half a passage after the last, so an item stands whole in at least one of them;
+    for items longer than half of that the length is doubled until they are not, for each item by itself.  A passage retrieves all items whose BM25 score is at least
     ``threshold`` of what the item scores against itself; it is reported if at least ``OVERLAP`` of the words of the
     item's question and of its answer stand in runs of ``SHINGLE`` words common to both.  ``word`` is where the
     passage begins.  Clean documents give no row.
@@ -264,12 +276,13 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = HITS.format(kind=rows.schema["doc_id"].dataType.simpleString())
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in _indexes(items, item_id, item_text, min_words, part_bytes, threshold):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(items, item_id, item_text, min_words, part_bytes, threshold):
+        sent = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def query(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in portions(batches):
-                columns = list(zip(*leaks(batch.column(1).to_pylist(), sent.value))) or [()] * 6
+                texts = batch.column(1).to_pylist()
+                columns = list(zip(*(row for index in sent.value for row in leaks(texts, index)))) or [()] * 6
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(columns[0], pa.int64())),
                     *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), *[pa.float64()] * 3))),
@@ -284,13 +297,14 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id
                   part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents, with all their columns, in which no test item is found."""
     at = docs.columns.index(text)
-    for index in _indexes(items, item_id, item_text, min_words, part_bytes, threshold):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(items, item_id, item_text, min_words, part_bytes, threshold):
+        sent = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in portions(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[row[0] for row in leaks(batch.column(at).to_pylist(), sent.value)]] = False
+                texts = batch.column(at).to_pylist()
+                clean[[row[0] for index in sent.value for row in leaks(texts, index)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -77,6 +77,19 @@ def test_planted_items(spark, make_docs, items, part_bytes):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([*range(100, 130), 200, -1])
 
 
+def test_long_items_leave_short_ones_as_they_are(spark, make_docs):
+    draw = random.Random(7)
+    short, long = sentence(draw, 20), " ".join(f"w{i}" for i in range(2_000))
+    words = short.split()
+    far = " ".join(" ".join([*words[i:i + 4], *["yyy"] * 60]) for i in range(0, 20, 4))
+    docs = make_docs([(1, far), (2, f"yyy {short} yyy"), (3, f"{'yyy ' * 900}{long}")])
+    for bench in ([(1, short)], [(1, short), (2, long)]):
+        items = spark.createDataFrame(bench, "item_id long, text string")
+        for part_bytes in (1 << 20, 100):
+            found = contamination(docs, items, part_bytes=part_bytes).collect()
+            assert {(r.doc_id, r.item_id) for r in found} == {(2, 1), (3, 2)} & {(i + 1, i) for i, _ in bench}
+
+
 def test_without_items_or_documents(spark, docs, no_docs, items, texts):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame(items, none.schema)

@@ -19,7 +19,8 @@ from starcellar.llm.tables import portions
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of the score an item has against itself
-OVERLAP = 0.6  # share of the question's and of the answer's words that must be found
+OVERLAP = 0.6  # share of the question's and of the answer's words, or of the whole item's, that must be found
+PART_WORDS = 8  # a shorter question or answer is not judged by itself, as one changed word takes most of its pairs
 SHINGLE = 2
 MIN_WORDS = 8  # shorter items occur by chance and are not looked for
 PASSAGE = 128  # words, doubled until an item is no longer than half of them
@@ -56,6 +57,15 @@ def passage_for(words: int) -> int:
     return size
 
 
+def parts_of(text: str) -> tuple[list[str], ...]:
+    """What must be found of an item, each by itself: its question and its answer if a question mark parts them and
+    both have ``PART_WORDS`` words; else the item as a whole."""
+    question, _, answer = text.rpartition("?")
+    if min(len(words_of(question)), len(words_of(answer))) >= PART_WORDS:
+        return question_and_answer(text)
+    return (words_of(text),)
+
+
 def overlap(part: list[str], passage: list[str]) -> float:
     """Share of the part's words that stand in a run of ``SHINGLE`` words (or of all its words) of the passage too."""
     n = min(SHINGLE, len(part))
@@ -94,7 +104,7 @@ class Index:
                  threshold: float = THRESHOLD):
         self.threshold = threshold
         self.ids = [i for i, _ in items]
-        self.parts = [question_and_answer(text) for _, text in items]
+        self.parts = [parts_of(text) for _, text in items]
         self.passage = PASSAGE
         postings: dict[str, tuple[list[int], list[float]]] = {}
         heavy: dict[str, tuple[list[int], list[float]]] = {}
@@ -247,9 +257,9 @@ def leaks(texts: list[str | None], index: Index) -> list[tuple[int, int, int, fl
         start = (begin - int(first[owner])) * step
         passage = docs[owner][start:start + index.passage]
         for item, score in index.search(passage):
-            question, answer = (overlap(part, passage) for part in index.parts[item])
-            if question >= OVERLAP and answer >= OVERLAP:
-                rows.append((owner, index.ids[item], start, score, question, answer))
+            found = [overlap(part, passage) for part in index.parts[item]]
+            if min(found) >= OVERLAP:
+                rows.append((owner, index.ids[item], start, score, found[0], found[-1]))
     return rows
 
 
@@ -260,10 +270,12 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
 
     Words are runs of letters, digits and underscores in lower case.  Every document is read in passages of
     ``PASSAGE`` words, each beginning half a passage after the last, so an item stands whole in at least one of them;
-    for items longer than half of that the length is doubled until they are not, for each item by itself.  A passage retrieves all items whose BM25 score is at least
-    ``threshold`` of what the item scores against itself; it is reported if at least ``OVERLAP`` of the words of the
-    item's question and of its answer stand in runs of ``SHINGLE`` words common to both.  ``word`` is where the
-    passage begins.  Clean documents give no row.
+    for items longer than half of that the length is doubled until they are not, for each item by itself.  A passage
+    retrieves all items whose BM25 score is at least ``threshold`` of what the item scores against itself; it is
+    reported if at least ``OVERLAP`` of the words of the item's question and of its answer stand in runs of
+    ``SHINGLE`` words common to both.  An item without a question mark between them, or with fewer than ``PART_WORDS``
+    words in one of them, is judged as a whole, and both overlaps are the whole item's: so a short answer may be
+    changed or missing.  ``word`` is where the passage begins.  Clean documents give no row.
 
     The items are indexed by parts of at most ``part_bytes`` of text, and each part's index is sent to the tasks; every
     document queries every part.  Before the postings are walked, one grouping over all passages of a batch finds

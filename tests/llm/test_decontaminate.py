@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from starcellar.llm.decontaminate import (
-    Index, contaminated_passages, contamination, leaks, overlap, question_and_answer, without_leaks, words_of,
+    Index, contaminated_passages, contamination, leaks, overlap, parts_of, question_and_answer, without_leaks, words_of,
 )
 from tests.llm.conftest import sentence
 
@@ -105,3 +105,26 @@ def test_questions_and_answers():
     assert question_and_answer("") == ([], [])
     assert overlap("a b c d".split(), "x a b c y".split()) == 0.75
     assert overlap([], ["a"]) == 1.0
+
+
+def test_near_copies_with_replaced_and_cut_off_words():
+    draw = random.Random(6)
+    ends = [". Two words.", ". And three words.", "? Two words.", "? One"]
+    held = [(i, f"{sentence(draw, 24).capitalize()}{ends[i % 4]}") for i in range(40)]
+    held += [(40 + i, f"{sentence(draw, 20)}? {sentence(draw, 12)}") for i in range(10)]
+    index, held = index_of(held)
+    for i, text in held:
+        words = words_of(text)
+        for at in range(len(words)):  # any word replaced
+            copy = [*words[:at], "zzz", *words[at + 1:]]
+            assert i in {row[1] for row in leaks([" ".join(["yyy"] * 90 + copy + ["yyy"] * 90)], index)}, (i, at)
+        assert i in {row[1] for row in leaks([" ".join(["yyy"] * 90 + words[:-3] + ["yyy"] * 90)], index)}, i
+        assert not leaks([" ".join(words[:len(words) // 2])], index)
+    assert not leaks([" ".join(words_of(t)[:20]) for i, t in held if i >= 40], index)  # long answers must be there
+
+
+def test_parts_that_are_judged():
+    long = "one two three four five six seven eight"
+    assert parts_of(f"{long}? {long}") == (long.split(), long.split())
+    assert parts_of(f"{long}? {long[4:]}") == ((long + " " + long[4:]).split(),)
+    assert parts_of(f"{long}. {long}.") == parts_of(f"{long} {long}?") == ((long + " " + long).split(),)

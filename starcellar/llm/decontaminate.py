@@ -22,7 +22,7 @@ THRESHOLD = 0.6  # of the score an item has against itself
 OVERLAP = 0.6  # share of the question's and of the answer's words, or of the whole item's, that must be found
 PART_WORDS = 8  # a shorter question or answer is not judged by itself, as one changed word takes most of its pairs
 SHINGLE = 2
-MIN_WORDS = 8  # shorter items occur by chance and are not looked for
+MIN_WORDS = 8  # shorter items must stand word for word
 PASSAGE = 128  # words, doubled until an item is no longer than half of them
 BLOCK = 64  # postings of a block
 PART_BYTES = 8 << 20  # item text that one index holds; more items make more indexes
@@ -66,9 +66,9 @@ def parts_of(text: str) -> tuple[list[str], ...]:
     return (words_of(text),)
 
 
-def overlap(part: list[str], passage: list[str]) -> float:
-    """Share of the part's words that stand in a run of ``SHINGLE`` words (or of all its words) of the passage too."""
-    n = min(SHINGLE, len(part))
+def overlap(part: list[str], passage: list[str], shingle: int = SHINGLE) -> float:
+    """Share of the part's words that stand in a run of ``shingle`` words (or of all its words) of the passage too."""
+    n = min(shingle, len(part))
     if not n:
         return 1.0
     there = set(zip(*(passage[i:] for i in range(n))))
@@ -101,10 +101,11 @@ class Index:
     """
 
     def __init__(self, items: list[tuple[int, str]], found_in: dict[str, int], total: int, mean: float,
-                 threshold: float = THRESHOLD):
+                 threshold: float = THRESHOLD, min_words: int = MIN_WORDS):
         self.threshold = threshold
         self.ids = [i for i, _ in items]
         self.parts = [parts_of(text) for _, text in items]
+        self.shingle: list[int] = []  # words of the runs that must be common, for a short item all of its words
         self.passage = PASSAGE
         postings: dict[str, tuple[list[int], list[float]]] = {}
         heavy: dict[str, tuple[list[int], list[float]]] = {}
@@ -112,6 +113,9 @@ class Index:
         for at, (_, text) in enumerate(items):
             words = words_of(text)
             self.passage = max(self.passage, passage_for(len(words)))
+            self.shingle.append(SHINGLE if len(words) >= min_words else len(words))
+            if len(words) < min_words:
+                self.parts[at] = (words,)
             norm = K1 * (1 - B + B * len(words) / mean)
             impact = {
                 w: math.log1p((total - found_in[w] + 0.5) / (found_in[w] + 0.5)) * tf * (K1 + 1) / (tf + norm)
@@ -217,7 +221,7 @@ def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_byt
                 *batch.columns, pa.array([words_of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string())),
             ], ["item_id", "text", "words"])
 
-    rows = rows.mapInArrow(listed, "item_id long, text string, words array<string>").where(F.size("words") >= min_words)
+    rows = rows.mapInArrow(listed, "item_id long, text string, words array<string>").where(F.size("words") > 0)
     total, mean, size = rows.agg(
         F.count("*"), F.avg(F.size("words")), F.sum(F.octet_length("text").cast("long"))).first()
     parts = max(1, -(-(size or 0) // part_bytes))
@@ -232,7 +236,7 @@ def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_byt
         alike: dict[int, list[tuple[int, str]]] = {}
         for item in held:
             alike.setdefault(passage_for(len(words_of(item[1]))), []).append(item)
-        yield [Index(x, counts, total, mean, threshold) for _, x in sorted(alike.items())]
+        yield [Index(x, counts, total, mean, threshold, min_words) for _, x in sorted(alike.items())]
 
 
 HITS = "doc_id {kind}, item_id long, word long, score double, question_overlap double, answer_overlap double"
@@ -257,7 +261,7 @@ def leaks(texts: list[str | None], index: Index) -> list[tuple[int, int, int, fl
         start = (begin - int(first[owner])) * step
         passage = docs[owner][start:start + index.passage]
         for item, score in index.search(passage):
-            found = [overlap(part, passage) for part in index.parts[item]]
+            found = [overlap(part, passage, index.shingle[item]) for part in index.parts[item]]
             if min(found) >= OVERLAP:
                 rows.append((owner, index.ids[item], start, score, found[0], found[-1]))
     return rows
@@ -281,8 +285,9 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
     document queries every part.  Before the postings are walked, one grouping over all passages of a batch finds
     those in which some item's upper bounds can reach the threshold.
 
-    Items without id or text or with fewer than ``min_words`` words are left out; repeated items count once.  Missing
-    and empty texts have no passage.  Repeated rows are reported each, a missing id as NULL.  Without items the
+    Items with fewer than ``min_words`` words are found where all their words stand one after the other; so an item of
+    one word is found wherever that word is.  Items without id, text or words are left out; repeated items count once.
+    Missing and empty texts have no passage.  Repeated rows are reported each, a missing id as NULL.  Without items the
     result is empty.  Other columns are not looked at.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -90,6 +90,18 @@ def test_long_items_leave_short_ones_as_they_are(spark, make_docs):
             assert {(r.doc_id, r.item_id) for r in found} == {(2, 1), (3, 2)} & {(i + 1, i) for i, _ in bench}
 
 
+def test_short_items_stand_word_for_word(spark, make_docs, items):
+    short = [(301, "Who wrote Hamlet? William Shakespeare"), (302, "Forty-two!"), (303, "zebra"), (304, "?!")]
+    bench = spark.createDataFrame([*items[:20], *short], "item_id long, text string")
+    filler = " ".join(["yyy"] * 62)
+    rows = [(1, f"{filler} who wrote hamlet, william SHAKESPEARE? {filler}"), (2, f"{filler} {filler} the forty two"),
+            (3, f"william shakespeare wrote hamlet who {filler}"), (4, "forty of two"), (5, "A Zebra."), (6, "zebras ?!")]
+    found = contamination(make_docs(rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in found} == {
+        (1, 301, 1.0, 1.0), (2, 302, 1.0, 1.0), (5, 303, 1.0, 1.0)}
+    assert sorted(r.doc_id for r in without_leaks(make_docs(rows), bench).collect()) == [3, 4, 6]
+
+
 def test_without_items_or_documents(spark, docs, no_docs, items, texts):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame(items, none.schema)

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcellar.llm.tables import portions
+from starcellar.session import scratch_path
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of the score an item has against itself
@@ -208,8 +212,9 @@ class Index:
 
 
 def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_bytes: int,
-             threshold: float) -> Iterator[list[Index]]:
-    """For each part of the items one index for each length of passage; the numbers in BM25 are those of all items."""
+             threshold: float) -> list[Callable[[], list[Index]]]:
+    """For each part of the items what makes its indexes, one for each length of passage; the numbers in BM25 are
+    those of all items."""
     rows = (
         items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
         .where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -228,7 +233,8 @@ def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_byt
     rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     found_in = rows.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
         F.count("*").alias("n"))
-    for part in range(parts if total else 0):
+
+    def made(part: int) -> list[Index]:
         own = rows.where(F.col("part") == part)
         held = sorted((r["item_id"], r["text"]) for r in own.select("item_id", "text").collect())
         terms = own.select(F.explode("words").alias("word")).distinct().join(found_in, "word")
@@ -236,7 +242,21 @@ def _indexes(items: DataFrame, item_id: str, text: str, min_words: int, part_byt
         alike: dict[int, list[tuple[int, str]]] = {}
         for item in held:
             alike.setdefault(passage_for(len(words_of(item[1]))), []).append(item)
-        yield [Index(x, counts, total, mean, threshold, min_words) for _, x in sorted(alike.items())]
+        return [Index(x, counts, total, mean, threshold, min_words) for _, x in sorted(alike.items())]
+
+    return [functools.partial(made, part) for part in range(parts if total else 0)]
+
+
+def _stored_hits(spark: SparkSession, parts: list[Callable[[], list[Index]]], look: Callable[[Broadcast], DataFrame],
+                 schema: str) -> DataFrame:
+    """Rows that ``look`` finds with the indexes of each part, written to the shared folder; a part's indexes are given
+    up before the next ones are made, so the driver and the tasks hold those of one part."""
+    path = scratch_path(spark, "leaks")
+    for made in parts:
+        sent = spark.sparkContext.broadcast(made())
+        look(sent).write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 HITS = "doc_id {kind}, item_id long, word long, score double, question_overlap double, answer_overlap double"
@@ -281,8 +301,9 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
     words in one of them, is judged as a whole, and both overlaps are the whole item's: so a short answer may be
     changed or missing.  ``word`` is where the passage begins.  Clean documents give no row.
 
-    The items are indexed by parts of at most ``part_bytes`` of text, and each part's index is sent to the tasks; every
-    document queries every part.  Before the postings are walked, one grouping over all passages of a batch finds
+    The items are indexed by parts of about ``part_bytes`` of text, and each part's index is sent to the tasks; every
+    document queries every part.  With several parts the hits of each are written to the shared folder at once, and its
+    index is given up before the next one is made.  Before the postings are walked, one grouping over all passages of a batch finds
     those in which some item's upper bounds can reach the threshold.
 
     Items with fewer than ``min_words`` words are found where all their words stand one after the other; so an item of
@@ -292,11 +313,11 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = HITS.format(kind=rows.schema["doc_id"].dataType.simpleString())
-    found = docs.sparkSession.createDataFrame([], schema)
-    for indexes in _indexes(items, item_id, item_text, min_words, part_bytes, threshold):
-        sent = docs.sparkSession.sparkContext.broadcast(indexes)
+    spark = docs.sparkSession
+    parts = _indexes(items, item_id, item_text, min_words, part_bytes, threshold)
 
-        def query(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def look(sent: Broadcast) -> DataFrame:
+        def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in portions(batches):
                 texts = batch.column(1).to_pylist()
                 columns = list(zip(*(row for index in sent.value for row in leaks(texts, index)))) or [()] * 6
@@ -305,27 +326,51 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_
                     *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int64(), *[pa.float64()] * 3))),
                 ], ["doc_id", "item_id", "word", "score", "question_overlap", "answer_overlap"])
 
-        found = found.unionByName(rows.mapInArrow(query, schema))
-    return found
+        return rows.mapInArrow(query, schema)
+
+    if len(parts) > 1:
+        return _stored_hits(spark, parts, look, schema)
+    return look(spark.sparkContext.broadcast(parts[0]())) if parts else spark.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                   item_text: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS,
                   part_bytes: int = PART_BYTES) -> DataFrame:
-    """The documents, with all their columns, in which no test item is found."""
+    """The documents, with all their columns, in which no test item is found.
+
+    With several parts of items the digests of the texts found with each are written to the shared folder; documents
+    with such a text go.
+    """
     at = docs.columns.index(text)
-    for indexes in _indexes(items, item_id, item_text, min_words, part_bytes, threshold):
-        sent = docs.sparkSession.sparkContext.broadcast(indexes)
+    spark = docs.sparkSession
+    parts = _indexes(items, item_id, item_text, min_words, part_bytes, threshold)
+
+    def leaking(texts: list[str | None], indexes: list[Index]) -> list[int]:
+        return sorted({row[0] for index in indexes for row in leaks(texts, index)})
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def look(sent: Broadcast) -> DataFrame:
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in portions(batches):
-                clean = np.ones(batch.num_rows, dtype=bool)
-                texts = batch.column(at).to_pylist()
-                clean[[row[0] for index in sent.value for row in leaks(texts, index)]] = False
-                yield batch.filter(pa.array(clean))
+                texts = batch.column(0).to_pylist()
+                found = {hashlib.sha256(texts[i].encode()).hexdigest() for i in leaking(texts, sent.value)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["digest"])
+
+        return docs.select(text).mapInArrow(digests, "digest string").distinct()
+
+    if len(parts) > 1:
+        found = _stored_hits(spark, parts, look, "digest string").distinct()
+        return docs.join(found, F.sha2(docs[text].cast("binary"), 256) == found["digest"], "left_anti")
+    if not parts:
+        return docs
+    sent = spark.sparkContext.broadcast(parts[0]())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches):
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[leaking(batch.column(at).to_pylist(), sent.value)] = False
+            yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark import Broadcast, SparkContext
 
 from starcellar.llm.decontaminate import (
     Index, contaminated_passages, contamination, leaks, overlap, parts_of, question_and_answer, without_leaks, words_of,
@@ -102,6 +103,28 @@ def test_short_items_stand_word_for_word(spark, make_docs, items):
     assert sorted(r.doc_id for r in without_leaks(make_docs(rows), bench).collect()) == [3, 4, 6]
 
 
+def test_indexes_of_parts_are_given_up(spark, make_docs, monkeypatch):
+    draw = random.Random(8)
+    bench = spark.createDataFrame([(i, sentence(draw, 30)) for i in range(12)], "item_id long, text string")
+    docs = make_docs([(r.item_id, f"{r.text} yyy") for r in bench.collect()] + [(20, "yyy"), (21, None)])
+    live, most = set(), []
+    broadcast, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def sending(self, value):
+        sent = broadcast(self, value)
+        live.add(id(sent))
+        most.append(len(live))
+        return sent
+
+    monkeypatch.setattr(SparkContext, "broadcast", sending)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (live.discard(id(self)), destroy(self, *a))[1])
+    found = contamination(docs, bench, part_bytes=800)
+    kept = without_leaks(docs, bench, part_bytes=800)
+    assert len(most) > 4 and max(most) == 1 and not live
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(12)}
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [20, 21]
+
+
 def test_without_items_or_documents(spark, docs, no_docs, items, texts):
     none = spark.createDataFrame([], "item_id long, text string")
     bench = spark.createDataFrame(items, none.schema)

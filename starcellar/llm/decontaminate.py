@@ -1,4 +1,5 @@
-"""Benchmark decontamination: every training passage queries a BM25 index of the test items by block-max WAND."""
+"""Benchmark decontamination: training passages whose upper bounds reach the threshold query a BM25 index of the test
+items by block-max WAND."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Repeated passages by relative Lempel-Ziv factors against an index of all reference blocks."""
+"""Repeated passages by hashes of stretches and windows in an index of all reference blocks."""
 
 from __future__ import annotations
 
@@ -303,12 +303,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs of other than ASCII white space.  A window is ``WINDOW`` words one after the other; each word that
     is covered by a window which also starts in a document with a smaller id is removed, and ``kept`` has the others,
-    joined by one space.  ``factors`` are the greedy parse behind that: stretches of at least ``WINDOW`` words
-    (start, words) that are found in the earlier document ``reference``.
+    joined by one space.  ``factors`` are (start, words) of windows one after the other whose smallest document is the
+    same, ``reference``.  They are no greedy parse: no match is extended, so a copied passage falls apart where some of
+    its windows also stand in an earlier document, and windows of one factor may stand apart from each other in the
+    reference.
 
     The corpus is dealt into reference blocks.  Each block is indexed by its stretches: the words under neighbouring
     windows that share an anchor.  The index of all blocks says for each stretch the smallest document that has it.
-    Where this is an earlier one, the whole stretch is part of a factor.  Factor boundaries lie in stretches that
+    Where this is an earlier one, the whole stretch is part of a factor.  Factors begin and end in stretches that
     share an anchor with others without being equal; there the windows are looked up one by one.  What matches
     nowhere, the most of a corpus, is not compared any further.
 

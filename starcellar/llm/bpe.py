@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import itertools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +144,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     at the first piece boundary that both found, and the pieces are encoded.  A text is held whole by one task, as in
     its table; a task streams over its texts.
 
+    Each distinct long text is encoded once: a task cuts only the first of its copies, of these the task that splits a
+    chunk keeps one.  The ids of the rows are gathered by text and task and joined to the tokens by the text's digest;
+    the rows that copies come back as are made again by as many tasks as held them.
+
     Texts with characters that the tables of the encoder and of the pattern library may classify differently are
-    encoded whole by the encoder.  Missing and empty texts give an empty array.  Repeated rows are encoded each; long
-    rows equal in id and text are stitched once and returned as often as given.  Other columns are not looked at.
+    encoded whole by the encoder.  Missing and empty texts give an empty array.  Repeated rows come back as often
+    as given.  Other columns are not looked at.
     ``ranks_path`` is read by the driver and sent to the tasks.
     """
     if overlap <= 2 * LOOKAHEAD or chunk < overlap:
@@ -164,62 +167,66 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
             found = [vocab.whole(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(found)], ["doc_id", "ids"])
 
+    short = rows.where(size <= chunk).mapInArrow(whole, ENCODED.format(kind=kind))
+    long = rows.where(size > chunk).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    holders = long.withColumn("task", F.spark_partition_id()).groupBy("digest", "task").agg(
+        F.collect_list(F.struct("doc_id")).alias("rows"))  # in a struct, as missing ids are rows too
+    copies = (
+        distinct_long(long, load, chunk, overlap).join(holders, "digest").repartition("digest", "task")
+        .select(F.explode("rows").alias("row"), "ids").select("row.doc_id", "ids")
+    )
+    return short.unionByName(copies)
+
+
+def distinct_long(long: DataFrame, load: Callable[[], Vocabulary], chunk: int, overlap: int) -> DataFrame:
+    """One row (digest, ids) for each distinct text of the rows (digest, text)."""
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for row in range(batch.num_rows):
+                digest = batch.column(0)[row].as_py()
+                if digest in seen:
+                    continue
+                seen.add(digest)
                 body = batch.column(1)[row].as_py()
                 parts = [body] if _newer(body) else cut(body, chunk, overlap)
                 yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([batch.column(0).slice(row, 1)] * len(parts)),
-                    pa.array([hashlib.sha256(body.encode()).digest()] * len(parts), pa.binary()),
-                    pa.array(range(len(parts)), pa.int32()), pa.array([len(parts)] * len(parts), pa.int32()),
-                    pa.array(parts, pa.string()),
-                ], ["doc_id", "digest", "n", "of", "text"])
+                    pa.array([digest] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()),
+                    pa.array([len(parts)] * len(parts), pa.int32()), pa.array(parts, pa.string()),
+                ], ["digest", "n", "of", "text"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load()
+        vocab, seen = load(), set()
         for batch in portions(batches):
-            n, of, body = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [row for row, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            n, of, body = (batch.column(i).to_pylist() for i in (1, 2, 3))
             found = [b"" if o == 1 else boundaries(t, vocab, i + 1 == o).tobytes() for i, o, t in zip(n, of, body)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.binary())], ["doc_id", "digest", "n", "of", "text", "starts"])
+                [*batch.columns, pa.array(found, pa.binary())], ["digest", "n", "of", "text", "starts"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load()
-        stream = (row for batch in batches for row in zip(
-            batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))))
-        for _, group in itertools.groupby(stream, key=lambda r: (r[0].as_py(), r[1])):
-            first, copies = next(group), 1
-            if first[3] == 1:
-                ids = [np.array(vocab.library.encode_ordinary(first[4]), dtype=np.int32)]
-                copies += sum(1 for _ in group)
+        stream = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5))))
+        for digest, group in itertools.groupby(stream, key=lambda r: r[0]):
+            first = next(group)
+            if first[2] == 1:
+                ids = [np.array(vocab.library.encode_ordinary(first[3]), dtype=np.int32)]
             else:
-                seen = [first[2], 1]  # number of the chunk that came last, copies of the first one
-
-                def distinct(group=group, first=first, seen=seen) -> Iterator[tuple[str, np.ndarray, bool]]:
-                    yield first[4], np.frombuffer(first[5], np.int32), False
-                    for _, _, n, of, body, starts in group:
-                        if n == seen[0]:
-                            seen[1] += n == 0
-                            continue
-                        seen[0] = n
-                        yield body, np.frombuffer(starts, np.int32), n + 1 == of
-
-                ids = [vocab.ids(pieces) for pieces in stitch(distinct(), chunk, vocab)]
-                copies = seen[1]
-            found = np.concatenate(ids)
-            for _ in range(copies):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first[0].as_py()], first[0].type), _ids_array([found])], ["doc_id", "ids"])
-
-    cuts = f"doc_id {kind}, digest binary, n int, of int, text string"
-    short = rows.where(size <= chunk).mapInArrow(whole, ENCODED.format(kind=kind))
-    long = (
-        rows.where(size > chunk).mapInArrow(chunks, cuts).repartition("digest", "n")
+                parts = ((body, np.frombuffer(starts, np.int32), n + 1 == of)
+                         for _, n, of, body, starts in itertools.chain([first], group))
+                ids = [vocab.ids(pieces) for pieces in stitch(parts, chunk, vocab)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest], pa.string()), _ids_array([np.concatenate(ids)])],
+                                             ["digest", "ids"])
+
+    cuts = "digest string, n int, of int, text string"
+    return (
+        long.select("digest", "text").mapInArrow(chunks, cuts).repartition("digest", "n")
         .mapInArrow(split, f"{cuts}, starts binary").repartition("digest")
-        .sortWithinPartitions("doc_id", "digest", "n").mapInArrow(join, ENCODED.format(kind=kind))
+        .sortWithinPartitions("digest", "n").mapInArrow(join, "digest string, ids array<int>")
     )
-    return short.unionByName(long)
 
 
 def decode(encoded: DataFrame, ranks_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -6,9 +6,9 @@ import regex
 import tiktoken
 
 from starcellar.llm import bpe
-from starcellar.llm.bpe import decode, digests, encode
+from starcellar.llm.bpe import decode, digests, distinct_long, encode
 from starcellar.llm.queries import PATTERN, RANKS
-from tests.llm.conftest import bag
+from tests.llm.conftest import bag, sentence
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,15 @@ def test_pattern_tables_differ_only_where_the_library_decides():
 
 def test_empty(no_docs):
     assert decode(encode(no_docs, RANKS, PATTERN), RANKS).collect() == []
+
+
+def test_copies_of_a_long_text_are_encoded_once(spark, make_docs, vocab):
+    draw = random.Random(9)
+    hot, other = sentence(draw, 9_000), sentence(draw, 8_000)
+    rows = [(i % 25, hot) for i in range(40)] + [(None, hot), (None, hot), (50, other), (51, "short"), (52, None)]
+    docs = make_docs(rows).repartition(4)
+    long = docs.where("char_length(text) > 32768").selectExpr("sha2(cast(text AS binary), 256) AS digest", "text")
+    once = distinct_long(long, lambda: bpe.vocabulary(open(RANKS, "rb").read(), PATTERN), 32_768, 512).collect()
+    assert len(once) == 2 and {r.digest for r in once} == {hashlib.sha256(t.encode()).hexdigest() for t in (hot, other)}
+    want = [(i, vocab.library.encode_ordinary(t or "")) for i, t in rows]
+    assert bag((r.doc_id, list(r.ids)) for r in encode(docs, RANKS, PATTERN).collect()) == bag(want)

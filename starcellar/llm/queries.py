@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from starcellar.llm.bpe import decode, digests, encode
 from starcellar.llm.decontaminate import contamination
+from starcellar.llm.mixing import mixture
+from starcellar.llm.periodic import best_run, periodic_runs, run_text, stretched
 from starcellar.llm.quality import quality
 from starcellar.llm.secret_scan import BASE_RULES, count_of, scan_secrets, span_text
 from starcellar.llm.sharding import shard_documents
@@ -19,6 +21,7 @@ from starcellar.llm.tables import table
 from starcellar.llm.topk import top_k
 from starcellar.llm.toxicity import toxicity
 from starcellar.llm.url_filter import judge_urls, rule_frame
+from starcellar.llm.vector_codes import vector_codes
 
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
@@ -74,10 +77,29 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(stretched(table(spark, folder, "documents")))
+    best = found.withColumn("best", best_run(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(run_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes(table(spark, folder, "embeddings"))
+
+
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_url_filter, op2_simhash, op3_substring_dedup, op4_secret_scan, op5_toxicity, op6_sharding, op7_byte_bpe,
-        op8_quality, op9_top_k, op10_decontamination,
+        op8_quality, op9_top_k, op10_decontamination, op11_periodic_runs, op12_vector_codes, op13_mixing,
     )
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from starcellar.session import scratch_path
 
 PORTION = 2 << 20  # bytes of rows that Python functions work on at a time
+STEP = 65536  # rows that one row unfolds to in a task
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,6 +27,25 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unfolded(rows: DataFrame, count: str, number: str, step: int = STEP) -> DataFrame:
+    """Each row ``count`` times, numbered from 0 by ``number``; ``count`` goes.
+
+    A row that unfolds to more than ``step`` rows is first cut into parts, which are dealt to all tasks, so that no
+    task makes all copies of a hot row.
+    """
+    others = [c for c in rows.columns if c != count]
+    size, begin = F.col(count).cast("long"), F.col("_begin")
+
+    def numbered(part: DataFrame, first: Column, last: Column) -> DataFrame:
+        return part.select(*others, F.explode(F.sequence(first, last)).alias(number))
+
+    few = numbered(rows.where((size > 0) & (size <= step)), F.lit(0).cast("long"), size - 1)
+    many = rows.where(size > step).withColumn("_begin", F.explode(F.sequence(
+        F.lit(0).cast("long"), size - 1, F.lit(step).cast("long"))))
+    many = many.repartition(*(F.col(c) for c in (*others, "_begin")))
+    return few.unionByName(numbered(many, begin, F.least(begin + step, size) - 1))
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(column, UPPER, LOWER)

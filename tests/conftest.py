@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from check import TABLES  # noqa: E402
 from starcellar.layout import Tables  # noqa: E402
 from starcellar.plans.layout_warehouse import LayoutWarehouse  # noqa: E402
 from starcellar.session import local_session  # noqa: E402
@@ -43,7 +44,7 @@ def database(folder):
 
 def views_over(folder):
     connection = duckdb.connect()
-    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+    for table in TABLES:
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'"
                            if os.path.isdir(f"{folder}/{table}.parquet")
                            else f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")

@@ -43,15 +43,16 @@ EXCEPTIONS = (
     "scum on the pond", "pond scum", "idiot light", "sore loser", "stupid question",
 )
 
+_DROPPED = ("Mn", "Mc", "Me", "Cf")  # marks on letters, and characters that show nothing, as a zero-width space
 _SPACED = re.compile(r"[^\w@$!|]+|_")
 _FOLDS = str.maketrans({**HOMOGLYPHS, **SUBSTITUTES})
 
 
 def fold(text: str) -> str:
-    """Lower case, marks removed from letters, homoglyphs and substitutes as letters; words apart by one space."""
-    text = text.lower()
+    """Lower case, marks and invisible characters removed, homoglyphs and substitutes as letters; words apart by one space."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in _DROPPED)
+    text = text.lower()
     return " " + _SPACED.sub(" ", text).translate(_FOLDS).strip() + " "
 
 
@@ -194,8 +195,9 @@ def learn(labelled: DataFrame, text: str, label: str, exceptions: tuple[str, ...
             found = [feature(*weight_of(body or "", plain)) for body in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    points = sample.mapInArrow(weigh, "x double, y int").collect()
-    x, y = np.array([r["x"] for r in points]), np.array([r["y"] for r in points])
+    # in a fixed order, as sums of doubles depend on theirs
+    points = sorted(map(tuple, sample.mapInArrow(weigh, "x double, y int").collect()))
+    x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points])
     curve = fit(np.column_stack([np.ones(len(x)), x]), y, ridge=1.0)
     return Lexicon(plain.weights, exceptions, (float(curve[0]), float(curve[1])))
 
@@ -204,8 +206,9 @@ def bounded_sample(labels: DataFrame, docs: DataFrame, label: str, keep: object,
                    text: str = "text") -> DataFrame:
     """Texts of at most ``rows`` labelled ids, chosen by the hash of the id; ``keep`` says which ids may be learnt from.
 
-    The sample of the labels is bounded, so it can be sent to every task; the texts are not shuffled.  An id labelled
-    more than once counts with its smallest label.
+    The sample of the labels is bounded, so it can be sent to every task; only chosen texts are shuffled, one a task for
+    each id.  An id labelled more than once counts with its smallest label, one with several texts with the text of the
+    smallest digest.
     """
     chosen = (
         labels.select(F.col(doc_id).alias("sample_id"), F.col(label).alias("label"))
@@ -214,7 +217,10 @@ def bounded_sample(labels: DataFrame, docs: DataFrame, label: str, keep: object,
         .orderBy(F.xxhash64("sample_id"), "sample_id").limit(rows)
     )
     texts = docs.select(F.col(doc_id).alias("sample_id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(chosen), "sample_id")
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    first = F.min(F.struct(digest.alias("digest"), "text")).alias("first")
+    return texts.join(F.broadcast(chosen), "sample_id").groupBy("sample_id", "label").agg(first).select(
+        "sample_id", "first.text", "label")
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +247,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", te
 
 def lexicon_from(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS,
                  doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
-    """A lexicon from at most ``fit_rows`` labelled documents whose crc32 of the id modulo ``folds`` isn't ``held_out``."""
+    """A lexicon from at most ``fit_rows`` labelled documents whose crc32 of the id modulo ``folds`` isn't ``held_out``.
+
+    Empty tables give an empty lexicon.  Columns beside id, text and label are not looked at.
+    """
     sample = bounded_sample(
         labels, docs, label, lambda i: crc_remainder(i, folds) != held_out, fit_rows, doc_id, text)
     return learn(sample, "text", "label")
@@ -253,7 +262,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
 
     Labels of rows whose crc32 of the id modulo ``folds`` is ``held_out`` are never learnt from.  At most
     ``fit_rows`` labelled rows are used, chosen by the hash of the id.  Without labels of both kinds every score is
-    the share of toxic rows.  ``predicted`` is 1 from a score of 0.5.
+    the share of toxic rows.  ``predicted`` is 1 from a score of 0.5.  An empty table of documents gives an empty result;
+    other columns are not looked at, whatever their names; repeated rows get a row each.
     """
     lexicon = lexicon_from(docs, labels, folds, held_out, fit_rows, doc_id, text, label)
     return score_toxicity(docs, lexicon, doc_id, text).select(

@@ -1,9 +1,12 @@
+import hashlib
 import random
 import zlib
 
 import pytest
 
-from starcellar.llm.toxicity import Lexicon, fold, lexicon_from, score_toxicity, toxicity, weight_of, without_toxic
+from starcellar.llm.toxicity import (
+    COVER, Lexicon, bounded_sample, explaining, fold, lexicon_from, score_toxicity, toxicity, weight_of, without_toxic,
+)
 from tests.llm.conftest import sentence
 
 LEXICON = Lexicon(((" idiot ", 3.0), (" idio", 1.0), (" scum", 2.0)), ("pond scum", "trash can"), (-5.0, 2.0))
@@ -13,6 +16,8 @@ def test_folding():
     assert fold("Idiot") == fold("1D10T") == fold("іdіоt") == fold("ídiót")
     assert fold("$cum") == " scum " and fold("a_b-c\n d") == " a b c d "
     assert fold("") == "  "
+    assert fold("\U0001d408\U0001d403\U0001d408\U0001d40e\U0001d413") == fold("\u2111dio\u0054") == fold("idiot")
+    assert fold("id\u200biot") == fold("i\u00addi\u2060ot") == fold("idiot")
 
 
 @pytest.mark.parametrize(("text", "weight", "words"), [
@@ -80,5 +85,44 @@ def test_without_labels_or_documents(spark, docs, no_docs):
     assert {r.predicted for r in toxicity(docs, one).collect()} == {0}
 
 
+def test_same_scores_however_dealt(spark, make_docs):
+    docs, labels = labelled(spark, random.Random(3), make_docs)
+    once = sorted(map(tuple, toxicity(docs, labels).collect()), key=repr)
+    assert sorted(map(tuple, toxicity(docs.repartition(7), labels.repartition(3)).collect()), key=repr) == once
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark, make_docs):
+    docs = make_docs([(1, f"copy {i}") for i in range(3000)] + [(1, "copy 5"), (2, "b"), (2, None), (3, None), (None, "x")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = bounded_sample(labels, docs, "toxic", lambda i: i > 0, 100).collect()
+    first = min((f"copy {i}" for i in range(3000)), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted((r.sample_id, r.label) for r in rows) == [(1, 0), (2, 1), (3, 1)]
+    assert next(r.text for r in rows if r.sample_id == 1) == first
+    assert bounded_sample(labels, docs, "toxic", lambda i: i > 0, 2).count() == 2
+
+
+def test_choice_of_entries_against_plain_greedy():
+    """Each time the term that explains most, counted anew for all terms."""
+    draw = random.Random(8)
+    for _ in range(60):
+        terms = sorted({" " + "".join(draw.choice("ab") for _ in range(draw.randint(1, 4))) for _ in range(9)})
+        documents = [sorted(draw.sample(range(len(terms)), draw.randint(0, len(terms)))) for _ in range(30)]
+        clean = [draw.randint(0, 3) for _ in terms]
+        needs, want = [COVER] * len(documents), []
+        while True:
+            gains = [(sum(needs[d] > 0 for d, held in enumerate(documents) if n in held) - 2 * clean[n], n)
+                     for n in range(len(terms))
+                     if not any(terms[n].startswith(terms[c]) or terms[c].startswith(terms[n]) for c in want)]
+            best = max(gains, key=lambda g: (g[0], [-ord(c) for c in terms[g[1]]] + [0]), default=(0, 0))
+            if best[0] < 3:
+                break
+            top = [n for gain, n in gains if gain == best[0]]
+            n = min(top, key=lambda i: terms[i])
+            want.append(n)
+            for d, held in enumerate(documents):
+                needs[d] -= n in held
+        assert explaining(documents, terms, clean, 3) == want
+
+
 def test_repeated_rows(docs, texts):
     assert score_toxicity(docs, LEXICON).count() == len(texts)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from starcellar.llm.tables import stored
+from starcellar.llm.tables import stored, unfolded
 
 BINS = 4096  # units that the light groups are gathered in; bounds what the driver sees
 CELL_ROWS = 65536  # rows numbered by one window
@@ -41,14 +41,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     task.  Other columns are not looked at.  An empty table gives an empty result.  Texts are read once: ids, sizes and
     digests go to the shared folder, and the later passes read those.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = stored(docs.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        F.when(F.col(text).isNull(), "").otherwise(F.sha2(body, 256)).alias("digest"),
+    body = F.coalesce("body", F.lit(b""))
+    rows = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body")).select(
+        "doc_id", (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"),
+        F.coalesce(F.sha2("body", 256), F.lit("")).alias("digest"),
     ), "sharding")
     bin_of = F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("members"))
+    groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("members")), "groups")
     totals = groups.agg(F.sum("bytes").alias("bytes"), F.sum("members").alias("members")).first()
     limit, members = (totals["bytes"] or 0) / bins, totals["members"] or 0
     heavy = {r["digest"]: r["bytes"] for r in groups.where(F.col("bytes") > limit).select("digest", "bytes").collect()}
@@ -74,9 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "size", "text_crc32").rowsBetween(
         Window.unboundedPreceding, -1)
     begin = F.col("first") + F.coalesce(F.sum("copies").over(inside), F.lit(0))
-    return (
-        counted.join(starts, ["shard", "cell"]).withColumn("begin", begin)
-        .withColumn("slot", F.explode(F.sequence("begin", F.col("begin") + F.col("copies") - 1)))
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"),
-                F.lit(None).cast("int").alias("grown_shard"))
-    )
+    numbered = counted.join(starts, ["shard", "cell"]).withColumn("begin", begin)
+    return unfolded(numbered, "copies", "n").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("n")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))

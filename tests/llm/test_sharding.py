@@ -1,10 +1,12 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
-from starcellar.llm import sharding
+from starcellar.llm import sharding, tables
 from starcellar.llm.sharding import least_loaded, shard_documents
 
 
@@ -40,6 +42,50 @@ def test_balance_with_a_hot_text(make_docs, monkeypatch):
     assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values())
 
 
+def planned(texts, shards=8, bins=4096):
+    """Shards by the schedule over the whole list of groups: heavy ones alone, the others by the bin of their digest."""
+    group, total = Counter(), 0
+    for _, text in texts:
+        group["" if text is None else hashlib.sha256(text.encode()).hexdigest()] += len((text or "").encode()) + 1
+    total = sum(group.values())
+    units, unit_of = Counter(), {}
+    for digest, size in group.items():
+        unit_of[digest] = digest if size > total / bins else f"bin {hashed(digest) % bins:08d}"
+        units[unit_of[digest]] += size
+    load, shard_of = [0] * shards, {}
+    for unit, size in sorted(units.items(), key=lambda x: (-x[1], x[0])):
+        shard_of[unit] = load.index(min(load))
+        load[shard_of[unit]] += size
+    return {digest: shard_of[unit] for digest, unit in unit_of.items()}
+
+
+def hashed(text):
+    value = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return value - (1 << 64) if value >> 63 else value
+
+
+@pytest.mark.parametrize(("bins", "cell"), [(4096, 65536), (5, 16)])
+def test_shards_and_slots_against_the_whole_list(docs, texts, bins, cell, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", cell)
+    want = planned(texts, bins=bins)
+    cells = max(1, -(-len(texts) // cell))
+    got = shard_documents(docs, bins=bins).collect()
+    expected = Counter((i, want["" if t is None else hashlib.sha256(t.encode()).hexdigest()],
+                        len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert Counter((r.doc_id, r.shard, r.size, r.text_crc32) for r in got) == expected
+    if cells == 1:  # slots follow id, size and crc32 within a shard
+        for shard in range(8):
+            rows = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+            order = [(r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in rows]
+            assert order == sorted(order) and [r.slot for r in rows] == list(range(len(rows)))
+
+
+def test_a_hot_row_unfolds_in_steps(make_docs, monkeypatch):
+    monkeypatch.setattr(tables.unfolded, "__defaults__", (50,))
+    rows = [(1, "hot")] * 730 + [(i, f"text {i}") for i in range(60)]
+    checked(shard_documents(make_docs(rows)).collect(), rows)
+
+
 def test_longest_first():
     assert least_loaded({"a": 3, "b": 3, "c": 2, "d": 2, "e": 2}, 2) == {"a": 0, "b": 1, "c": 0, "d": 1, "e": 0}
     sizes = {str(i): random.Random(i).randint(1, 1000) for i in range(500)}

@@ -16,13 +16,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starcellar.llm.tables import portions
+from starcellar.llm.tables import portions, stored
 
 CHUNK = 32_768  # characters a chunk adds
 OVERLAP = 512  # characters two neighbouring chunks share
 LOOKAHEAD = 3  # characters before a chunk's end whose splits may depend on what follows
-CACHE = 100_000  # pieces a worker keeps the tokens of
-SHORT = 64  # longer pieces are not kept
 
 ENCODED = "doc_id {kind}, ids array<int>"
 
@@ -40,26 +38,17 @@ class Vocabulary:
         table = {token: rank for rank, token in token_bytes(ranks).items()}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.sizes = np.zeros(max(table.values(), default=-1) + 1, dtype=np.int64)
+        for token, rank in table.items():
+            self.sizes[rank] = len(token)
 
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        """Ids of pieces that the pattern made, one after the other."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for piece in set(pieces).difference(cache):
-            cache[piece] = tuple(self.library.encode_ordinary(piece))
-        found = np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, pieces)), dtype=np.int32)
-        for piece in [p for p in set(pieces) if len(p) > SHORT]:
-            del cache[piece]
-        return found
-
-    def whole(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
-        return np.array(self.library.encode_ordinary(text), dtype=np.int32) if _newer(text) else self.ids(self.pieces(text))
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text: its pieces one after the other, each merged by itself."""
+        return np.array(self.library.encode_ordinary(text), dtype=np.int32)
+
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(ranks: bytes, pattern: str) -> Vocabulary:
@@ -89,45 +78,41 @@ def cut(text: str, chunk: int, overlap: int) -> list[str]:
     return [text[s:s + chunk + overlap] if s + chunk < starts.stop else text[s:] for s in starts]
 
 
-def boundaries(text: str, vocab: Vocabulary, last: bool) -> np.ndarray:
-    """Starts of the chunk's pieces that hold whatever follows the chunk, if they start from a true boundary."""
-    sizes = np.fromiter(map(len, vocab.pieces(text)), dtype=np.int32)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32) if len(sizes) else np.zeros(0, np.int32)
-    return starts if last else starts[starts <= len(text) - LOOKAHEAD - 1]
-
-
-def stitch(chunks: Iterator[tuple[str, np.ndarray, bool]], chunk: int, vocab: Vocabulary) -> Iterator[list[str]]:
-    """Pieces of the whole text from its chunks in order, each with its own boundaries and whether it is the last.
+def encoded_chunk(text: str, vocab: Vocabulary, chunk: int, overlap: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's ids, and as rows (place, ids before it) the piece starts in the overlaps with its neighbours.
 
-    A chunk's boundaries hold from a true boundary on, as the pattern never looks back.  The first chunk starts at
-    one; the first boundary that two neighbours share is one for the later chunk too.  Where they share none, the
-    text is split again from the earlier chunk's last sure boundary to the later chunk's end.
+    The first rows are those in the overlap with the chunk before, places from this chunk's start; the second those in
+    the overlap with the next, places from that one's start.  Starts so near the end that what follows the chunk may
+    change them are none.
     """
-    text, starts, origin, sure = "", np.zeros(0, np.int32), 0, 0  # pieces before the boundary ``sure`` were given
-    for n, (next_text, next_starts, last) in enumerate(chunks):
-        if n == 0:
-            text, starts = next_text, next_starts
-            continue
-        shift = n * chunk - origin  # the later chunk's start within the earlier one
-        shared = np.intersect1d(starts, next_starts + shift, assume_unique=True)
-        shared = shared[shared >= sure]
-        if len(shared):
-            end = int(shared[0])
-            yield _between(text, starts, sure, end)
-            text, starts, origin, sure = next_text, next_starts, n * chunk, end - shift
-        else:
-            end = int(starts[-1]) if len(starts) and starts[-1] >= sure else sure
-            yield _between(text, starts, sure, end)
-            text = text[end:shift] + next_text[max(end - shift, 0):]
-            starts, origin, sure = boundaries(text, vocab, last), origin + end, 0
-    tail = vocab.pieces(text[sure:])
-    if tail:
-        yield tail
-
-
-def _between(text: str, starts: np.ndarray, begin: int, end: int) -> list[str]:
-    at = [*starts[(starts >= begin) & (starts < end)].tolist(), end]
-    return [text[a:b] for a, b in itertools.pairwise(at)]
+    pieces, ids = vocab.pieces(text), vocab.ids(text)
+    starts = np.cumsum([0, *map(len, pieces)], dtype=np.int32)[:-1]
+    in_bytes = starts if text.isascii() else np.cumsum([0, *(len(p.encode()) for p in pieces)])[:-1]
+    before = np.searchsorted(np.cumsum(vocab.sizes[ids]), in_bytes, "right").astype(np.int32)
+    sure = slice(None) if last else starts <= len(text) - LOOKAHEAD - 1
+    places = np.column_stack([starts, before])[sure]
+    head = places[places[:, 0] <= overlap]
+    tail = places[places[:, 0] >= chunk] - np.array([chunk, 0], dtype=np.int32)
+    return ids, head, tail[:0] if last else tail
+
+
+def stitch(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray] | None:
+    """Ids of the whole text from its encoded chunks in order; None if two neighbours share no piece start.
+
+    A chunk's pieces hold from a true start on, as the pattern never looks back.  The first chunk begins at one; the
+    first start that two neighbours share in their overlap is true for the later chunk too.
+    """
+    found: list[np.ndarray] = []
+    ids, tail, begin = None, None, 0
+    for next_ids, head, next_tail in chunks:
+        if ids is not None:
+            _, of_tail, of_head = np.intersect1d(tail[:, 0], head[:, 0], assume_unique=True, return_indices=True)
+            if not len(of_tail):
+                return None
+            found.append(ids[begin:int(tail[of_tail[0], 1])])
+            begin = int(head[of_head[0], 1])
+        ids, tail = next_ids, next_tail
+    return found if ids is None else [*found, ids[begin:]]
 
 
 def _ids_array(found: list[np.ndarray]) -> pa.ListArray:
@@ -140,13 +125,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     """One row (doc_id, ids) for each document: the tokens of its whole text, without special tokens.
 
     Texts of at most ``chunk`` characters are one chunk.  Longer texts are cut into overlapping chunks, which are dealt
-    out and pre-tokenised apart from each other; the chunks of a text then meet in their order, neighbours are joined
-    at the first piece boundary that both found, and the pieces are encoded.  A text is held whole by one task, as in
-    its table; a task streams over its texts.
+    out, pre-tokenised and encoded apart from each other; the ids of a text's chunks then meet in their order, and
+    neighbours are joined at the first piece start that both found in their overlap.  A text in which neighbours share
+    none, as one of a single piece, is encoded whole where it lies.
 
-    Each distinct long text is encoded once: a task cuts only the first of its copies, of these the task that splits a
-    chunk keeps one.  The ids of the rows are gathered by text and task and joined to the tokens by the text's digest;
-    the rows that copies come back as are made again by as many tasks as held them.
+    Each distinct long text is encoded once: a task cuts only the first of its copies, of these the task that encodes a
+    chunk keeps one.  Ids of rows travel by text and task and meet the chunks' ids in the shuffle that gathers those; a
+    task's rows are written with the text's ids once and come apart when they are read.
 
     Texts with characters that the tables of the encoder and of the pattern library may classify differently are
     encoded whole by the encoder.  Missing and empty texts give an empty array.  Repeated rows come back as often
@@ -164,23 +149,28 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load()
         for batch in portions(batches):
-            found = [vocab.whole(t) for t in batch.column(1).to_pylist()]
+            found = [vocab.ids(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(found)], ["doc_id", "ids"])
 
-    short = rows.where(size <= chunk).mapInArrow(whole, ENCODED.format(kind=kind))
+    encode_whole = lambda df: df.mapInArrow(whole, ENCODED.format(kind=kind))
     long = rows.where(size > chunk).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     holders = long.withColumn("task", F.spark_partition_id()).groupBy("digest", "task").agg(
         F.collect_list(F.struct("doc_id")).alias("rows"))  # in a struct, as missing ids are rows too
-    copies = (
-        distinct_long(long, load, chunk, overlap).join(holders, "digest").repartition("digest", "task")
-        .select(F.explode("rows").alias("row"), "ids").select("row.doc_id", "ids")
-    )
-    return short.unionByName(copies)
+    gathered = stored(encoded_long(long, holders, load, chunk, overlap), "bpe")
+    found = encode_whole(rows.where(size <= chunk)).unionByName(
+        gathered.where("ids IS NOT NULL").select(F.explode("rows").alias("row"), "ids").select("row.doc_id", "ids"))
+    apart = gathered.where("ids IS NULL").select("digest").distinct()
+    if apart.limit(1).count():
+        found = found.unionByName(encode_whole(long.join(apart, "digest", "left_semi").select("doc_id", "text")))
+    return found
 
 
-def distinct_long(long: DataFrame, load: Callable[[], Vocabulary], chunk: int, overlap: int) -> DataFrame:
-    """One row (digest, ids) for each distinct text of the rows (digest, text)."""
+def encoded_long(long: DataFrame, holders: DataFrame, load: Callable[[], Vocabulary], chunk: int, overlap: int) -> DataFrame:
+    """A row (digest, rows, ids) for each row of ``holders``: the ids of its text, NULL where its chunks do not meet.
 
+    ``long`` has rows (digest, text).  Chunks of a text are shuffled once, as text, to the tasks that encode them, and
+    once as ids to the task that joins them.
+    """
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -196,36 +186,52 @@ def distinct_long(long: DataFrame, load: Callable[[], Vocabulary], chunk: int, o
                     pa.array([len(parts)] * len(parts), pa.int32()), pa.array(parts, pa.string()),
                 ], ["digest", "n", "of", "text"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, seen = load(), set()
         for batch in portions(batches):
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             fresh = [row for row, key in enumerate(keys) if not (key in seen or seen.add(key))]
             batch = batch.take(pa.array(fresh, pa.int64()))
-            n, of, body = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            found = [b"" if o == 1 else boundaries(t, vocab, i + 1 == o).tobytes() for i, o, t in zip(n, of, body)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.binary())], ["digest", "n", "of", "text", "starts"])
+            digests, n, of, body = (batch.column(i).to_pylist() for i in range(4))
+            none = np.zeros((0, 2), np.int32)
+            found = [(vocab.ids(t), none, none) if o == 1 else encoded_chunk(t, vocab, chunk, overlap, i + 1 == o)
+                     for i, o, t in zip(n, of, body)]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:2], _ids_array([f[0] for f in found]),
+                *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (1, 2)),
+            ], ["digest", "n", "ids", "head", "tail"])
+
+    places = lambda held: np.frombuffer(held, np.int32).reshape(-1, 2)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = load()
-        stream = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5))))
-        for digest, group in itertools.groupby(stream, key=lambda r: r[0]):
-            first = next(group)
-            if first[2] == 1:
-                ids = [np.array(vocab.library.encode_ordinary(first[3]), dtype=np.int32)]
-            else:
-                parts = ((body, np.frombuffer(starts, np.int32), n + 1 == of)
-                         for _, n, of, body, starts in itertools.chain([first], group))
-                ids = [vocab.ids(pieces) for pieces in stitch(parts, chunk, vocab)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest], pa.string()), _ids_array([np.concatenate(ids)])],
-                                             ["digest", "ids"])
-
-    cuts = "digest string, n int, of int, text string"
+        stream = ((batch, row, batch.column(0)[row].as_py(), batch.column(1)[row].as_py())
+                  for batch in batches for row in range(batch.num_rows))
+        for digest, group in itertools.groupby(stream, key=lambda r: r[2]):
+            rows, first = [], None
+            for batch, row, _, n in group:
+                if n >= 0:
+                    first = batch, row
+                    break
+                rows.append(batch.column(5).slice(row, 1))
+            parts = ((b.column(2)[r].values.to_numpy(), places(b.column(3)[r].as_py()), places(b.column(4)[r].as_py()))
+                     for b, r, *_ in itertools.chain([first], group))
+            ids = stitch(parts)
+            ids = pa.array([None], pa.list_(pa.int32())) if ids is None else _ids_array([np.concatenate(ids)])
+            for held in rows:
+                yield pa.RecordBatch.from_arrays([pa.array([digest], pa.string()), held, ids], ["digest", "rows", "ids"])
+
+    chunked = (
+        long.select("digest", "text").mapInArrow(chunks, "digest string, n int, of int, text string")
+        .repartition("digest", "n").mapInArrow(encoded, "digest string, n int, ids array<int>, head binary, tail binary")
+    )
+    of_rows = holders.select(
+        "digest", F.lit(-1).alias("n"), F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("binary").alias("head"),
+        F.lit(None).cast("binary").alias("tail"), "rows")
+    listed = holders.schema["rows"].dataType
     return (
-        long.select("digest", "text").mapInArrow(chunks, cuts).repartition("digest", "n")
-        .mapInArrow(split, f"{cuts}, starts binary").repartition("digest")
-        .sortWithinPartitions("digest", "n").mapInArrow(join, "digest string, ids array<int>")
+        chunked.withColumn("rows", F.lit(None).cast(listed)).unionByName(of_rows)
+        .repartition("digest").sortWithinPartitions("digest", "n")
+        .mapInArrow(join, f"digest string, rows {listed.simpleString()}, ids array<int>")
     )
 
 

@@ -4,9 +4,10 @@ import random
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from starcellar.llm import bpe
-from starcellar.llm.bpe import decode, digests, distinct_long, encode
+from starcellar.llm.bpe import decode, digests, encode, encoded_long
 from starcellar.llm.queries import PATTERN, RANKS
 from tests.llm.conftest import bag, sentence
 
@@ -34,13 +35,25 @@ def test_small_chunks(docs, texts, vocab):
 def test_stitching(vocab):
     draw = random.Random(6)
     pieces = ["a", "b", "  ", " ", "\n", "'", "'s", "'ll", "'ve", "1", "23", "!", "é", "漢", "\t", " ", "x" * 50, "!!" * 20, "   \n  ", " w"]
-    for _ in range(400):
-        text = "".join(draw.choice(pieces) for _ in range(draw.randint(0, 200)))
+    apart = joined = 0
+    for n in range(400):
+        text = "".join(draw.choice([p[:n % 8 + 1] for p in pieces]) for _ in range(draw.randint(0, 200)))
         want = vocab.library.encode_ordinary(text)
         for chunk, overlap in ((16, 16), (40, 8), (64, 32)):
             parts = bpe.cut(text, chunk, overlap)
-            given = ((p, bpe.boundaries(p, vocab, i + 1 == len(parts)), i + 1 == len(parts)) for i, p in enumerate(parts))
-            assert [i for p in bpe.stitch(given, chunk, vocab) for i in vocab.ids(p).tolist()] == want
+            found = bpe.stitch(bpe.encoded_chunk(p, vocab, chunk, overlap, i + 1 == len(parts)) for i, p in enumerate(parts))
+            if found is None:
+                apart += 1
+                continue
+            assert [i for ids in found for i in ids.tolist()] == want
+            joined += len(parts) > 1
+    assert apart > 50 and joined > 200
+
+
+def test_texts_whose_chunks_do_not_meet(make_docs, vocab):
+    rows = [(1, "x" * 70_000), (2, "x" * 70_000), (3, "y" * 40_000 + " plain words" * 300), (4, " " * 66_000), (5, "a b " * 10_000)]
+    got = encode(make_docs(rows), RANKS, PATTERN).collect()
+    assert bag((r.doc_id, list(r.ids)) for r in got) == bag((i, vocab.library.encode_ordinary(t)) for i, t in rows)
 
 
 def test_characters_that_tables_disagree_on(vocab):
@@ -48,7 +61,7 @@ def test_characters_that_tables_disagree_on(vocab):
     step, probe = 4001, [c for c in range(128, 0x110000, 1) if not 0xD800 <= c <= 0xDFFF]
     for c in probe[::step]:
         for text in (f"a{chr(c)}1", f" {chr(c)} {chr(c)}b"):
-            assert vocab.whole(text).tolist() == vocab.library.encode_ordinary(text)
+            assert vocab.ids(text).tolist() == vocab.library.encode_ordinary(text)
 
 
 def test_pattern_tables_differ_only_where_the_library_decides():
@@ -74,7 +87,9 @@ def test_copies_of_a_long_text_are_encoded_once(spark, make_docs, vocab):
     rows = [(i % 25, hot) for i in range(40)] + [(None, hot), (None, hot), (50, other), (51, "short"), (52, None)]
     docs = make_docs(rows).repartition(4)
     long = docs.where("char_length(text) > 32768").selectExpr("sha2(cast(text AS binary), 256) AS digest", "text")
-    once = distinct_long(long, lambda: bpe.vocabulary(open(RANKS, "rb").read(), PATTERN), 32_768, 512).collect()
+    holders = long.groupBy("digest").agg(F.collect_list(F.struct(F.lit(1).alias("doc_id"))).alias("rows"))
+    once = encoded_long(long, holders, lambda: bpe.vocabulary(open(RANKS, "rb").read(), PATTERN), 32_768, 512).collect()
     assert len(once) == 2 and {r.digest for r in once} == {hashlib.sha256(t.encode()).hexdigest() for t in (hot, other)}
+    assert sorted(len(r.rows) for r in once) == [1, 42]
     want = [(i, vocab.library.encode_ordinary(t or "")) for i, t in rows]
     assert bag((r.doc_id, list(r.ids)) for r in encode(docs, RANKS, PATTERN).collect()) == bag(want)

@@ -15,6 +15,12 @@ MOVE_ROWS = """SELECT DateKey, ProductKey, TransactionTypeKey, InvoiceID, Purcha
     FROM FactInventoryTransactions"""
 STOCK_ROWS = """SELECT ProductKey, CurrentStock, ReorderLevel, TargetStockLevel,
     CAST(LastCostPrice AS DOUBLE) AS LastCostPrice FROM FactInventory"""
+PAYMENT_ROWS = """SELECT CASE WHEN DateKey IN (SELECT DateKey FROM DimDate) THEN DateKey END AS DateKey, CustomerKey, SupplierKey,
+    InvoiceID, PurchaseOrderID, PaymentMethodKey, TransactionTypeKey, TransactionSource,
+    CAST(NetAmount AS DOUBLE) AS NetAmount, CAST(TaxAmount AS DOUBLE) AS TaxAmount,
+    CAST(TransactionAmount AS DOUBLE) AS TransactionAmount,
+    CAST(RemainingBalance AS DOUBLE) AS RemainingBalance
+    FROM FactFinancialTransactions"""
 BY_MONTH = over(
     f"""SELECT CAST(InvoiceDateKey // 100 AS INT) AS month, COUNT(*) AS line_count, {money('SUM(LineTotal)')} AS revenue
         FROM FactSales GROUP BY InvoiceDateKey // 100""", "FactSales")
@@ -146,6 +152,18 @@ STATEMENTS = {
             CAST(SUM(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END) AS BIGINT) AS added
         FROM customer GROUP BY c_mktsegment""",
     "loaded_sales": over(SALES_ROWS, "FactSales"),
+    "loaded_purchases": over(PURCHASE_ROWS, "FactPurchases"),
+    "loaded_movements": over(MOVE_ROWS, "FactInventoryTransactions"),
+    "loaded_payments": over(PAYMENT_ROWS, "FactFinancialTransactions", "DimDate"),
+    "loaded_stock": over(STOCK_ROWS, "FactInventory"),
+    "history_lookup": over(
+        VERSIONS + """ SELECT CAST(InvoiceDateKey // 10000 AS INT) AS YearNumber, validFrom, COUNT(*) AS lines,
+            CAST(SUM(Quantity) AS BIGINT) AS quantity, CAST(SUM(CurrentStock) AS BIGINT) AS stock,
+            CAST(SUM(ReorderLevel) AS BIGINT) AS reorder
+        FROM FactSales f LEFT JOIN versions v ON v.ProductKey = f.ProductKey
+            AND strptime(CAST(InvoiceDateKey AS VARCHAR), '%Y%m%d') >= validFrom
+            AND (validTo IS NULL OR strptime(CAST(InvoiceDateKey AS VARCHAR), '%Y%m%d') < validTo)
+        GROUP BY InvoiceDateKey // 10000, validFrom""", "FactInventory", "FactSales"),
     "lookup": over(
         """SELECT SupplierKey AS SupplierID, COUNT(*) AS lines, MAX(ExpectedDeliveryDateKey) AS last_key
            FROM FactPurchases GROUP BY SupplierKey""", "FactPurchases"),
@@ -156,13 +174,7 @@ STATEMENTS = {
     "fact_purchases": over(PURCHASE_ROWS, "FactPurchases"),
     "fact_inventory": over(STOCK_ROWS, "FactInventory"),
     "fact_inventory_transactions": over(MOVE_ROWS, "FactInventoryTransactions"),
-    "fact_financial": over(
-        """SELECT CASE WHEN DateKey IN (SELECT DateKey FROM DimDate) THEN DateKey END AS DateKey, CustomerKey, SupplierKey,
-                  InvoiceID, PurchaseOrderID, PaymentMethodKey, TransactionTypeKey, TransactionSource,
-                  CAST(NetAmount AS DOUBLE) AS NetAmount, CAST(TaxAmount AS DOUBLE) AS TaxAmount,
-                  CAST(TransactionAmount AS DOUBLE) AS TransactionAmount,
-                  CAST(RemainingBalance AS DOUBLE) AS RemainingBalance
-           FROM FactFinancialTransactions""", "FactFinancialTransactions", "DimDate"),
+    "fact_financial": over(PAYMENT_ROWS, "FactFinancialTransactions", "DimDate"),
     "incremental_fact": over(f"{SALES_ROWS} WHERE InvoiceDateKey > {MARK}", "FactSales"),
     "incremental_purchases": over(f"{PURCHASE_ROWS} WHERE PurchaseDateKey > {MARK}", "FactPurchases"),
     "incremental_movements": over(f"{MOVE_ROWS} WHERE DateKey > {MARK}", "FactInventoryTransactions"),

@@ -161,6 +161,7 @@ class Operational:
             F.col("SupplierKey").alias("SupplierID"), F.col("DeliveryMethodKey").alias("DeliveryMethodID"),
             F.col("l_shipdate").cast("date").alias("ExpectedDeliveryDate"),
             F.col("Quantity").alias("QuantityOrdered"), F.col("UnitPrice").alias("UnitCostPrice"), "TaxRate",
+            F.col("ListAmount").alias("LineCost"),
         )
 
     def inventory_transactions(self) -> DataFrame:

@@ -60,8 +60,8 @@ def purchase_lines(orders: DataFrame, details: DataFrame, products: DataFrame) -
     return details.join(orders, "PurchaseOrderID").join(products.select("ProductID", "TaxRate"), "ProductID")
 
 
-def fact_purchases(lines: DataFrame, dims: Dimensions) -> DataFrame:
-    """Purchase order lines with their keys; every lookup drops lines it cannot resolve.
+def fact_purchases(lines: DataFrame, dims: Dimensions, also: tuple[str, ...] = ()) -> DataFrame:
+    """Purchase order lines with their keys; every lookup drops lines it cannot resolve.  ``also``: columns carried along.
 
     The calendar ends with the last order, so lines expected after it vanish, as they do in the source system.
     """
@@ -72,7 +72,7 @@ def fact_purchases(lines: DataFrame, dims: Dimensions) -> DataFrame:
     rows = _find(rows, dims, "DimDeliveryMethod", "DeliveryMethodID", "DeliveryMethodID", "DeliveryMethodKey", DROP)
     return rows.select(
         "PurchaseDateKey", "ExpectedDeliveryDateKey", "PurchaseOrderID", "ProductKey", "SupplierKey",
-        "DeliveryMethodKey", "QuantityOrdered", "UnitCostPrice", "TaxRate",
+        "DeliveryMethodKey", "QuantityOrdered", "UnitCostPrice", "TaxRate", *also,
     )
 
 
@@ -91,8 +91,9 @@ def fact_inventory_transactions(transactions: DataFrame, dims: Dimensions) -> Da
     return rows.select("DateKey", "ProductKey", "TransactionTypeKey", "InvoiceID", "PurchaseOrderID", "Quantity")
 
 
-def fact_financial(customer_side: DataFrame, supplier_side: DataFrame, dims: Dimensions) -> DataFrame:
-    """Customer and supplier transactions in one fact, tagged with their source; unknown keys stay NULL.
+def fact_financial(customer_side: DataFrame, supplier_side: DataFrame, dims: Dimensions, also: tuple[str, ...] = ()) -> DataFrame:
+    """Customer and supplier transactions in one fact, tagged with their source; unknown keys stay NULL.  ``also``: columns
+    carried along.
 
     Each side is looked up in its own dimension before the union: after it, one side of the rows would carry
     a NULL key into each of the two joins.
@@ -107,7 +108,7 @@ def fact_financial(customer_side: DataFrame, supplier_side: DataFrame, dims: Dim
     rows = _find(rows, dims, "DimTransactionType", "TransactionTypeID", "TransactionTypeID", "TransactionTypeKey", KEEP)
     return rows.select(
         "DateKey", "CustomerKey", "SupplierKey", "InvoiceID", "PurchaseOrderID", "PaymentMethodKey",
-        "TransactionTypeKey", "TransactionSource", "NetAmount", "TaxAmount", "TransactionAmount", "RemainingBalance",
+        "TransactionTypeKey", "TransactionSource", "NetAmount", "TaxAmount", "TransactionAmount", "RemainingBalance", *also,
     )
 
 

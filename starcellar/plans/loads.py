@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import partial
+from functools import cache, partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcellar.functions.money import money_label
@@ -17,6 +17,8 @@ from starcellar.operators.lookup import DROP, KEEP, lookup
 from starcellar.session import scratch_path
 from starcellar.sources.files import csv_source, limited_fetch
 from starcellar.sources.sinks import WatermarkStore, append_sink, read_versioned, reload_sink, write_versioned
+from starcellar.operators.as_of import as_of_lookup
+from starcellar.plans.loaded_warehouse import LoadedWarehouse
 from starcellar.plans.star_load import StarLoad
 from starcellar.streaming.sales import stream_fact_sales as run_stream
 
@@ -160,15 +162,42 @@ def dim_employee(t: Tables) -> DataFrame:
     return dimensions.dim_employee(employee_filter(t))
 
 
+@cache
+def _loaded_root(application: str, spark: SparkSession, folder: str) -> str:
+    """The star of a folder, loaded up to the mark, then with the rest; once a session."""
+    load = StarLoad(Operational(Tables(spark, folder)), scratch_path(spark, "star"))
+    load.load(until=MARK)
+    load.load()
+    return load.root
+
+
+def loaded_star(t: Tables) -> StarLoad:
+    return StarLoad(Operational(t), _loaded_root(t.spark.sparkContext.applicationId, t.spark, t.folder))
+
+
+def loaded_warehouse(t: Tables) -> LoadedWarehouse:
+    return LoadedWarehouse(loaded_star(t).store)
+
+
 def loaded_sales(t: Tables) -> DataFrame:
-    """Sales by natural keys after a first load up to the mark, a load of the rest, and a repeated run of that."""
-    load = StarLoad(Operational(t), scratch_path(t.spark, "star"))
-    load.load_dimensions()
-    load.load_sales(until=MARK)
-    load.load_dimensions()
-    load.load_sales()
-    load.load_sales()
-    return with_doubles(load.sales_by_natural_keys())
+    """Sales of the loaded star by natural keys."""
+    return with_doubles(loaded_star(t).by_natural_keys("FactSales").drop("ProductSince"))
+
+
+def loaded_purchases(t: Tables) -> DataFrame:
+    return with_doubles(loaded_star(t).by_natural_keys("FactPurchases").drop("LineCost"))
+
+
+def loaded_movements(t: Tables) -> DataFrame:
+    return loaded_star(t).by_natural_keys("FactInventoryTransactions")
+
+
+def loaded_payments(t: Tables) -> DataFrame:
+    return with_doubles(loaded_star(t).by_natural_keys("FactFinancialTransactions").drop("TransactionDate"))
+
+
+def loaded_stock(t: Tables) -> DataFrame:
+    return with_doubles(loaded_star(t).by_natural_keys("FactInventory"))
 
 
 def dim_delivery_method(t: Tables) -> DataFrame:
@@ -320,6 +349,18 @@ def current_rows(t: Tables) -> DataFrame:
     return upkeep.current_rows(dim_history(t)).select("ProductKey", "CurrentStock", "validFrom")
 
 
+def history_lookup(t: Tables) -> DataFrame:
+    """Sales lines with the version of their product's stock levels that was valid on the invoice's day, by year and version."""
+    lines = t.order_lines().join(t.order_heads().select("OrderKey", "OrderDate"), "OrderKey")
+    versions = dim_history(t).select("ProductKey", "validFrom", "CurrentStock", "ReorderLevel")
+    valid = as_of_lookup(
+        lines.select("ProductKey", "OrderDate", "Quantity"), versions.withColumn("since", F.col("validFrom")),
+        "ProductKey", "OrderDate", "since", ["validFrom", "CurrentStock", "ReorderLevel"])
+    return valid.groupBy(F.year("OrderDate").alias("YearNumber"), "validFrom").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("Quantity").cast("bigint").alias("quantity"),
+        F.sum("CurrentStock").cast("bigint").alias("stock"), F.sum("ReorderLevel").cast("bigint").alias("reorder"))
+
+
 # Files -----------------------------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ DATES = {"sales": "InvoiceDate", "purchases": "PurchaseDate", "movements": "Move
          "payments": "TransactionDate"}
 
 
-def _stored_facts() -> dict[str, Fact]:
+def stored_facts() -> dict[str, Fact]:
     """Stored sales carry their profit, so it is a plain column there."""
     sales = FACTS["sales"]
     derived = {name: d for name, d in sales.derived.items() if name != "ProfitAmount"}
@@ -43,14 +43,14 @@ def store_warehouse(source: Warehouse, root: str) -> None:
         reload_sink(source.dimension(name), f"{target}/dimension/{name}")
     reload_sink(source.stock(), f"{target}/stock")
     reload_sink(source.calendar_bounds(), f"{target}/calendar")
-    for name, fact in _stored_facts().items():
+    for name, fact in stored_facts().items():
         rows = source.star(name, list(fact.columns)).withColumn(YEAR, F.year(DATES[name]))
         reload_sink(rows.hint("rebalance", YEAR), f"{target}/fact/{name}", (YEAR,))
     switch_version(source.spark, root, version)
 
 
 class StoredWarehouse(Warehouse):
-    facts = _stored_facts()
+    facts = stored_facts()
 
     def __init__(self, spark: SparkSession, root: str):
         super().__init__(spark)

@@ -44,7 +44,7 @@ def database(folder):
 
 def views_over(folder):
     connection = duckdb.connect()
-    for table in TABLES:
+    for table in (t for t in TABLES if os.path.exists(f"{folder}/{t}.parquet")):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'"
                            if os.path.isdir(f"{folder}/{table}.parquet")
                            else f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")

@@ -75,11 +75,14 @@ class Tables:
             f"{amount('o_totalprice')} AS OrderAmount",
         )
 
-    def order_lines(self) -> DataFrame:
+    def order_lines(self, also: tuple[str, ...] = ()) -> DataFrame:
         """One row per line item with exact amounts; what a line earns is known once its cost is joined.
 
-        A line's total is a product of hundredths, so it has four decimals.
+        A line's total is a product of hundredths, so it has four decimals.  ``also``: given columns carried along, or
+        ``LineID``, a hash of the line, as its given number is not its own.
         """
+        given = [c for c in self.read("lineitem").columns if c.startswith("l_")]
+        more = [f"xxhash64({', '.join(given)}) AS LineID" if c == "LineID" else c for c in also]
         total = f"{cents('l_extendedprice')} * (100 - {cents('l_discount')})"
         unit_price = f"{cents('l_extendedprice')} div NULLIF(CAST(l_quantity AS BIGINT), 0)"
         return self.read("lineitem").selectExpr(
@@ -93,7 +96,7 @@ class Tables:
             f"{amount('l_extendedprice')} AS ListAmount",
             f"CAST({cents('l_tax')} AS DECIMAL(5,2)) AS TaxRate",
             f"CAST(CAST({total} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4)) AS LineTotal",
-            "l_shipdate",
+            "l_shipdate", *more,
         )
 
     def calendar_bounds(self) -> DataFrame:

@@ -133,20 +133,21 @@ class Operational:
     def costs(self) -> DataFrame:
         return self.tables.stock().select(F.col("ProductKey").alias("StockItemID"), "LastCostPrice")
 
-    def invoice_details(self, invoices: DataFrame | None = None) -> DataFrame:
+    def invoice_details(self, invoices: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
         """Invoice lines with their profit, NULL without a known cost; the delivery method is given per line here.
 
-        With ``invoices`` only their lines, before anything else is joined to them.
+        With ``invoices`` only their lines, before anything else is joined to them.  ``also``: given columns, or
+        ``LineID``, carried along.
         """
         costs = self.tables.products().select("ProductKey", "LastCostPrice")
-        lines = self.tables.order_lines()
+        lines = self.tables.order_lines(also)
         if invoices is not None:
             lines = lines.join(invoices.select(F.col("InvoiceID").alias("OrderKey")), "OrderKey", "left_semi")
         lines = lines.join(costs, "ProductKey", "left")
         return lines.select(
             F.col("OrderKey").alias("InvoiceID"), F.col("ProductKey").alias("ProductID"),
             F.col("DeliveryMethodKey").alias("DeliveryMethodID"), "Quantity", "UnitPrice", "TaxRate", "LineTotal",
-            (F.col("LineTotal") - F.col("Quantity") * F.col("LastCostPrice")).alias("ProfitAmount"),
+            (F.col("LineTotal") - F.col("Quantity") * F.col("LastCostPrice")).alias("ProfitAmount"), *also,
         )
 
     def purchase_orders(self) -> DataFrame:

@@ -43,6 +43,19 @@ def fact_sales(invoices: DataFrame, details: DataFrame, dims: Dimensions) -> Dat
     )
 
 
+def sales_of_lines(lines: DataFrame, dims: Dimensions, also: tuple[str, ...] = ()) -> DataFrame:
+    """Invoice lines that carry their invoice's columns, with their keys, by the rules of ``fact_sales``."""
+    rows = _find(lines, dims, "DimDate", "InvoiceDate", "FullDate", "DateKey", DROP, "InvoiceDateKey")
+    rows = _find(rows, dims, "DimDeliveryMethod", "DeliveryMethodID", "DeliveryMethodID", "DeliveryMethodKey", DROP)
+    rows = _find(rows, dims, "DimProduct", "ProductID", "ProductID", "ProductKey", DROP)
+    rows = _find(rows, dims, "DimEmployee", "EmployeeID", "EmployeeID", "EmployeeKey", KEEP)
+    rows = _find(rows, dims, "DimCustomer", "CustomerID", "CustomerID", "CustomerKey", KEEP)
+    return required(rows, ("EmployeeKey", "CustomerKey"), "ProductKey").select(
+        "InvoiceDateKey", "ProductKey", "InvoiceID", "CustomerKey", "EmployeeKey", "DeliveryMethodKey", "Quantity",
+        "UnitPrice", "TaxRate", "LineTotal", "ProfitAmount", *also,
+    )
+
+
 def required(rows: DataFrame, keys: tuple[str, ...], line_column: str) -> DataFrame:
     """Fail on a row without one of the keys.
 

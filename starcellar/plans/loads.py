@@ -20,7 +20,7 @@ from starcellar.sources.sinks import WatermarkStore, append_sink, read_versioned
 from starcellar.operators.as_of import as_of_lookup
 from starcellar.plans.loaded_warehouse import LoadedWarehouse
 from starcellar.plans.star_load import StarLoad
-from starcellar.streaming.sales import stream_fact_sales as run_stream
+from starcellar.streaming.sales import SalesStream, Side
 
 MARK = dt.date(1998, 6, 30)
 FIRST_LOAD, SECOND_LOAD = dt.date(2000, 1, 1), dt.date(2000, 2, 1)
@@ -410,23 +410,28 @@ def stored_upsert(t: Tables) -> DataFrame:
     return with_doubles(read_versioned(t.spark, root))
 
 
-def stream_fact_sales(t: Tables) -> DataFrame:
-    """The sales fact loaded as a stream of line files, by month."""
-    op, output = Operational(t), scratch_path(t.spark, "stream-sales")
+def sales_stream(t: Tables, load: StarLoad, root: str) -> SalesStream:
+    """The sales of a folder as two streams, with the keys of a loaded star."""
+    orders, lines = t.read("orders"), t.read("lineitem")
 
-    load = StarLoad(op, scratch_path(t.spark, "star"))
-    load.load_dimensions()
+    def to_fact(joined: DataFrame) -> DataFrame:
+        batch = t.replaced(lineitem=joined.select(*lines.columns, "o_orderdate", "o_custkey", "o_orderpriority"))
+        priced = Operational(batch).invoice_details(also=("o_orderdate", "o_custkey", "o_orderpriority", "LineID"))
+        heads = priced.withColumnsRenamed({"o_custkey": "CustomerID", "o_orderpriority": "EmployeeID"})
+        dated = heads.withColumn("InvoiceDate", F.col("o_orderdate").cast("date")).drop("o_orderdate")
+        return facts.sales_of_lines(dated, load.dims(), ("LineID",))
 
-    def to_fact(lines: DataFrame) -> DataFrame:
-        # Dimensions come from storage; of the invoices only those of the batch meet its lines.
-        own = op.invoices().join(lines.select(F.col("l_orderkey").alias("InvoiceID")), "InvoiceID", "left_semi")
-        return facts.fact_sales(own, Operational(t.replaced(lineitem=lines)).invoice_details(), load.dims())
+    return SalesStream(
+        Side(f"{t.folder}/orders.parquet", orders.schema, "o_orderkey", ("o_orderkey",)),
+        Side(f"{t.folder}/lineitem.parquet", lines.schema, "l_orderkey", tuple(lines.columns)),
+        to_fact, ("InvoiceID", "LineID"), f"{root}/sales", f"{root}/late", f"{root}/checkpoint")
 
-    run_stream(
-        t.spark, f"{t.folder}/lineitem.parquet", t.read("lineitem").schema, to_fact, output,
-        scratch_path(t.spark, "stream-checkpoint"),
-    )
-    return _by_month(t.spark.read.parquet(output))
+
+def stream_fact_sales(t: Tables) -> DataFrame:
+    """The sales fact loaded as streams of invoice files and line files, by month."""
+    stream = sales_stream(t, loaded_star(t), scratch_path(t.spark, "stream"))
+    stream.run(t.spark)
+    return _by_month(t.spark.read.parquet(stream.output))
 
 
 # Labels ----------------------------------------------------------------------------------------------

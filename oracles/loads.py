@@ -104,6 +104,20 @@ CONSTRAINTS = [
     foreign_rule("lineitem", "l_suppkey", "supplier", "s_suppkey"),
 ]
 
+REJECTS = """WITH one AS (
+    SELECT l_orderkey, MAX(l_partkey) AS l_partkey, MAX(l_quantity) AS l_quantity, MAX(l_returnflag) AS l_returnflag
+    FROM lineitem GROUP BY l_orderkey),
+given AS (
+    SELECT 'lines' AS load_id, l_orderkey, l_partkey, l_quantity, COUNT(*) OVER (PARTITION BY l_orderkey) AS copies FROM lineitem
+    UNION ALL SELECT 'orders', l_orderkey, l_partkey, l_quantity, 1 FROM one)
+SELECT load_id, concat_ws('; ', CASE WHEN copies > 1 THEN 'primary_key l_orderkey' END,
+        CASE WHEN NOT l_quantity > 5 THEN 'check quantity_above_5' END,
+        CASE WHEN l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1996-01-01')
+             THEN 'foreign_key l_orderkey' END,
+        CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) THEN 'foreign_key l_partkey' END) AS reasons,
+    COUNT(*) AS row_total
+FROM given GROUP BY ALL"""
+
 STATEMENTS = {
     "table_source": """SELECT o_orderkey, c_name, CAST(o_orderdate AS DATE) AS o_orderdate
         FROM orders JOIN customer ON o_custkey = c_custkey""",
@@ -198,6 +212,11 @@ STATEMENTS = {
         UNION ALL SELECT 'FactInventoryTransactions', CAST(MAX(o_orderdate) AS DATE) FROM orders
         WHERE {ORDER_KEY} <= {MARK}""",
     "stored_upsert": over(UPSERTED, "FactInventory"),
+    "bucketed_upsert": over(UPSERTED, "FactInventory"),
+    "change_feed": """SELECT o_custkey AS CustomerID, arg_max(o_orderpriority, o_orderkey) AS Priority,
+            arg_max(o_totalprice, o_orderkey) AS Amount
+        FROM orders GROUP BY o_custkey HAVING arg_max(o_orderstatus, o_orderkey) <> 'F'""",
+    "append_with_rejects": REJECTS,
     "stream_fact_sales": BY_MONTH,
     "money_label": f"""SELECT c_mktsegment AS CustomerCategory, o_orderpriority AS EmployeeKey,
             {LABEL.format('a')} AS total, {LABEL.format('b')} AS largest

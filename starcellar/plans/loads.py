@@ -18,6 +18,10 @@ from starcellar.session import scratch_path
 from starcellar.sources.files import csv_source, limited_fetch
 from starcellar.sources.sinks import WatermarkStore, append_sink, read_versioned, reload_sink, write_versioned
 from starcellar.operators.as_of import as_of_lookup
+from starcellar.operators.buckets import DELETE, INSERT, UPDATE, BucketedTable
+from starcellar.operators.rejects import CheckedTable
+from starcellar.schemas import Rules
+from starcellar.sources.snapshots import Snapshots
 from starcellar.plans.loaded_warehouse import LoadedWarehouse
 from starcellar.plans.star_load import StarLoad
 from starcellar.streaming.sales import SalesStream, Side
@@ -410,6 +414,50 @@ def stored_upsert(t: Tables) -> DataFrame:
     return with_doubles(read_versioned(t.spark, root))
 
 
+def bucketed_upsert(t: Tables) -> DataFrame:
+    """The stock table after its upsert rewrote the buckets with changes."""
+    table = BucketedTable(Snapshots(t.spark, scratch_path(t.spark, "stock")), "stock", "ProductKey", upkeep.INVENTORY_COLUMNS)
+    table.upsert(_stock_before(t))
+    table.upsert(_stock_now(t))
+    return with_doubles(table.read())
+
+
+def customer_events(t: Tables) -> DataFrame:
+    """Each order as an event of its customer: processing ones insert, open ones update, filled ones delete."""
+    kind = F.when(F.col("o_orderstatus") == "F", DELETE).when(F.col("o_orderstatus") == "P", INSERT).otherwise(UPDATE)
+    return t.read("orders").select(
+        F.col("o_custkey").alias("CustomerID"), kind.alias("operation"), F.col("o_orderkey").alias("sequence"),
+        F.col("o_orderpriority").alias("Priority"), F.col("o_totalprice").alias("Amount"))
+
+
+def change_feed(t: Tables, runs: int = 3) -> DataFrame:
+    """The last state of each customer after its events came in runs in no order."""
+    table = BucketedTable(Snapshots(t.spark, scratch_path(t.spark, "feed")), "customers", "CustomerID", ("Priority", "Amount"))
+    events = customer_events(t)
+    for n in range(runs):
+        table.apply(events.filter(F.pmod(F.xxhash64("sequence"), F.lit(runs)) == n), "operation", "sequence")
+    return table.read()
+
+
+def append_with_rejects(t: Tables) -> DataFrame:
+    """Lines checked as they are appended in two loads, the second run twice: rows by load and by the rules they break."""
+    rules = Rules("l_orderkey", ("l_partkey", "l_quantity"),
+                  {"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey")},
+                  {"quantity_above_5": "l_quantity > 5"}, {"l_returnflag": 1})
+    parents = {"orders": t.read("orders").filter("o_orderdate >= timestamp'1996-01-01'"),
+               "part": t.read("part").filter("p_size <= 40")}
+    lines = t.read("lineitem")
+    only = lines.groupBy("l_orderkey").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"),
+                                           F.max("l_returnflag").alias("l_returnflag"))
+    table = CheckedTable(t.spark, scratch_path(t.spark, "checked"), rules)
+    table.append(lines.select(only.columns), "lines", parents)
+    for _ in range(2):
+        table.append(only, "orders", parents)
+    rows = table.accepted().select("load_id", F.lit("").alias("reasons")).unionByName(
+        table.rejected().select("load_id", F.array_join("reasons", "; ").alias("reasons")))
+    return rows.groupBy("load_id", "reasons").agg(F.count(F.lit(1)).alias("row_total"))
+
+
 def sales_stream(t: Tables, load: StarLoad, root: str) -> SalesStream:
     """The sales of a folder as two streams, with the keys of a loaded star."""
     orders, lines = t.read("orders"), t.read("lineitem")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starcellar.llm.logistic import fit, sigmoid
-from starcellar.llm.tables import crc_remainder, portions
+from starcellar.llm.tables import crc_remainder, portions, stored
 
 FIT_ROWS = 20_000  # labelled documents the lexicon and the curve are fitted on at most
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that may become entries, beside whole words
@@ -253,7 +253,7 @@ def lexicon_from(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: i
     """
     sample = bounded_sample(
         labels, docs, label, lambda i: crc_remainder(i, folds) != held_out, fit_rows, doc_id, text)
-    return learn(sample, "text", "label")
+    return learn(stored(sample, "labelled"), "text", "label")  # learning reads it several times
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS,

@@ -46,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # a local cluster's executors are processes of their own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return _own_dir()
 

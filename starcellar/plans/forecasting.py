@@ -22,6 +22,11 @@ BAND = 1.2816
 YEARLY_ORDER = 10
 WEEKLY_ORDER = 3
 RIDGE = 1.0
+# The trend may change its slope at this many even places of the first part of a history; the smaller the last
+# number, the dearer a change.
+CHANGES = 25
+CHANGING_PART = 0.8
+CHANGE_SCALE = 0.05
 
 FORECAST_SCHEMA = "ProductKey BIGINT, ds DATE, yhat DOUBLE, yhat_lower DOUBLE, yhat_upper DOUBLE, is_future BOOLEAN"
 
@@ -136,25 +141,94 @@ def _terms(days: np.ndarray, origin: int, span: int) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Days of the history and of the following ``periods``, their fitted values, and the band's half-width.
+def _bends(days: np.ndarray, origin: int, span: int) -> np.ndarray:
+    """For each place where the slope may change, how far a day lies beyond it, in histories."""
+    places = CHANGING_PART * np.arange(1, CHANGES + 1) / (CHANGES + 1)
+    return np.maximum(((days - origin) / max(span, 1))[:, None] - places, 0.0)
 
-    Every series has the same model, however many points it has: a line and both seasons in full.  A fixed ridge on
-    the waves keeps the solution stable where days are sparse; the line is not held back, so residuals sum to 0 and
-    are uncorrelated with time.  The band is as wide as the residuals ask for, freedom counted by the ridge's
-    effective number of terms.
+
+def change_price(values: np.ndarray) -> float:
+    """What a unit of slope change costs: the noise between neighbouring points over their scale and CHANGE_SCALE.
+
+    Neighbours differ by noise even where the slope breaks, so a break does not make changes dearer.
+    """
+    noise = float(np.mean(np.diff(values) ** 2)) / 2.0
+    return noise / (max(float(np.abs(values).max()), 1e-9) * CHANGE_SCALE)
+
+
+def few_changes(gram: np.ndarray, pull: np.ndarray, price: float) -> np.ndarray:
+    """The exact minimum of ``d'Gd/2 - pull'd + price * sum|d|``, by following it from the price at which d is 0.
+
+    Between two events the active changes move on a line; an event is one that becomes active or returns to 0.
+    """
+    found = np.zeros(len(pull))
+    left = pull.astype(float).copy()
+    at = float(np.abs(left).max(initial=0.0))
+    active: list[int] = []
+    returned = -1
+    for _ in range(20 * len(pull)):
+        if at <= price:
+            break
+        idle = [j for j in range(len(pull)) if j not in active and j != returned]
+        entering = [j for j in idle if abs(left[j]) >= at * (1 - 1e-9)]
+        active += entering
+        signs = np.where(np.abs(found[active]) > 0, np.sign(found[active]), np.sign(left[active]))
+        inner = gram[np.ix_(active, active)]
+        move = np.linalg.solve(inner + np.eye(len(active)) * (1e-12 * np.trace(inner) + 1e-300), signs)
+        slide = gram[:, active] @ move
+        step, event = at - price, -1
+        for j in range(len(pull)):
+            if j in active:
+                way = move[active.index(j)]
+                reach = -found[j] / way if way * found[j] < 0 else np.inf
+            else:
+                reaches = [(at - side * left[j]) / (1.0 - side * slide[j]) for side in (1, -1)
+                           if 1.0 - side * slide[j] > 1e-12]
+                reach = min((r for r in reaches if r > 1e-9 * at), default=np.inf)
+            if reach < step:
+                step, event = reach, j
+        found[active] += step * move
+        left -= step * slide
+        at -= step
+        returned = -1
+        if event in active:
+            found[event] = 0.0
+            active.remove(event)
+            returned = event
+    return found
+
+
+def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Days of the history and of the following ``periods``, their fitted values, and the band's half-width by day.
+
+    Every series has the same model, however many points it has: a trend of straight pieces and both seasons in full.
+    A fixed ridge on the waves keeps the solution stable where days are sparse.  Slope changes pay a price by their
+    size, so most are exactly 0 and a noisy series keeps a straight line; level and slope are not held back, so
+    residuals sum to 0 and are uncorrelated with time.  The band is as wide as the residuals ask for, freedom counted
+    by the ridge's effective number of terms and the changes; ahead of the history it widens with the variance of
+    slope changes that come as often, and are as large on average, as those of the history.
     """
     span = int(days[-1] - days[0])
-    known = _terms(days, days[0], span)
+    known, bends = _terms(days, days[0], span), _bends(days, days[0], span)
     scale = max(float(np.abs(values).max()), 1e-9)
     ridge = np.full(known.shape[1], RIDGE)
     ridge[:2] = 0.0 if span else 1e-9
     system = known.T @ known + np.diag(ridge)
-    weights = np.linalg.solve(system, known.T @ (values / scale)) * scale
-    used = float(np.trace(np.linalg.solve(system, known.T @ known)))
-    deviation = float(np.sqrt(np.sum((values - known @ weights) ** 2) / max(len(days) - used, 1.0)))
+    target = values / scale
+    # The best weights for given changes are linear in them, which leaves a problem in the changes alone.
+    plain, follow = np.linalg.solve(system, known.T @ target), np.linalg.solve(system, known.T @ bends)
+    free = bends - known @ follow
+    changes = few_changes(bends.T @ free, free.T @ target, change_price(values) / scale)
+    weights = plain - follow @ changes
+    used = float(np.trace(np.linalg.solve(system, known.T @ known))) + np.count_nonzero(changes)
+    left = target - known @ weights - bends @ changes
+    variance = float(np.sum(left**2)) / max(len(days) - used, 1.0)
     every = np.concatenate([days, days[-1] + 1 + np.arange(periods)])
-    return every, _terms(every, days[0], span) @ weights, BAND * deviation
+    fitted = _terms(every, days[0], span) @ weights + _bends(every, days[0], span) @ changes
+    ahead = np.maximum(every - days[-1], 0) / max(span, 1)
+    rate, size = CHANGES / CHANGING_PART, float(np.abs(changes).mean())
+    width = BAND * np.sqrt(variance + rate * 2.0 * size**2 * ahead**3 / 3.0)
+    return every, fitted * scale, width * scale
 
 
 def _forecast_one(periods: int):
@@ -178,7 +252,7 @@ def _forecast_one(periods: int):
 
 
 def seasonal_forecast(history: DataFrame, months: int = 3) -> DataFrame:
-    """Trend, weekly and yearly seasons with an 80 % band, for the history and the horizon.
+    """Trend of straight pieces, weekly and yearly seasons with an 80 % band, for the history and the horizon.
 
     ``history`` has ``ProductKey, ds, y`` and one row per product and day; all products are fitted in one job.
     """
@@ -194,22 +268,41 @@ def forecast(w: Warehouse, months: int = 3) -> DataFrame:
     return seasonal_forecast(daily_histories(w), months)
 
 
-def forecast_fit(w: Warehouse) -> DataFrame:
-    """What holds for the least-squares fit of each product: days covered, and residuals without level or trend.
+def _optimality(history: DataFrame, predicted: DataFrame) -> DataFrame:
+    """What holds for the best fit of each series and for no other one.
 
-    The residuals' sum and their sum weighted by the day are given relative to the sales.
+    Days covered; residuals without level or trend, relative to the sales; and no slope change left that would pay: the
+    residuals' sum weighted by the distance beyond any place of change is at most the price of a change.
     """
-    history = daily_histories(w)
-    fitted = seasonal_forecast(history).filter("NOT is_future").select("ProductKey", "ds", "yhat")
-    rows = history.join(fitted, ["ProductKey", "ds"], "full_outer")
+    known, ahead = predicted.filter("NOT is_future"), predicted.filter("is_future")
+    key = "ProductKey"
+    rows = history.join(known.select(key, "ds", "yhat"), [key, "ds"], "full_outer")
+    series = Window.partitionBy(key)
     day = F.date_diff("ds", F.lit("1995-01-01").cast("date"))
-    left = F.col("y") - F.col("yhat")
-    return rows.groupBy("ProductKey").agg(
+    step = F.col("y") - F.lag("y").over(series.orderBy("ds"))
+    first, last = F.min("ds").over(series), F.max("ds").over(series)
+    rows = rows.select("*", (F.col("y") - F.col("yhat")).alias("left"), day.alias("day"), step.alias("step"),
+                       (F.date_diff("ds", first) / F.date_diff(last, first)).alias("t"))
+    beyond = [F.greatest(F.col("t") - CHANGING_PART * j / (CHANGES + 1), F.lit(0.0)) for j in range(1, CHANGES + 1)]
+    gains = [F.abs(F.sum(F.col("left") * b)) for b in beyond]
+    price = F.avg(F.col("step") * F.col("step")) / 2 / (F.max(F.abs("y")) * CHANGE_SCALE)
+    sums = rows.groupBy(key).agg(
         F.count("y").alias("points"), F.count("yhat").alias("fitted"), F.min("ds").alias("first_day"),
         F.max("ds").alias("last_day"),
-        (F.abs(F.sum(left)) < 1e-6 * F.sum(F.abs("y"))).alias("no_level_left"),
-        (F.abs(F.sum(left * day)) < 1e-6 * F.sum(F.abs(F.col("y")) * day)).alias("no_trend_left"),
+        (F.abs(F.sum("left")) < 1e-6 * F.sum(F.abs("y"))).alias("no_level_left"),
+        (F.abs(F.sum(F.col("left") * F.col("day"))) < 1e-6 * F.sum(F.abs("y") * F.col("day"))).alias("no_trend_left"),
+        (F.greatest(*gains) <= price + 1e-6 * F.sum(F.abs("y"))).alias("no_change_left"),
     )
+    horizon = ahead.groupBy(F.col(key).alias("of")).agg(
+        F.count(F.lit(1)).alias("days_ahead"), F.max("ds").alias("last_ahead"),
+        F.bool_and((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_band"))
+    return sums.join(horizon, F.col(key).eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def forecast_fit(w: Warehouse) -> DataFrame:
+    """The conditions of the best fit, for the forecast of each product."""
+    history = daily_histories(w)
+    return _optimality(history, seasonal_forecast(history))
 
 
 def forecast_all(w: Warehouse, months: int = 3) -> DataFrame:
@@ -217,6 +310,12 @@ def forecast_all(w: Warehouse, months: int = 3) -> DataFrame:
     return seasonal_forecast(_total_history(w), months).drop("ProductKey")
 
 
+def forecast_all_fit(w: Warehouse) -> DataFrame:
+    """The conditions of the best fit, for the forecast over all products together."""
+    every = _total_history(w).withColumn("ProductKey", F.lit(0).cast("bigint"))
+    return _optimality(every, seasonal_forecast(every)).drop("ProductKey")
+
+
 # Reading a forecast ----------------------------------------------------------------------------------
 
 

@@ -18,7 +18,6 @@ from starcellar.plans import adhoc, cube, dashboard, forecasting, loads, monthly
 from starcellar.plans.layout_warehouse import LayoutWarehouse
 from starcellar.plans.stored_warehouse import StoredWarehouse, store_warehouse
 from starcellar.session import shared_dir
-from starcellar.streaming.sales import stream_fact_sales
 
 
 def plan_of(df):
@@ -302,7 +301,44 @@ def test_fit_recovers_line_and_week():
     ahead = np.arange(400, 430)
     assert list(every[-30:]) == list(ahead)
     expected = 50 + 0.3 * ahead + 10 * np.sin(2 * np.pi * ahead / 7)
-    assert np.abs(fitted[-30:] - expected).max() < 3.0 and width < 2.0
+    assert np.abs(fitted[-30:] - expected).max() < 3.0 and width[:400].max() < 2.0
+    assert (np.diff(width[400:]) >= 0).all()
+
+
+def test_fit_follows_a_broken_slope_and_leaves_noise_straight():
+    days, random = np.arange(500), np.random.default_rng(5)
+    trend = np.where(days < 250, 100 + 0.4 * days, 200 - 0.3 * (days - 250))
+    noise = random.normal(0, 4, 500)
+    every, fitted, width = forecasting.fit_series(days, trend + noise, 60)
+    ahead = 200 - 0.3 * (every[500:] - 250)
+    assert np.abs(fitted[500:] - ahead).max() < 15
+    assert (fitted[:250] - trend[:250]).std() < 4 and fitted[553:560].mean() < fitted[500:507].mean() - 10
+    assert width[-1] > 1.5 * width[0] and (np.abs(fitted[500:] - ahead) <= width[500:]).all()
+    straight, fitted, width = forecasting.fit_series(days, 100 + random.normal(0, 4, 500), 60)
+    assert np.abs(fitted[500:] - 100).max() < 8 and width[-1] < 1.2 * width[0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_changes_are_the_exact_minimum(seed):
+    random = np.random.default_rng(seed)
+    points = random.normal(size=(40, 12)).cumsum(axis=0 if seed % 2 else 1)
+    gram, pull = points.T @ points, points.T @ random.normal(size=40)
+    price = float(np.abs(pull).max()) * (0.02, 0.2, 0.9)[seed % 3]
+    found, plain = forecasting.few_changes(gram, pull, price), np.zeros(12)
+    cost = lambda d: d @ gram @ d / 2 - pull @ d + price * np.abs(d).sum()
+    for _ in range(5000):  # one change at a time
+        for j in range(12):
+            rest = pull[j] - gram[j] @ plain + gram[j, j] * plain[j]
+            plain[j] = np.sign(rest) * max(abs(rest) - price, 0) / gram[j, j]
+    assert cost(found) <= cost(plain) + 1e-9 * abs(cost(plain))
+    assert np.abs(pull - gram @ found).max() <= price * (1 + 1e-6)
+    assert not forecasting.few_changes(gram, pull, float(np.abs(pull).max()) * 1.01).any()
+
+
+@pytest.mark.parametrize("values", [[5.0] * 12, [0.0] * 12, list(range(12)), [0.0] * 11 + [1e9]])
+def test_fit_of_plain_series(values):
+    every, fitted, width = forecasting.fit_series(np.arange(12), np.array(values), 5)
+    assert len(every) == len(fitted) == len(width) == 17 and np.isfinite(fitted).all() and np.isfinite(width).all()
 
 
 def test_forecast_covers_history_and_horizon(spark):
@@ -362,23 +398,25 @@ def test_short_history_is_left_out(warehouse):
 # Stream ----------------------------------------------------------------------------------------------
 
 
-def test_stream_equals_batch_and_picks_up_new_files(spark, tables, tmp_path):
-    op = Operational(tables)
-    lines = tables.read("lineitem")
-    source, output, checkpoint = (str(tmp_path / n) for n in ("lines", "out", "checkpoint"))
+def test_stream_equals_batch_and_picks_up_new_files(spark, tables, folder, tmp_path):
+    op, load, lines = Operational(tables), loads.loaded_star(tables), tables.read("lineitem")
+    source = str(tmp_path / "lineitem.parquet")
+    for name in ("orders", "part"):
+        os.symlink(f"{folder}/{name}.parquet", tmp_path / f"{name}.parquet")
 
-    def to_fact(batch):
-        return facts.fact_sales(op.invoices(), Operational(tables.replaced(lineitem=batch)).invoice_details(), op.dims())
+    def batch(some):
+        return facts.fact_sales(op.invoices(), Operational(tables.replaced(lineitem=some)).invoice_details(), load.dims())
 
     def run():
-        stream_fact_sales(spark, source, lines.schema, to_fact, output, checkpoint, files_per_batch=1)
-        return as_sets(spark.read.parquet(output).drop("load_batch"))
+        stream = loads.sales_stream(Tables(spark, str(tmp_path)), load, str(tmp_path / "out"))
+        stream.run(spark, files_per_batch=1)
+        return as_sets(spark.read.parquet(stream.output).select(batch(lines).columns))
 
     lines.filter("l_linestatus = 'O'").repartition(2).write.mode("append").parquet(source)
-    assert run() == as_sets(to_fact(lines.filter("l_linestatus = 'O'")))
-    assert run() == as_sets(to_fact(lines.filter("l_linestatus = 'O'")))
+    assert run() == as_sets(batch(lines.filter("l_linestatus = 'O'")))
+    assert run() == as_sets(batch(lines.filter("l_linestatus = 'O'")))
     lines.filter("l_linestatus = 'F'").write.mode("append").parquet(source)
-    assert run() == as_sets(to_fact(lines))
+    assert run() == as_sets(batch(lines))
 
 
 class Session:

@@ -12,7 +12,7 @@ from starcellar.functions.calendar import date_key
 from starcellar.plans.star_load import YEAR
 from starcellar.plans.stored_warehouse import stored_facts
 from starcellar.plans.warehouse import Day, Fact, Warehouse
-from starcellar.sources.snapshots import Snapshots
+from starcellar.sources.snapshots import Snapshot, Snapshots
 
 TABLES = {
     "product": "DimProduct", "customer": "DimCustomer", "supplier": "DimSupplier", "location": "DimLocation",
@@ -44,13 +44,13 @@ def _day(key: str) -> Column:
 
 
 class LoadedWarehouse(Warehouse):
-    """Reads the snapshot that was current when it was opened, so all its queries agree while loads go on."""
+    """Reads the snapshot given or current when it was opened, so all its queries agree while loads go on."""
 
     facts = _loaded_facts()
 
-    def __init__(self, store: Snapshots):
+    def __init__(self, store: Snapshots, snapshot: Snapshot | None = None):
         super().__init__(store.spark)
-        self.store, self.snapshot = store, store.current()
+        self.store, self.snapshot = store, snapshot or store.current()
         if not self.snapshot.number:
             raise FileNotFoundError(f"no star loaded below {store.root}")
 

@@ -23,6 +23,7 @@ from starcellar.operators.rejects import CheckedTable
 from starcellar.schemas import Rules
 from starcellar.sources.snapshots import Snapshots
 from starcellar.plans.loaded_warehouse import LoadedWarehouse
+from starcellar.plans.rollups import RolledWarehouse, keep_up
 from starcellar.plans.star_load import StarLoad
 from starcellar.streaming.sales import SalesStream, Side
 
@@ -169,7 +170,7 @@ def dim_employee(t: Tables) -> DataFrame:
 @cache
 def _loaded_root(application: str, spark: SparkSession, folder: str) -> str:
     """The star of a folder, loaded up to the mark, then with the rest; once a session."""
-    load = StarLoad(Operational(Tables(spark, folder)), scratch_path(spark, "star"))
+    load = StarLoad(Operational(Tables(spark, folder)), scratch_path(spark, "star"), (keep_up,))
     load.load(until=MARK)
     load.load()
     return load.root
@@ -183,6 +184,11 @@ def loaded_warehouse(t: Tables) -> LoadedWarehouse:
     return LoadedWarehouse(loaded_star(t).store)
 
 
+def rolled_warehouse(t: Tables) -> RolledWarehouse:
+    """The loaded star, answering from its monthly cells and distinct parts alone."""
+    return RolledWarehouse(loaded_star(t).store, strict=True)
+
+
 def loaded_sales(t: Tables) -> DataFrame:
     """Sales of the loaded star by natural keys."""
     return with_doubles(loaded_star(t).by_natural_keys("FactSales").drop("ProductSince"))

@@ -8,7 +8,7 @@ that dies anywhere leaves the snapshot as it was, and what it wrote is never nam
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
@@ -134,8 +134,10 @@ def together(jobs: Iterable[Callable[[], None]]) -> None:
 
 
 class StarLoad:
-    def __init__(self, source: Operational, root: str):
-        self.source, self.root = source, root
+    """``derived`` bring tables made from others up to date in each run, before it is published."""
+
+    def __init__(self, source: Operational, root: str, derived: Sequence[Callable[[Draft], None]] = ()):
+        self.source, self.root, self.derived = source, root, derived
         self.spark = source.tables.spark
         self.store = Snapshots(self.spark, root)
         self.marks = Marks(self.store)
@@ -158,6 +160,11 @@ class StarLoad:
             lambda: self._write_stock(draft, dims),
         ])
         self._check(draft, FACT_LOADS)
+        return self._publish(draft)
+
+    def _publish(self, draft: Draft) -> Snapshot:
+        for bring in self.derived:
+            bring(draft)
         return draft.publish()
 
     # Dimensions ----------------------------------------------------------------------------------
@@ -176,7 +183,7 @@ class StarLoad:
         """New versions of all dimensions, without facts."""
         draft = self.draft()
         self._write_dimensions(draft)
-        draft.publish()
+        self._publish(draft)
 
     def _write_dimensions(self, draft: Draft, since: dt.date | None = None) -> None:
         """Write a new version of each dimension.
@@ -309,7 +316,7 @@ class StarLoad:
         if draft is None or draft.base.marks.get("FactSales") != began:
             raise ValueError("no sales were written from this mark")
         self._check(draft, ["FactSales"])
-        return draft.publish().marks.get("FactSales")
+        return self._publish(draft).marks.get("FactSales")
 
     # Reading -------------------------------------------------------------------------------------
 

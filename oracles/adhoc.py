@@ -196,6 +196,50 @@ STATEMENTS = {
            SELECT Category, CAST(s AS DOUBLE) AS cost_of_sales, CAST(h AS DOUBLE) AS stock_value,
                   CAST(s AS DOUBLE) / NULLIF(CAST(h AS DOUBLE), 0) AS turnover FROM totals""",
         "FactSales", "FactInventory", "DimProduct"),
+    "stock_by_day": over(
+        """WITH daily AS (SELECT ProductKey, DateKey, SUM(Quantity) AS moved FROM FactInventoryTransactions GROUP BY ALL),
+           running AS (
+               SELECT *, SUM(moved) OVER (PARTITION BY ProductKey)
+                         - SUM(moved) OVER (PARTITION BY ProductKey ORDER BY DateKey) AS later FROM daily)
+           SELECT r.ProductKey, strptime(CAST(DateKey AS VARCHAR), '%Y%m%d')::DATE AS FullDate, CAST(moved AS BIGINT) AS moved,
+                  CAST(CurrentStock - later AS BIGINT) AS balance
+           FROM running r JOIN FactInventory i ON r.ProductKey = i.ProductKey WHERE DateKey // 10000 = 1998""",
+        "FactInventoryTransactions", "FactInventory"),
+    "inventory_turnover_of": over(
+        """WITH daily AS (SELECT ProductKey, DateKey, SUM(Quantity) AS moved FROM FactInventoryTransactions GROUP BY ALL),
+           days AS (SELECT DateKey FROM DimDate WHERE DateKey >= 19980101),
+           grid AS (
+               SELECT i.ProductKey, i.LastCostPrice, days.DateKey, i.CurrentStock,
+                      SUM(COALESCE(moved, 0)) OVER (PARTITION BY i.ProductKey)
+                      - SUM(COALESCE(moved, 0)) OVER (PARTITION BY i.ProductKey ORDER BY days.DateKey) AS later
+               FROM FactInventory i CROSS JOIN days LEFT JOIN daily d ON d.ProductKey = i.ProductKey AND d.DateKey = days.DateKey),
+           held AS (SELECT ProductKey, SUM((CurrentStock - later) * LastCostPrice) AS h FROM grid
+                    WHERE DateKey // 10000 = 1998 GROUP BY ProductKey),
+           sold AS (SELECT ProductKey, SUM(Quantity) AS q FROM FactSales WHERE InvoiceDateKey // 10000 = 1998 GROUP BY ProductKey),
+           totals AS (
+               SELECT p.Category, CAST(SUM(COALESCE(q, 0) * p.LastCostPrice) AS DOUBLE) AS s, CAST(SUM(h) AS DOUBLE) / 365 AS a
+               FROM held JOIN DimProduct p ON held.ProductKey = p.ProductKey LEFT JOIN sold ON sold.ProductKey = held.ProductKey
+               GROUP BY p.Category)
+           SELECT Category, s AS cost_of_sales, a AS average_stock_value, s / NULLIF(a, 0) AS turnover FROM totals""",
+        "FactInventoryTransactions", "FactInventory", "FactSales", "DimDate", "DimProduct"),
+    "supplier_fulfilment": over(
+        """WITH leads AS (
+               SELECT SupplierKey, strptime(CAST(ExpectedDeliveryDateKey AS VARCHAR), '%Y%m%d')::DATE
+                                   - strptime(CAST(PurchaseDateKey AS VARCHAR), '%Y%m%d')::DATE AS lead FROM FactPurchases)
+           SELECT SupplierKey, COUNT(*) AS line_count, SUM(lead) / CAST(COUNT(*) AS DOUBLE) AS lead_days,
+                  COUNT(*) FILTER (WHERE lead <= 60) / CAST(COUNT(*) AS DOUBLE) AS share_in_time
+           FROM leads GROUP BY SupplierKey""", "FactPurchases"),
+    "supplier_concentration": over(
+        f"""WITH spend AS (SELECT fp.SupplierKey, SUM({COST_AT_LAST}) AS s
+                          FROM FactPurchases fp JOIN DimProduct dp ON fp.ProductKey = dp.ProductKey GROUP BY fp.SupplierKey),
+            ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY s DESC, SupplierKey) AS rank,
+                              SUM(s) OVER (ORDER BY s DESC, SupplierKey ROWS UNBOUNDED PRECEDING) AS upto,
+                              CAST((SELECT SUM(s) FROM spend) AS DOUBLE) AS everything,
+                              (SELECT SUM(CAST(s AS DOUBLE) * CAST(s AS DOUBLE)) FROM spend) AS squares FROM spend)
+            SELECT CAST(rank AS INT) AS rank, SupplierKey, CAST(s AS DOUBLE) AS spend, CAST(s AS DOUBLE) / everything AS spend_share,
+                   CAST(upto AS DOUBLE) / everything AS cumulative_share,
+                   ROUND(squares / (everything * everything), 9) AS concentration
+            FROM ranked WHERE rank <= 20""", "FactPurchases", "DimProduct"),
     "customer_growth": over(
         f"""WITH months AS (SELECT DISTINCT f.CustomerKey, d.YearNumber, d.MonthNumber FROM FactSales f {ON_DATE}),
             firsts AS (SELECT CustomerKey, MIN(YearNumber * 12 + MonthNumber) AS m FROM months GROUP BY CustomerKey)

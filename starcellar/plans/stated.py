@@ -121,7 +121,10 @@ def supplier_performance(w: Warehouse) -> DataFrame:
 
 
 def supplier_fulfilment(w: Warehouse, days: int = 60) -> DataFrame:
-    """By supplier, order lines, average days from order to expected delivery, and the share of lines due within ``days``."""
+    """By supplier, order lines, average days from order to expected delivery, and the share of lines due within ``days``.
+
+    Dates count as they stand: a line expected before it was ordered has a negative lead.
+    """
     lead = F.date_diff("ExpectedDate", "PurchaseDate")
     lines = w.star("purchases", ["SupplierKey", "PurchaseDate", "ExpectedDate"]).groupBy("SupplierKey").agg(
         F.count(F.lit(1)).alias("line_count"), F.sum(lead).alias("lead"), F.count_if(lead <= days).alias("in_time"))

@@ -48,4 +48,4 @@ def test_supplier_measures(warehouse):
     assert [r["rank"] for r in sorted(top, key=lambda r: r["rank"])] == list(range(1, len(top) + 1))
     assert shares == sorted(shares, reverse=True) and abs(sum(shares) - max(r.cumulative_share for r in top)) < 1e-9
     rows = stated.supplier_fulfilment(warehouse).collect()
-    assert rows and all(0 <= r.share_in_time <= 1 and r.lead_days >= 0 for r in rows)
+    assert rows and all(0 <= r.share_in_time <= 1 for r in rows)

@@ -1,4 +1,4 @@
-"""Repeated passages by hashes of stretches and windows in an index of all reference blocks."""
+"""Repeated passages by greedy factors of documents, relative to what an index of all reference blocks knows."""
 
 from __future__ import annotations
 
@@ -20,6 +20,9 @@ BLOCKS_A_PARTITION = 2
 CROWD = 16  # stretches of one anchor that a block tells the index of; with more it checks all its windows itself
 SLICE = 4 << 20  # bytes of text whose words are hashed at once
 PIECE = 1 << 20  # bytes whose powers are held
+PLACES = 1 << 20  # places in references that are extended at once
+ASKERS = 65536  # blocks that one row of a lent document names
+NONE = np.iinfo(np.int64).max
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -41,6 +44,20 @@ def powers(step: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each word on, as far as there are so many."""
+    size = max(0, len(hashes) - n + 1)
+    out = np.zeros(size, dtype=np.uint64)
+    for i in range(n):
+        out = out * STEP + hashes[i:i + size]
+    return mix(out)
+
+
+def sums_of(hashes: np.ndarray) -> np.ndarray:
+    """Sums of the first words' hashes, the n-th word weighing ``STEP`` to the n."""
+    return np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers(STEP, len(hashes)), dtype=np.uint64)])
+
+
 class Words:
     """Word hashes of some documents: ``hashes`` and each word's ``owner`` (row number)."""
 
@@ -77,11 +94,7 @@ class Words:
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on, as far as there are so many."""
-        size = max(0, len(self.hashes) - n + 1)
-        out = np.zeros(size, dtype=np.uint64)
-        for i in range(n):
-            out = out * STEP + self.hashes[i:i + size]
-        return mix(out)
+        return grams(self.hashes, n)
 
 
 class Stretches:
@@ -114,7 +127,7 @@ class Stretches:
         self.owner = owner[self.begin]
         self.key = anchors[place[first]]
         last = self.end + WINDOW - 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers(STEP, len(h)), dtype=np.uint64)])
+        sums = sums_of(h)
         value = (sums[last] - sums[self.begin]) * powers(STEP_INVERSE, len(h) + 1)[self.begin]
         shape = ((last - self.begin) * 64 + (place[first] - self.begin)).astype(np.uint64)
         self.extent = mix(value + shape * BYTE_STEP)
@@ -199,12 +212,11 @@ class Answers:
 
     def of(self, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Smallest document, or the largest number there is, and whether the windows are to be asked for."""
-        none = np.iinfo(np.int64).max
         if not len(self.mark):
-            return np.full(len(mark), none), np.zeros(len(mark), dtype=bool)
+            return np.full(len(mark), NONE), np.zeros(len(mark), dtype=bool)
         at = np.minimum(np.searchsorted(self.mark, mark), len(self.mark) - 1)
         hit = self.mark[at] == mark
-        return np.where(hit, self.least[at], none), hit & self.ask[at]
+        return np.where(hit, self.least[at], NONE), hit & self.ask[at]
 
 
 def _ask(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -228,9 +240,111 @@ def _ask(block: pa.Table, answers: pa.Table) -> pa.Table:
     return _table(key=key, window=window, block=np.full(len(key), block["block"][0].as_py(), np.int32), least=least, most=most)
 
 
-FACTOR = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("reference", pa.int64())])
+LENT = "askers array<int>, least long, text string"
+
+
+def _lend(block: pa.Table, asked: pa.Table) -> pa.Table:
+    """The block's documents that blocks ask for as references, each with the numbers of those blocks."""
+    schema = pa.schema([("askers", pa.list_(pa.int32())), ("least", pa.int64()), ("text", pa.string())])
+    if not asked.num_rows:
+        return schema.empty_table()
+    asked = asked.sort_by([("least", "ascending"), ("asker", "ascending")])
+    wanted, asker = asked["least"].to_numpy(), asked["asker"].to_numpy()
+    ids = block["doc_id"].to_numpy()
+    first, last = np.searchsorted(wanted, ids, side="left"), np.searchsorted(wanted, ids, side="right")
+    rows = [(i, a, min(a + ASKERS, int(last[i])))
+            for i in np.flatnonzero(first < last).tolist() for a in range(int(first[i]), int(last[i]), ASKERS)]
+    lent = block.take(pa.array([i for i, _, _ in rows], pa.int64()))
+    return pa.Table.from_arrays([
+        pa.array([asker[a:b] for _, a, b in rows], pa.list_(pa.int32())), lent["doc_id"], lent["text"]], schema=schema)
+
+
+class References:
+    """Words of the documents lent to a block, and the places at which a window stands in one of them."""
+
+    def __init__(self, lent: pa.Table):
+        lent = lent.sort_by([("least", "ascending"), ("text", "ascending")])
+        texts = lent["text"].cast(pa.binary()).to_pylist()
+        hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for begin, end in slices(np.array([len(t) for t in texts]), SLICE):
+            words = Words(np.frombuffer(b"".join(texts[begin:end]), np.uint8), np.cumsum([len(t) for t in texts[begin:end]]))
+            hashes.append(words.hashes)
+            owner.append(words.owner + begin)
+        self.hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.begin, self.end = bounds[owner], bounds[owner + 1]  # of the document that a word belongs to
+        self.sums, self.powers = sums_of(self.hashes), powers(STEP, len(self.hashes) + 1)
+        windows = grams(self.hashes, WINDOW)
+        at = np.flatnonzero(np.arange(len(windows)) + WINDOW <= self.end[:len(windows)])
+        mark = marks(windows[at], lent["least"].to_numpy()[owner[at]].view(np.uint64))
+        order = np.argsort(mark, kind="stable")
+        self.mark, self.at = mark[order], at[order]
+
+    def places(self, windows: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) number in ``at`` of the places where each window stands in its reference."""
+        mark = marks(windows, reference.view(np.uint64))
+        return np.searchsorted(self.mark, mark, side="left"), np.searchsorted(self.mark, mark, side="right")
+
+
+class Factors:
+    """Greedy factors of some documents, from left to right: first word, number of words, place in the references.
+
+    A factor starts at the first window that is not yet inside one and stands in an earlier document.  It is the
+    longest match of the words from there on with any place of that window in its reference.  Windows over a factor's
+    end are not inside it: the next factor starts at the first of them that stands in an earlier document, else behind.
+    So all windows that stand in an earlier document are inside factors, and factors have no others.
+    """
+
+    def __init__(self, words: Words, reference: np.ndarray, known: References):
+        self.words, self.known = words, known
+        self.sums, self.powers = sums_of(words.hashes), powers(STEP, len(words.hashes) + 1)
+        seeds = np.flatnonzero(reference != NONE)
+        first, last = known.places(words.grams(WINDOW)[seeds], reference[seeds])
+        seeds, first, last = (x[first < last] for x in (seeds, first, last))  # the others only shared a mark
+        owner = words.owner[seeds]
+        end = np.searchsorted(words.owner, owner, side="right")
+        now = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[:len(seeds)])
+        found = [np.zeros((3, 0), np.int64)]
+        while len(now):  # one factor of each document that is not through
+            sizes = np.concatenate([np.zeros(0, np.int64), *(
+                self._longest(seeds[now[a:b]], end[now[a:b]], first[now[a:b]], last[now[a:b]], found)
+                for a, b in slices(last[now] - first[now], PLACES))])
+            after = np.searchsorted(seeds, seeds[now] + np.maximum(sizes - WINDOW, 0) + 1)
+            inside = after < len(seeds)
+            inside[inside] = owner[after[inside]] == owner[now[inside]]
+            now = after[inside]
+        start, size, place = np.concatenate(found, axis=1)
+        order = np.argsort(start, kind="stable")
+        order = order[size[order] >= WINDOW]
+        self.start, self.size, self.place = start[order], size[order], place[order]
+
+    def _longest(self, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray, found: list) -> np.ndarray:
+        """Lengths of the longest matches of the words from ``start`` on; the matches go to ``found``."""
+        counts = last - first
+        of = np.repeat(np.arange(len(start)), counts)
+        begin = np.cumsum(counts) - counts
+        place = self.known.at[first[of] + np.arange(len(of)) - begin[of]]
+        own = start[of]
+        size, beyond = np.full(len(of), WINDOW), np.minimum(end[of] - own, self.known.end[place] - place) + 1
+        while (beyond - size > 1).any():
+            half = (size + beyond) // 2
+            same = (self.sums[own + half] - self.sums[own]) * self.known.powers[place] == (
+                self.known.sums[place + half] - self.known.sums[place]) * self.powers[own]
+            size, beyond = np.where(same, half, size), np.where(same, beyond, half)
+        longest = np.flatnonzero(size == np.maximum.reduceat(size, begin)[of])
+        chosen = longest[np.unique(of[longest], return_index=True)[1]]  # the first such place
+        place, size = place[chosen], size[chosen]
+        of = np.repeat(np.arange(len(start)), size)  # sums can agree by chance, so the words are compared
+        nth = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+        other = np.flatnonzero(self.words.hashes[start[of] + nth] != self.known.hashes[place[of] + nth])
+        np.minimum.at(size, of[other], nth[other])
+        found.append(np.stack([start, size, place]))
+        return size
+
+
+FACTOR = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("reference", pa.int64()), ("place", pa.int32())])
 PARSED = ("doc_id long, n_words long, n_removed long, kept string, "
-          "factors array<struct<start:int,words:int,reference:long>>")
+          "factors array<struct<start:int,words:int,reference:long,place:int>>")
 
 
 def _parse(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -239,12 +353,12 @@ def _parse(block: pa.Table, answers: pa.Table) -> pa.Table:
                         ("factors", pa.list_(FACTOR))])
     if not block.num_rows:
         return schema.empty_table()
-    stretch_answers, window_answers = (Answers(answers.filter(pc.equal(answers["kind"], n))) for n in (0, 1))
-    none = np.iinfo(np.int64).max
+    stretches, windows, lent = (answers.filter(pc.equal(answers["kind"], n)) for n in range(3))
+    stretch_answers, window_answers, known = Answers(stretches), Answers(windows), References(lent)
     tables = []
     for doc, words, found, texts in _read(block):
         size = len(words.hashes)
-        reference = np.full(size, none)  # of the window that starts at a word
+        reference = np.full(size, NONE)  # of the window that starts at a word
         own = doc[found.owner]
         least, _ = stretch_answers.of(marks(found.key, found.extent))
         whole = least < own
@@ -253,23 +367,19 @@ def _parse(block: pa.Table, answers: pa.Table) -> pa.Table:
         stretch, at = found.windows(np.flatnonzero(~whole), words)
         if len(at):
             checked, _ = window_answers.of(marks(found.key[stretch], words.grams(WINDOW)[at]))
-            reference[at] = np.where(checked < own[stretch], checked, none)
-        hit = reference != none
-        edge = np.zeros(size + WINDOW, dtype=np.int64)
-        edge[:size] += hit
-        edge[WINDOW:] -= hit
+            reference[at] = np.where(checked < own[stretch], checked, NONE)
+        factors = Factors(words, reference, known)
+        edge = np.zeros(size + 1, dtype=np.int64)
+        np.add.at(edge, factors.start, 1)
+        np.add.at(edge, factors.start + factors.size, -1)
         removed = np.cumsum(edge)[:size] > 0
         bounds = np.searchsorted(words.owner, np.arange(len(doc) + 1))
-        # a factor: windows one after the other that were found in the same document
-        fresh = hit.copy()
-        fresh[1:] &= (reference[1:] != reference[:-1]) | (words.owner[1:] != words.owner[:-1])
-        starts = np.flatnonzero(fresh)
-        stops = np.flatnonzero(hit & ~np.concatenate([(hit & ~fresh)[1:], [False]])[:size]) + 1
-        factor_bounds = np.searchsorted(words.owner[starts], np.arange(len(doc) + 1))
-        shift = bounds[words.owner[starts]]
-        factors = pa.StructArray.from_arrays([
-            pa.array((starts - shift).astype(np.int32)), pa.array((stops - starts + WINDOW - 1).astype(np.int32)),
-            pa.array(reference[starts])], fields=list(FACTOR))
+        factor_owner = words.owner[factors.start]
+        factor_bounds = np.searchsorted(factor_owner, np.arange(len(doc) + 1))
+        parsed = pa.StructArray.from_arrays([
+            pa.array((factors.start - bounds[factor_owner]).astype(np.int32)), pa.array(factors.size.astype(np.int32)),
+            pa.array(reference[factors.start]),
+            pa.array((factors.place - known.begin[factors.place]).astype(np.int32))], fields=list(FACTOR))
         totals = np.concatenate([[0], np.cumsum(removed)])
         kept = []
         for i, text in enumerate(texts):
@@ -280,7 +390,7 @@ def _parse(block: pa.Table, answers: pa.Table) -> pa.Table:
         tables.append(pa.Table.from_arrays([
             pa.array(doc), pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.diff(totals[bounds]).astype(np.int64)),
             pa.array(kept, pa.string()),
-            pa.ListArray.from_arrays(pa.array(factor_bounds.astype(np.int32)), factors).cast(pa.list_(FACTOR)),
+            pa.ListArray.from_arrays(pa.array(factor_bounds.astype(np.int32)), parsed).cast(pa.list_(FACTOR)),
         ], schema=schema))
     return pa.concat_tables(tables)
 
@@ -301,23 +411,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row (doc_id, n_words, n_removed, kept, factors) for each document.
 
-    Words are runs of other than ASCII white space.  A window is ``WINDOW`` words one after the other; each word that
-    is covered by a window which also starts in a document with a smaller id is removed, and ``kept`` has the others,
-    joined by one space.  ``factors`` are (start, words) of windows one after the other whose smallest document is the
-    same, ``reference``.  They are no greedy parse: no match is extended, so a copied passage falls apart where some of
-    its windows also stand in an earlier document, and windows of one factor may stand apart from each other in the
-    reference.
-
-    The corpus is dealt into reference blocks.  Each block is indexed by its stretches: the words under neighbouring
-    windows that share an anchor.  The index of all blocks says for each stretch the smallest document that has it.
-    Where this is an earlier one, the whole stretch is part of a factor.  Factors begin and end in stretches that
-    share an anchor with others without being equal; there the windows are looked up one by one.  What matches
-    nowhere, the most of a corpus, is not compared any further.
+    Words are runs of other than ASCII white space.  A window is ``WINDOW`` words one after the other.  Each document is
+    parsed greedily, from left to right, relative to the documents with smaller ids: where a window stands in one, the
+    factor is the longest match from there on with that document, and windows over its end are looked at again, as one
+    may stand elsewhere.  ``factors`` are (start, words, reference, place): so many words from ``start`` on stand one
+    after the other in the document ``reference`` from its word ``place`` on, and do not go on alike; they are at least
+    a window long and may overlap by less than one.  Words in factors are removed: these are the words covered by a
+    window which also starts in a document with a smaller id.  ``kept`` has the others, joined by one space.  Where
+    several earlier documents hold the window, the reference is the smallest that holds the stretch (below) around it.
+    In crowds of stretches it can be another of them, as the blocks fall; the removed words are the same.
+
+    The corpus is dealt into reference blocks, and an index of all blocks tells a document the windows at which factors
+    can start and an earlier document of each.  Each block is indexed by its stretches: the words under neighbouring
+    windows that share an anchor.  Where a stretch stands whole in an earlier document, so do all its windows.  Factors
+    begin and end in stretches that share an anchor with others without being equal; there the windows are looked up one
+    by one.  What matches nowhere, the most of a corpus, is not compared any further.  Documents named as references
+    are lent, once, to the blocks that name them, where the matches with their words are extended.
 
     A block tells the index each of its stretches once, with its smallest and largest document, and of an anchor with
     very many stretches only the first ones, checking all their windows instead.  So a passage that a third of all
-    documents share is as many rows in the index as there are blocks, not as there are documents.  Words are compared
-    by two independent 64-bit hashes.
+    documents share is as many rows in the index as there are blocks, not as there are documents.  A block holds its
+    own texts and those lent to it, at most one reference a window.  Words are compared by hashes of 64 bits.
 
     A missing text has no words.  Rows without an id keep all words and are no reference.  Rows of one id are judged
     each against smaller ids, not against each other, and come back as often as given.  Texts of fewer words than a
@@ -341,7 +455,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         index.withColumn("first", F.first("least").over(stretch))
         .withColumn("ask", several & (F.col("least") == F.col("first")))
         .where((F.col("first") < F.col("most")) | F.col("ask"))
-        .select("block", "key", F.col("extent").alias("value"), F.col("first").alias("least"), "ask")
+        .select("block", "key", F.col("extent").alias("value"), F.col("first").alias("least"), "ask",
+                (F.col("first") < F.col("most")).alias("found"))
         .repartition(partitions, "block")
     )
     asked = known.groupBy("block").cogroup(stretches.groupBy("block")).applyInArrow(_ask, ASKED)
@@ -351,6 +466,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("block", "key", F.col("window").alias("value"), F.col("first").alias("least"), F.lit(False).alias("ask"),
                 F.lit(1).alias("kind"))
     )
-    parsed = known.groupBy("block").cogroup(
-        stretches.withColumn("kind", F.lit(0)).unionByName(windows).groupBy("block")).applyInArrow(_parse, PARSED)
+    references = (
+        stretches.where("found").select("block", "least").unionByName(windows.select("block", "least")).distinct()
+        .select(F.pmod(F.xxhash64("least"), F.lit(blocks)).cast("int").alias("block"), "least",
+                F.col("block").alias("asker"))
+    )
+    lent = known.groupBy("block").cogroup(references.groupBy("block")).applyInArrow(_lend, LENT)
+    answers = (
+        stretches.drop("found").withColumn("kind", F.lit(0)).unionByName(windows)
+        .unionByName(lent.select(F.explode("askers").alias("block"), "least", "text", F.lit(2).alias("kind")),
+                     allowMissingColumns=True)
+    )
+    parsed = known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse, PARSED)
     return parsed.unionByName(rows.where("doc_id IS NULL").select("text").mapInArrow(_plain, PARSED))

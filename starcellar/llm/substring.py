@@ -451,14 +451,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     several = (F.min("extent").over(anchor) < F.max("extent").over(anchor)) & (
         F.min("least").over(anchor) < F.max("most").over(anchor))
-    stretches = (
+    told = (
         index.withColumn("first", F.first("least").over(stretch))
         .withColumn("ask", several & (F.col("least") == F.col("first")))
         .where((F.col("first") < F.col("most")) | F.col("ask"))
         .select("block", "key", F.col("extent").alias("value"), F.col("first").alias("least"), "ask",
                 (F.col("first") < F.col("most")).alias("found"))
-        .repartition(partitions, "block")
     )
+    stretches = told.drop("found").repartition(partitions, "block")
     asked = known.groupBy("block").cogroup(stretches.groupBy("block")).applyInArrow(_ask, ASKED)
     window = Window.partitionBy("key", "window").orderBy("least")
     windows = (
@@ -467,15 +467,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 F.lit(1).alias("kind"))
     )
     references = (
-        stretches.where("found").select("block", "least").unionByName(windows.select("block", "least")).distinct()
+        told.where("found").select("block", "least").unionByName(windows.select("block", "least")).distinct()
         .select(F.pmod(F.xxhash64("least"), F.lit(blocks)).cast("int").alias("block"), "least",
                 F.col("block").alias("asker"))
     )
     lent = known.groupBy("block").cogroup(references.groupBy("block")).applyInArrow(_lend, LENT)
-    answers = (
-        stretches.drop("found").withColumn("kind", F.lit(0)).unionByName(windows)
-        .unionByName(lent.select(F.explode("askers").alias("block"), "least", "text", F.lit(2).alias("kind")),
-                     allowMissingColumns=True)
+    lent = lent.select(F.explode("askers").alias("block"), "least", "text", F.lit(2).alias("kind"))
+    answers = (  # all dealt alike, so their union is
+        stretches.withColumn("kind", F.lit(0)).unionByName(windows.repartition(partitions, "block"))
+        .unionByName(lent.repartition(partitions, "block"), allowMissingColumns=True)
     )
     parsed = known.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse, PARSED)
     return parsed.unionByName(rows.where("doc_id IS NULL").select("text").mapInArrow(_plain, PARSED))

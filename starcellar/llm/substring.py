@@ -181,8 +181,9 @@ def _table(**columns: np.ndarray) -> pa.Table:
     return pa.table({k: v.view(np.int64) if v.dtype == np.uint64 else v for k, v in columns.items()})
 
 
-INDEX = "key long, extent long, block int, least long, most long"
-ASKED = "key long, window long, block int, least long, most long"
+# A span is the smallest document's number, exclusive or the largest's: mostly zero, so it presses well.
+INDEX = "key long, extent long, block int, least long, span long"
+ASKED = "key long, window long, block int, least long, span long"
 
 
 def _index(block: pa.Table) -> pa.Table:
@@ -198,7 +199,7 @@ def _index(block: pa.Table) -> pa.Table:
     nth = np.arange(len(key)) - np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
     told = nth < CROWD + 1
     return _table(key=key[told], extent=extent[told], block=np.full(told.sum(), block["block"][0].as_py(), np.int32),
-                  least=least[told], most=most[told])
+                  least=least[told], span=(most ^ least)[told])
 
 
 class Answers:
@@ -223,7 +224,7 @@ def _ask(block: pa.Table, answers: pa.Table) -> pa.Table:
     """Windows of the stretches that are the first of their kind and share their anchor with another stretch."""
     if not block.num_rows:
         return _table(key=np.zeros(0, np.uint64), window=np.zeros(0, np.uint64), block=np.zeros(0, np.int32),
-                      least=np.zeros(0, np.int64), most=np.zeros(0, np.int64))
+                      least=np.zeros(0, np.int64), span=np.zeros(0, np.int64))
     known = Answers(answers)
     parts = list(_read(block))
     crowded = _crowded(np.concatenate([p[2].key for p in parts]), np.concatenate([p[2].extent for p in parts]))
@@ -237,7 +238,7 @@ def _ask(block: pa.Table, answers: pa.Table) -> pa.Table:
         windows.append(words.grams(WINDOW)[at])
         ids.append(own[stretch])
     key, window, least, most = _combined([np.concatenate(keys), np.concatenate(windows)], np.concatenate(ids))
-    return _table(key=key, window=window, block=np.full(len(key), block["block"][0].as_py(), np.int32), least=least, most=most)
+    return _table(key=key, window=window, block=np.full(len(key), block["block"][0].as_py(), np.int32), least=least, span=most ^ least)
 
 
 LENT = "askers array<int>, least long, text string"
@@ -445,24 +446,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     known = rows.where("doc_id IS NOT NULL").withColumn("block", block).repartition(partitions, "block")
 
+    most = F.col("least").bitwiseXOR(F.col("span"))
     index = known.groupBy("block").applyInArrow(_index, INDEX).repartition("key")
     stretch, anchor = Window.partitionBy("key", "extent").orderBy("least"), (
         Window.partitionBy("key").orderBy("extent", "least")  # the order that the other window needs, so one sort does
         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     several = (F.min("extent").over(anchor) < F.max("extent").over(anchor)) & (
-        F.min("least").over(anchor) < F.max("most").over(anchor))
+        F.min("least").over(anchor) < F.max(most).over(anchor))
     told = (
         index.withColumn("first", F.first("least").over(stretch))
         .withColumn("ask", several & (F.col("least") == F.col("first")))
-        .where((F.col("first") < F.col("most")) | F.col("ask"))
+        .where((F.col("first") < most) | F.col("ask"))
         .select("block", "key", F.col("extent").alias("value"), F.col("first").alias("least"), "ask",
-                (F.col("first") < F.col("most")).alias("found"))
+                (F.col("first") < most).alias("found"))
     )
     stretches = told.drop("found").repartition(partitions, "block")
     asked = known.groupBy("block").cogroup(stretches.groupBy("block")).applyInArrow(_ask, ASKED)
     window = Window.partitionBy("key", "window").orderBy("least")
     windows = (
-        asked.withColumn("first", F.first("least").over(window)).where(F.col("first") < F.col("most"))
+        asked.withColumn("first", F.first("least").over(window)).where(F.col("first") < most)
         .select("block", "key", F.col("window").alias("value"), F.col("first").alias("least"), F.lit(False).alias("ask"),
                 F.lit(1).alias("kind"))
     )

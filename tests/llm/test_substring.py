@@ -143,5 +143,12 @@ def test_factors_are_found_in_their_reference(docs, texts):
         assert len(covered) == r.n_removed
 
 
+def test_ids_of_all_sizes(make_docs):
+    text = " ".join(f"word{n}" for n in range(20))
+    rows = [(i, text) for i in (2**63 - 1, -2**63, 0, -1, 7)] + [(5, f"{text} more")]
+    got = remove_repeats(make_docs(rows), block_bytes=100).drop("factors").collect()
+    assert bag(got) == bag(expected(rows))
+
+
 def test_empty(no_docs):
     assert remove_repeats(no_docs).collect() == []

@@ -15,8 +15,9 @@ from starcellar.llm.tables import slices
 
 WINDOW = 13  # words
 ANCHOR = 4  # words of an anchor
-BLOCK_BYTES = 16 << 20  # text of a reference block
-BLOCKS_A_PARTITION = 2
+BLOCK_BYTES = 8 << 20  # text of a reference block
+BLOCKS_A_PARTITION = 4
+PARTITIONS = 20_000  # at most; beyond, a partition has more blocks, which are still read one by one
 CROWD = 16  # stretches of one anchor that a block tells the index of; with more it checks all its windows itself
 SLICE = 4 << 20  # bytes of text whose words are hashed at once
 PIECE = 1 << 20  # bytes whose powers are held
@@ -170,9 +171,9 @@ def _read(block: pa.Table) -> Iterator[tuple[np.ndarray, Words, Stretches, list[
     order = np.argsort(block["doc_id"].to_numpy(), kind="stable")  # one order, whatever way the rows came
     block = block.take(pa.array(order))
     ids = block["doc_id"].to_numpy()
-    texts = block["text"].cast(pa.binary()).to_pylist()
-    for begin, end in slices(np.array([len(t) for t in texts]), SLICE):
-        part = texts[begin:end]
+    texts = block["text"].cast(pa.binary())
+    for begin, end in slices(pc.binary_length(texts).to_numpy(), SLICE):
+        part = texts.slice(begin, end - begin).to_pylist()
         words = Words(np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(t) for t in part]))
         yield ids[begin:end], words, Stretches(words), part
 
@@ -226,10 +227,10 @@ def _ask(block: pa.Table, answers: pa.Table) -> pa.Table:
         return _table(key=np.zeros(0, np.uint64), window=np.zeros(0, np.uint64), block=np.zeros(0, np.int32),
                       least=np.zeros(0, np.int64), span=np.zeros(0, np.int64))
     known = Answers(answers)
-    parts = list(_read(block))
+    parts = [(doc, words, found) for doc, words, found, _ in _read(block)]
     crowded = _crowded(np.concatenate([p[2].key for p in parts]), np.concatenate([p[2].extent for p in parts]))
     keys, windows, ids = [], [], []
-    for doc, words, found, _ in parts:
+    for doc, words, found in parts:
         least, ask = known.of(marks(found.key, found.extent))
         own = doc[found.owner]
         rows = np.flatnonzero((least >= own) & (ask | np.isin(found.key, crowded)))
@@ -442,7 +443,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    partitions = max(1, -(-blocks // BLOCKS_A_PARTITION))
+    partitions = min(max(1, -(-blocks // BLOCKS_A_PARTITION)), PARTITIONS)
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     known = rows.where("doc_id IS NOT NULL").withColumn("block", block).repartition(partitions, "block")
 

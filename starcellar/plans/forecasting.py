@@ -1,11 +1,14 @@
 """Daily sales history, trend and forecast, per product or over all products.
 
 A series has at most one row per calendar day, however large the sales table is: lines are summed by day
-before anything is grouped by product, so a group handed to Python is bounded by the calendar.
+before anything is grouped by product, so a group handed to Python is bounded by the calendar.  Python fits many series
+in one call of numpy, as most products have few days of sales and there are very many of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +30,8 @@ RIDGE = 1.0
 CHANGES = 25
 CHANGING_PART = 0.8
 CHANGE_SCALE = 0.05
+# Days, filled up to the longest series beside them, that are fitted in one call.
+FIT_DAYS = 16_384
 
 FORECAST_SCHEMA = "ProductKey BIGINT, ds DATE, yhat DOUBLE, yhat_lower DOUBLE, yhat_upper DOUBLE, is_future BOOLEAN"
 
@@ -131,20 +136,29 @@ def linear_forecast(w: Warehouse, months: int = 3) -> DataFrame:
 # Trend with seasons ----------------------------------------------------------------------------------
 
 
-def _terms(days: np.ndarray, origin: int, span: int) -> np.ndarray:
-    """Intercept, line over the history, and all yearly and weekly waves for day numbers."""
-    columns = [np.ones(len(days)), (days - origin) / max(span, 1)]
+def _waves(days: np.ndarray) -> np.ndarray:
+    """All yearly and weekly waves for day numbers."""
+    columns = []
     for period, order in ((365.25, YEARLY_ORDER), (7.0, WEEKLY_ORDER)):
         for k in range(1, order + 1):
             angle = 2.0 * np.pi * k * days / period
             columns += [np.sin(angle), np.cos(angle)]
-    return np.column_stack(columns)
+    return np.stack(columns, axis=-1)
+
+
+def _terms(days: np.ndarray, origin: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Intercept, line over the history, and all waves, for the days of each series; waves are computed once a day."""
+    line = (days - origin[:, None]) / np.maximum(span, 1)[:, None]
+    each, place = np.unique(days, return_inverse=True)
+    waves = _waves(each)[place.reshape(days.shape)]
+    return np.concatenate([np.ones((*days.shape, 1)), line[:, :, None], waves], axis=2)
 
 
-def _bends(days: np.ndarray, origin: int, span: int) -> np.ndarray:
-    """For each place where the slope may change, how far a day lies beyond it, in histories."""
+def _bends(days: np.ndarray, origin: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """For each place where the slope may change, how far a day of a series lies beyond it, in histories."""
     places = CHANGING_PART * np.arange(1, CHANGES + 1) / (CHANGES + 1)
-    return np.maximum(((days - origin) / max(span, 1))[:, None] - places, 0.0)
+    line = (days - origin[:, None]) / np.maximum(span, 1)[:, None]
+    return np.maximum(line[:, :, None] - places, 0.0)
 
 
 def change_price(values: np.ndarray) -> float:
@@ -157,49 +171,67 @@ def change_price(values: np.ndarray) -> float:
 
 
 def few_changes(gram: np.ndarray, pull: np.ndarray, price: float) -> np.ndarray:
-    """The exact minimum of ``d'Gd/2 - pull'd + price * sum|d|``, by following it from the price at which d is 0.
+    """The exact minimum of ``d'Gd/2 - pull'd + price * sum|d|``; see ``fewest_changes``."""
+    return fewest_changes(gram[None], pull[None], np.array([price]))[0]
 
-    Between two events the active changes move on a line; an event is one that becomes active or returns to 0.
+
+def fewest_changes(grams: np.ndarray, pulls: np.ndarray, prices: np.ndarray) -> np.ndarray:
+    """The minimum of each series, by following it from the price at which d is 0.
+
+    Between two events the active changes move on a line; an event is one that becomes active or returns to 0.  All
+    series that have not reached their price take one such step together.
     """
-    found = np.zeros(len(pull))
-    left = pull.astype(float).copy()
-    at = float(np.abs(left).max(initial=0.0))
-    active: list[int] = []
-    returned = -1
-    for _ in range(20 * len(pull)):
-        if at <= price:
+    count = pulls.shape[1]
+    result = np.zeros(pulls.shape)
+    at = np.abs(pulls).max(axis=1, initial=0.0)
+    going = np.flatnonzero(~(at <= prices))
+    found, left, at = np.zeros((len(going), count)), pulls[going].astype(float), at[going]
+    active, returned = np.zeros((len(going), count), bool), np.zeros((len(going), count), bool)
+    diagonal = np.eye(count, dtype=bool)
+    for _ in range(20 * count):
+        if not len(going):
             break
-        idle = [j for j in range(len(pull)) if j not in active and j != returned]
-        entering = [j for j in idle if abs(left[j]) >= at * (1 - 1e-9)]
-        active += entering
-        signs = np.where(np.abs(found[active]) > 0, np.sign(found[active]), np.sign(left[active]))
-        inner = gram[np.ix_(active, active)]
-        move = np.linalg.solve(inner + np.eye(len(active)) * (1e-12 * np.trace(inner) + 1e-300), signs)
-        slide = gram[:, active] @ move
-        step, event = at - price, -1
-        for j in range(len(pull)):
-            if j in active:
-                way = move[active.index(j)]
-                reach = -found[j] / way if way * found[j] < 0 else np.inf
-            else:
-                reaches = [(at - side * left[j]) / (1.0 - side * slide[j]) for side in (1, -1)
-                           if 1.0 - side * slide[j] > 1e-12]
-                reach = min((r for r in reaches if r > 1e-9 * at), default=np.inf)
-            if reach < step:
-                step, event = reach, j
-        found[active] += step * move
-        left -= step * slide
-        at -= step
-        returned = -1
-        if event in active:
-            found[event] = 0.0
-            active.remove(event)
-            returned = event
-    return found
-
-
-def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Days of the history and of the following ``periods``, their fitted values, and the band's half-width by day.
+        gram, price, top = grams[going], prices[going], at[:, None]
+        active |= ~returned & (np.abs(left) >= top * (1 - 1e-9))
+        signs = np.where(active, np.where(np.abs(found) > 0, np.sign(found), np.sign(left)), 0.0)
+        inner = np.where(active[:, :, None] & active[:, None, :], gram, 0.0)
+        hold = 1e-12 * np.trace(inner, axis1=1, axis2=2)[:, None] + 1e-300
+        inner += np.where(diagonal, np.where(active, hold, 1.0)[:, :, None], 0.0)
+        move = np.linalg.solve(inner, signs[:, :, None])[:, :, 0]
+        slide = (gram @ move[:, :, None])[:, :, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = np.where(active & (move * found < 0), -found / move, np.inf)
+            for side in (1, -1):
+                enters = (top - side * left) / (1.0 - side * slide)
+                enters = np.where((1.0 - side * slide > 1e-12) & (enters > 1e-9 * top) & ~active, enters, np.inf)
+                reach = np.minimum(reach, enters)
+        event = reach.argmin(axis=1)
+        nearest = np.take_along_axis(reach, event[:, None], axis=1)[:, 0]
+        met = nearest < at - price
+        step = np.where(met, nearest, at - price)
+        found += step[:, None] * move
+        left -= step[:, None] * slide
+        at = at - step
+        returned = active & met[:, None] & (np.arange(count) == event[:, None])
+        found[returned] = 0.0
+        active &= ~returned
+        result[going] = found
+        more = ~(at <= price)
+        going, found, left, at, active, returned = (x[more] for x in (going, found, left, at, active, returned))
+    return result
+
+
+Fit = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> Fit:
+    """``fit_many`` for one series."""
+    return fit_many([days], [values], periods)[0]
+
+
+def fit_many(days: Sequence[np.ndarray], values: Sequence[np.ndarray], periods: int) -> list[Fit]:
+    """For each series the days of its history and of the following ``periods``, their fitted values, and the band's
+    half-width by day.
 
     Every series has the same model, however many points it has: a trend of straight pieces and both seasons in full.
     A fixed ridge on the waves keeps the solution stable where days are sparse.  Slope changes pay a price by their
@@ -207,46 +239,94 @@ def fit_series(days: np.ndarray, values: np.ndarray, periods: int) -> tuple[np.n
     residuals sum to 0 and are uncorrelated with time.  The band is as wide as the residuals ask for, freedom counted
     by the ridge's effective number of terms and the changes; ahead of the history it widens with the variance of
     slope changes that come as often, and are as large on average, as those of the history.
+
+    Series of about the same length are fitted together, so that little is spent on filling them up.
     """
-    span = int(days[-1] - days[0])
-    known, bends = _terms(days, days[0], span), _bends(days, days[0], span)
-    scale = max(float(np.abs(values).max()), 1e-9)
-    ridge = np.full(known.shape[1], RIDGE)
-    ridge[:2] = 0.0 if span else 1e-9
-    system = known.T @ known + np.diag(ridge)
-    target = values / scale
+    fits: list[Fit] = [None] * len(days)
+    order = sorted(range(len(days)), key=lambda i: len(days[i]))
+    while order:
+        width = len(days[order[-1]])
+        some = order[-max(FIT_DAYS // (width + periods), 1):]
+        del order[-len(some):]
+        for i, fit in zip(some, _fit_together([days[i] for i in some], [values[i] for i in some], periods), strict=True):
+            fits[i] = fit
+    return fits
+
+
+def _fit_together(days: list[np.ndarray], values: list[np.ndarray], periods: int) -> Iterator[Fit]:
+    """Fits of series that are filled up with their last day, which then counts for nothing."""
+    sizes = np.array([len(d) for d in days])
+    width = int(sizes.max())
+    held = np.arange(width) < sizes[:, None]
+    first, last = np.array([d[0] for d in days]), np.array([d[-1] for d in days])
+    span = last - first
+    day, value = np.repeat(last[:, None], width, axis=1), np.zeros((len(days), width))
+    day[held], value[held] = np.concatenate(days), np.concatenate(values)
+    every = np.concatenate([day, last[:, None] + 1 + np.arange(periods)], axis=1)
+    all_terms, all_bends = _terms(every, first, span), _bends(every, first, span)
+    known, bends = all_terms[:, :width] * held[:, :, None], all_bends[:, :width] * held[:, :, None]
+    scale = np.maximum(np.abs(value).max(axis=1), 1e-9)
+    ridge = np.full((len(days), known.shape[2]), RIDGE)
+    ridge[:, :2] = np.where(span > 0, 0.0, 1e-9)[:, None]
+    turned = known.transpose(0, 2, 1)
+    square = turned @ known
+    system = square + ridge[:, :, None] * np.eye(known.shape[2])
+    target = (value / scale[:, None])[:, :, None]
     # The best weights for given changes are linear in them, which leaves a problem in the changes alone.
-    plain, follow = np.linalg.solve(system, known.T @ target), np.linalg.solve(system, known.T @ bends)
+    solved = np.linalg.solve(system, np.concatenate([turned @ target, turned @ bends, square], axis=2))
+    plain, follow, kept = solved[:, :, :1], solved[:, :, 1:1 + CHANGES], solved[:, :, 1 + CHANGES:]
     free = bends - known @ follow
-    changes = few_changes(bends.T @ free, free.T @ target, change_price(values) / scale)
-    weights = plain - follow @ changes
-    used = float(np.trace(np.linalg.solve(system, known.T @ known))) + np.count_nonzero(changes)
-    left = target - known @ weights - bends @ changes
-    variance = float(np.sum(left**2)) / max(len(days) - used, 1.0)
-    every = np.concatenate([days, days[-1] + 1 + np.arange(periods)])
-    fitted = _terms(every, days[0], span) @ weights + _bends(every, days[0], span) @ changes
-    ahead = np.maximum(every - days[-1], 0) / max(span, 1)
-    rate, size = CHANGES / CHANGING_PART, float(np.abs(changes).mean())
-    width = BAND * np.sqrt(variance + rate * 2.0 * size**2 * ahead**3 / 3.0)
-    return every, fitted * scale, width * scale
-
-
-def _forecast_one(periods: int):
-    def run(series: pa.Table) -> pa.Table:
-        series = series.sort_by("ds")
-        days = series["ds"].cast(pa.int32()).to_numpy().astype("int64")
-        every, fitted, width = fit_series(days, series["y"].to_numpy(), periods)
-        key = series["ProductKey"][0].as_py()
-        return pa.table(
-            {
-                "ProductKey": pa.array([key] * len(every), pa.int64()),
-                "ds": pa.array(every.astype("int32")).cast(pa.date32()),
-                "yhat": fitted,
-                "yhat_lower": fitted - width,
-                "yhat_upper": fitted + width,
-                "is_future": every > days[-1],
-            }
-        )
+    prices = np.array([change_price(v) for v in values]) / scale
+    changes = fewest_changes(bends.transpose(0, 2, 1) @ free, (free.transpose(0, 2, 1) @ target)[:, :, 0], prices)
+    weights = plain - follow @ changes[:, :, None]
+    used = np.trace(kept, axis1=1, axis2=2) + np.count_nonzero(changes, axis=1)
+    left = (target - known @ weights - bends @ changes[:, :, None])[:, :, 0]
+    variance = np.sum(left**2, axis=1) / np.maximum(sizes - used, 1.0)
+    fitted = (all_terms @ weights + all_bends @ changes[:, :, None])[:, :, 0] * scale[:, None]
+    ahead = np.maximum(every - last[:, None], 0) / np.maximum(span, 1)[:, None]
+    rate, size = CHANGES / CHANGING_PART, np.abs(changes).mean(axis=1)
+    band = BAND * np.sqrt(variance[:, None] + rate * 2.0 * size[:, None]**2 * ahead**3 / 3.0) * scale[:, None]
+    own = np.concatenate([held, np.ones((len(days), periods), bool)], axis=1)
+    for i, mine in enumerate(own):
+        yield every[i, mine], fitted[i, mine], band[i, mine]
+
+
+def _forecast_rows(series: pa.Table, periods: int) -> pa.Table:
+    """Forecasts of whole series, whose rows come by product and day."""
+    keys = series["ProductKey"].combine_chunks().cast(pa.int64())
+    days = series["ds"].cast(pa.int32()).to_numpy().astype("int64")
+    starts = np.concatenate([[0], _key_changes(keys)])
+    fits = fit_many(np.split(days, starts[1:]), np.split(series["y"].to_numpy(), starts[1:]), periods)
+    every, fitted, width = (np.concatenate(x) for x in zip(*fits, strict=True))
+    lengths = np.array([len(days) for days, _, _ in fits])
+    ends = np.repeat(days[np.append(starts[1:], len(days)) - 1], lengths)
+    return pa.table({
+        "ProductKey": keys.take(pa.array(np.repeat(starts, lengths))),
+        "ds": pa.array(every.astype("int32")).cast(pa.date32()),
+        "yhat": fitted, "yhat_lower": fitted - width, "yhat_upper": fitted + width, "is_future": every > ends,
+    })
+
+
+def _key_changes(keys: pa.Array) -> np.ndarray:
+    """Rows at which another key begins; NULL is a key too."""
+    number, missing = keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False)
+    return np.flatnonzero((number[1:] != number[:-1]) | (missing[1:] != missing[:-1])) + 1
+
+
+def _forecast_sorted(periods: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forecasts of the series of a partition; the last series of a batch may go on in the next, so it waits for it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            changes = _key_changes(rows["ProductKey"].combine_chunks())
+            whole = int(changes[-1]) if len(changes) else 0
+            if whole:
+                yield from _forecast_rows(rows.slice(0, whole), periods).to_batches()
+            waiting = rows.slice(whole)
+        if waiting is not None and waiting.num_rows:
+            yield from _forecast_rows(waiting, periods).to_batches()
 
     return run
 
@@ -260,8 +340,8 @@ def seasonal_forecast(history: DataFrame, months: int = 3) -> DataFrame:
     # The fits are heavy and their input is small, so the number of tasks is set rather than left to AQE,
     # which would merge them by bytes.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    spread = history.repartition(tasks, "ProductKey")
-    return spread.groupBy("ProductKey").applyInArrow(_forecast_one(horizon_days(months)), FORECAST_SCHEMA)
+    spread = history.select("ProductKey", "ds", "y").repartition(tasks, "ProductKey").sortWithinPartitions("ProductKey", "ds")
+    return spread.mapInArrow(_forecast_sorted(horizon_days(months)), FORECAST_SCHEMA)
 
 
 def forecast(w: Warehouse, months: int = 3) -> DataFrame:
@@ -274,9 +354,13 @@ def _optimality(history: DataFrame, predicted: DataFrame) -> DataFrame:
     Days covered; residuals without level or trend, relative to the sales; and no slope change left that would pay: the
     residuals' sum weighted by the distance beyond any place of change is at most the price of a change.
     """
-    known, ahead = predicted.filter("NOT is_future"), predicted.filter("is_future")
-    key = "ProductKey"
-    rows = history.join(known.select(key, "ds", "yhat"), [key, "ds"], "full_outer")
+    key, ahead = "ProductKey", F.col("is_future")
+    # The days ahead are one row of their product without day, so the forecast is made once and shuffled without them.
+    known = predicted.groupBy(key, F.when(~ahead, F.col("ds")).alias("ds")).agg(
+        F.max(F.when(~ahead, F.col("yhat"))).alias("yhat"), F.sum(F.when(ahead, 1)).alias("days_ahead"),
+        F.max(F.when(ahead, F.col("ds"))).alias("last_ahead"),
+        F.bool_and(F.when(ahead, (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper")))).alias("in_band"))
+    rows = history.join(known, [key, "ds"], "full_outer")
     series = Window.partitionBy(key)
     day = F.date_diff("ds", F.lit("1995-01-01").cast("date"))
     step = F.col("y") - F.lag("y").over(series.orderBy("ds"))
@@ -286,17 +370,15 @@ def _optimality(history: DataFrame, predicted: DataFrame) -> DataFrame:
     beyond = [F.greatest(F.col("t") - CHANGING_PART * j / (CHANGES + 1), F.lit(0.0)) for j in range(1, CHANGES + 1)]
     gains = [F.abs(F.sum(F.col("left") * b)) for b in beyond]
     price = F.avg(F.col("step") * F.col("step")) / 2 / (F.max(F.abs("y")) * CHANGE_SCALE)
-    sums = rows.groupBy(key).agg(
+    return rows.groupBy(key).agg(
         F.count("y").alias("points"), F.count("yhat").alias("fitted"), F.min("ds").alias("first_day"),
         F.max("ds").alias("last_day"),
         (F.abs(F.sum("left")) < 1e-6 * F.sum(F.abs("y"))).alias("no_level_left"),
         (F.abs(F.sum(F.col("left") * F.col("day"))) < 1e-6 * F.sum(F.abs("y") * F.col("day"))).alias("no_trend_left"),
         (F.greatest(*gains) <= price + 1e-6 * F.sum(F.abs("y"))).alias("no_change_left"),
+        F.max("days_ahead").alias("days_ahead"), F.max("last_ahead").alias("last_ahead"),
+        F.bool_and("in_band").alias("in_band"),
     )
-    horizon = ahead.groupBy(F.col(key).alias("of")).agg(
-        F.count(F.lit(1)).alias("days_ahead"), F.max("ds").alias("last_ahead"),
-        F.bool_and((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_band"))
-    return sums.join(horizon, F.col(key).eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def forecast_fit(w: Warehouse) -> DataFrame:

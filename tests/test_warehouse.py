@@ -437,3 +437,35 @@ def test_shared_dir_follows_the_session():
         shared_dir(Session("yarn"))
     local = Session("local[4]")
     assert os.path.isdir(shared_dir(local)) and shared_dir(local) == shared_dir(local)
+
+
+def test_series_are_fitted_together_as_one_by_one():
+    random = np.random.default_rng(3)
+    days = [np.sort(random.choice(1500, n, replace=False)) + 9000 for n in (10, 400, 37, 10, 1200)]
+    values = [random.gamma(2, 100, len(d)) + np.maximum(d - 9700, 0) * i for i, d in enumerate(days)]
+    for many, d, v in zip(forecasting.fit_many(days, values, 40), days, values, strict=True):
+        for got, want in zip(many, forecasting.fit_series(d, v, 40), strict=True):
+            assert got.shape == (len(d) + 40,) and np.allclose(got, want, rtol=1e-9)
+
+
+def test_forecast_of_series_cut_by_batches(spark):
+    days, random = np.arange(9000, 9400), np.random.default_rng(4)
+    series = {key: random.gamma(2, 100, len(days)) for key in (None, 0, 5, 6)}
+    rows = [(k, dt.date(1970, 1, 1) + dt.timedelta(int(d)), float(y)) for k, v in series.items() for d, y in zip(days, v)]
+    random.shuffle(rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 7)
+    try:
+        found = forecasting.seasonal_forecast(spark.createDataFrame(rows, "ProductKey BIGINT, ds DATE, y DOUBLE"), 1).collect()
+    finally:
+        spark.conf.set(key, before)
+    for k, v in series.items():
+        mine = sorted((r for r in found if r.ProductKey == k), key=lambda r: r.ds)
+        _, fitted, width = forecasting.fit_series(days, v, 30)
+        assert [r.is_future for r in mine] == [False] * 400 + [True] * 30
+        assert np.allclose([r.yhat for r in mine], fitted) and np.allclose([r.yhat_upper - r.yhat for r in mine], width)
+
+
+def test_forecast_is_made_once_to_be_compared(warehouse):
+    assert plan_of(forecasting.forecast_fit(warehouse)).count("MapInArrow") == 1

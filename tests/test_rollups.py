@@ -109,3 +109,14 @@ def test_loads_keep_cells_catch_up_and_relabel(tables, tmp_path, monkeypatch):
     last.load_sales()
     same_as_lines(first.store, kept=kept)
     assert all(len(first.store.current().parts[k.table]) == 1 for k in kept)
+
+
+def test_ids_are_shuffled_and_not_their_bitmaps(star):
+    """A bitmap of a few ids is as long as one of many, so each is made in one task."""
+    for one in (k for k in rollups.KEPT if isinstance(k, Distinct)):
+        rows = one.build(LoadedWarehouse(star))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        above = plan[:plan.index("Exchange hashpartitioning")]  # a plan is printed from its end
+        assert above.count("bitmap_construct_agg") > 0 and "bitmap_construct_agg" not in plan[len(above):], one.table
+        groups = [c for c in rows.columns if c != rollups.BITS]
+        assert rows.groupBy(*groups).count().filter("count > 1").count() == 0

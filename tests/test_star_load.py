@@ -133,6 +133,20 @@ def test_as_of_lookup_against_every_version(spark):
     assert {r.name for r in empty.collect()} == {None}
 
 
+def test_as_of_lookup_shuffles_its_rows_once(spark):
+    rows = spark.range(100).selectExpr("id AS i", "id % 7 AS k", "date_add(date'2020-01-01', CAST(id AS INT)) AS d")
+    versions = spark.createDataFrame([(1, dt.date(2020, 1, 5), "a"), (1, dt.date(2020, 2, 1), "b")], "k BIGINT, s DATE, v STRING")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = as_of_lookup(rows, versions, "k", "d", "s", ["v"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2, plan  # of the rows and of the versions
+        assert {(r.i, r.v) for r in found.collect() if r.v} == {(i, "a" if i < 31 else "b") for i in range(8, 100, 7)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_entry_without_the_optional_queries():
     import __spark_entry__ as entry
     assert SimpleNamespace(**entry.LOADED_PLANS) and set(entry.LOADED_PLANS) <= set(entry.oracle_sql())

@@ -340,7 +340,8 @@ def seasonal_forecast(history: DataFrame, months: int = 3) -> DataFrame:
     # The fits are heavy and their input is small, so the number of tasks is set rather than left to AQE,
     # which would merge them by bytes.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    spread = history.select("ProductKey", "ds", "y").repartition(tasks, "ProductKey").sortWithinPartitions("ProductKey", "ds")
+    spread = history.select("ProductKey", "ds", "y").repartition(tasks, "ProductKey")
+    spread = spread.sortWithinPartitions("ProductKey", F.asc_nulls_last("ds"))
     return spread.mapInArrow(_forecast_sorted(horizon_days(months)), FORECAST_SCHEMA)
 
 
@@ -363,7 +364,7 @@ def _optimality(history: DataFrame, predicted: DataFrame) -> DataFrame:
     rows = history.join(known, [key, "ds"], "full_outer")
     series = Window.partitionBy(key)
     day = F.date_diff("ds", F.lit("1995-01-01").cast("date"))
-    step = F.col("y") - F.lag("y").over(series.orderBy("ds"))
+    step = F.col("y") - F.lag("y").over(series.orderBy("ds", F.desc_nulls_last("days_ahead")))
     first, last = F.min("ds").over(series), F.max("ds").over(series)
     rows = rows.select("*", (F.col("y") - F.col("yhat")).alias("left"), day.alias("day"), step.alias("step"),
                        (F.date_diff("ds", first) / F.date_diff(last, first)).alias("t"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starcellar.layout import Tables
 from starcellar.plans import loads
-from starcellar.streaming.sales import dropped, state_rows
+from starcellar.streaming.sales import ON_DISK, STORE, dropped, state_rows
 
 DAY = 86_400
 
@@ -67,3 +67,5 @@ def test_any_order_repeats_and_late_invoices(spark, folder, tmp_path, load):
     assert state_rows(second[-1]) < rows / 2 < max(map(state_rows, first))
     loads.sales_stream(Tables(spark, str(tmp_path)), load, f"{tmp_path}/out").run(spark)  # nothing new
     assert months(spark.read.parquet(stream.output)) == months(loads.fact_sales(whole))
+    assert spark.conf.get(STORE) != ON_DISK  # the session's own streams keep their store
+    assert not [o for run in (first, second) for p in run for o in p["stateOperators"] if "rocksdbPutCount" not in o["customMetrics"]]

@@ -5,6 +5,7 @@ import random
 import threading
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from starcellar.operators.as_of import as_of_lookup
 from starcellar.plans import dashboard, loads
 from starcellar.plans.loaded_warehouse import LoadedWarehouse
 from starcellar.plans.loads import MARK
-from starcellar.plans.star_load import ALWAYS, FACT_LOADS, StarLoad
+from starcellar.plans.rollups import KEPT, is_long, keep_up
+from starcellar.plans.star_load import ALWAYS, FACT_LOADS, RUN_SETTINGS, StarLoad
+from starcellar.session import settings
 from starcellar.sources.snapshots import Snapshot, Snapshots
 
 FACTS = {
@@ -95,6 +98,45 @@ def test_a_withdrawn_run_leaves_nothing(tables, tmp_path):
     assert again.number == held.number + 1 and again.parts == held.parts and again.marks == held.marks
 
 
+def test_a_run_frees_its_shuffles_and_writes_long_tables_in_turn(spark, tables, tmp_path, monkeypatch):
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    long_tables = {*FACT_LOADS, *(k.table for k in KEPT if is_long(k))}
+    real, lock, now, seen, met = Snapshots.write, threading.Lock(), set(), set(), []
+
+    def write(self, df, table, *args, **kwargs):
+        with lock:
+            met.append((table, sorted(now & long_tables)))
+            now.add(table)
+            seen.update((key, spark.conf.get(key)) for key in RUN_SETTINGS)
+        try:
+            return real(self, df, table, *args, **kwargs)
+        finally:
+            with lock:
+                now.discard(table)
+
+    monkeypatch.setattr(Snapshots, "write", write)
+    session = {key: spark.conf.get(key) for key in RUN_SETTINGS}
+    held = shuffles()
+    load = StarLoad(Operational(tables), str(tmp_path), (keep_up,))
+    load.load(until=MARK)
+    assert shuffles() <= held + 8  # those of a few small fetches and checks at most; a run has more than 60
+    assert seen == set(RUN_SETTINGS.items()) and {key: spark.conf.get(key) for key in RUN_SETTINGS} == session
+    assert {table for table, _ in met} >= long_tables
+    assert [m for m in met if m[0] in long_tables and m[1]] == []
+    for table in ("FactSales", "SalesByProduct"):
+        files = sorted(tmp_path.glob(f"{table}/**/*.parquet"))
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def test_settings_come_back(spark):
+    key, other = "spark.sql.sources.fileCompressionFactor", "starcellar.test.setting"
+    before = spark.conf.get(key)
+    with pytest.raises(Dies), settings(spark, {key: "3", other: "1"}):
+        assert (spark.conf.get(key), spark.conf.get(other)) == ("3", "1")
+        raise Dies
+    assert (spark.conf.get(key), spark.conf.get(other, None)) == (before, None)
+
+
 def test_snapshots(spark, tmp_path):
     store = Snapshots(spark, str(tmp_path))
     assert store.current() == Snapshot()

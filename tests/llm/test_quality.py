@@ -3,7 +3,11 @@ import zlib
 
 import numpy as np
 
-from starcellar.llm.quality import FEATURES, features, learn, quality
+from pyspark.sql import functions as F
+
+from starcellar.llm.quality import (
+    FEATURES, Block, blocks_of, exact, features, inexact, learn, learn_blocks, ordered, quality, smallest,
+)
 from tests.llm.conftest import sentence
 
 
@@ -64,3 +68,56 @@ def test_features():
     assert features("") == features(" \n ") == [0.0] * len(FEATURES)
     assert len(features("a b\nc")) == len(FEATURES)
     assert dict(zip(FEATURES, features("A a a $")))["repeated neighbours"] == 0.25
+
+
+def examples_of(spark, n, poor):
+    draw = np.random.default_rng(4)
+    rows = [(i, int(i not in poor), draw.random(len(FEATURES)).tolist()) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "sample_id long, label int, features array<double>")
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    """Twenty-one thousand labels, more than a block: none is left out, however the rows are dealt."""
+    rows, examples = examples_of(spark, 21_000, set(range(0, 21_000, 7)))
+    total = blocks_of(examples)
+    count, sums = lambda b: np.array([len(b.rows), b.own.sum()]), lambda b: b.rows.sum(axis=0)
+    assert total(count).tolist() == [21_000, 21_000]
+    assert np.allclose(total(sums), np.sum([r[2] for r in rows], axis=0), rtol=1e-12)
+    assert total(lambda b: np.array([max(len(b.rows), 0) > 20_000])).tolist() == [0]
+    again = blocks_of(examples.repartition(7))
+    assert again(sums).tolist() == total(sums).tolist()
+    assert learn_blocks(total) == learn_blocks(again)
+
+
+def test_labels_beyond_the_first_blocks_decide(spark, make_docs):
+    """What is poor shows in few documents, so it matters that no labelled document is left out."""
+    docs, labels = labelled(spark, make_docs, 400)
+    few = quality(docs, labels, block_rows=60).collect()
+    again = quality(docs.repartition(5), labels.repartition(3), block_rows=60).collect()
+    assert sorted(map(tuple, few), key=repr) == sorted(map(tuple, again), key=repr)
+    held = [r for r in few if r.doc_id is not None and r.doc_id < 400 and r.held_out]
+    assert sum(r.predicted == (r.doc_id % 4 > 0) for r in held) / len(held) > 0.95
+
+
+def test_a_rare_class_is_in_every_block_and_counted_once(spark):
+    _, examples = examples_of(spark, 600, {5})
+    total = blocks_of(examples, 50)
+    assert total(lambda b: np.array([1, (b.good == 0).sum(), (b.own & (b.good == 0)).sum(), b.own.sum()])).tolist() == [12, 12, 1, 600]
+    assert blocks_of(examples.where(F.lit(False))) is None
+
+
+def test_one_block_is_learnt_as_before(spark):
+    rows, examples = examples_of(spark, 300, set(range(0, 300, 3)))
+    kept = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    order = np.lexsort((*kept[0].T, kept[1]))
+    want, found = learn(kept[0][order], kept[1][order]), learn_blocks(blocks_of(examples))
+    assert np.allclose(found.weights, want.weights, rtol=1e-9) and np.isclose(found.middle, want.middle, rtol=1e-9)
+
+
+def test_values_by_their_place():
+    draw = np.random.default_rng(3)
+    values = np.concatenate([draw.standard_normal(50), np.repeat([0.0, -0.0, 1e-300, -7.5, 1e300], 3)])
+    assert (np.argsort(ordered(values), kind="stable") == np.argsort(values + 0.0, kind="stable")).all()
+    parts = [Block(values[i::3], np.zeros(0), np.zeros(0)) for i in range(3)]
+    total = lambda f: inexact([sum(x) for x in zip(*(exact(f(b)) for b in parts), strict=True)])
+    assert [smallest(total, lambda b: b.rows, i) for i in range(len(values))] == sorted(values.tolist())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starcellar.layout import Tables
 from starcellar.plans import loads
-from starcellar.streaming.sales import ON_DISK, STORE, dropped, state_rows
+from starcellar.streaming.sales import ON_DISK, STORE, Side, dropped, state_rows
 
 DAY = 86_400
 
@@ -69,3 +69,17 @@ def test_any_order_repeats_and_late_invoices(spark, folder, tmp_path, load):
     assert months(spark.read.parquet(stream.output)) == months(loads.fact_sales(whole))
     assert spark.conf.get(STORE) != ON_DISK  # the session's own streams keep their store
     assert not [o for run in (first, second) for p in run for o in p["stateOperators"] if "rocksdbPutCount" not in o["customMetrics"]]
+
+
+def test_rows_are_told_apart_by_a_digest_of_their_columns(spark, tmp_path):
+    rows = [(1, None, "a"), (None, 1, "a"), (1, 1, None), (1, 1, "a"), (1, 1, "a"), (1, None, "a"), (1, None, None), (None, 1, None)]
+    given = spark.createDataFrame(rows, "k long, n long, s string")
+    given.coalesce(1).write.parquet(f"{tmp_path}/in")
+    kept = Side(f"{tmp_path}/in", given.schema, "k", ("k", "n", "s")).stream(spark, "arrived", "7 days", None)
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark [_told#" in plan, plan
+    assert kept.columns == ["k", "n", "s", "arrived"]
+    found = []
+    query = kept.writeStream.foreachBatch(lambda df, n: found.extend((r.k, r.n, r.s) for r in df.collect()))
+    query.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(found, key=repr) == sorted(set(rows), key=repr)
